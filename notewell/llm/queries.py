@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, token_output
-from .shared import materialize, table
+from . import ann, language_id, mixing, sharding, token_output, toxicity
+from .shared import id_crc, materialize, table
 
 SHARDS = 40
 MIX = mixing.MixPlan(
@@ -29,7 +29,7 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     plain, grown = [1.0] * SHARDS, [1.0] * (SHARDS + 1)
     sharded = materialize(sharding.assign_shards(docs, plain, grown_weights=grown), "shards")
-    numbered = sharding.number_slots(sharded, ties=("text_crc32", "size"), cells=4096)
+    numbered = sharding.number_slots(sharded, ties=("text_crc32", "size"), cells=1024)
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -50,9 +50,37 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"))
 
 
+def op2_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.clean_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc("doc_id"), F.lit(4)) == 2
+    model = language_id.fit(docs, where=~held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(id_crc("doc_id"), F.lit(3)) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rp_forest_neighbours": op2_rp_forest_neighbours,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_orc": op7_token_orc,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
