@@ -210,21 +210,29 @@ def _step(emb, kernel, bias, out, top, trained, docs: list[np.ndarray], labels:
     emb.step(g_emb[trained[rows]], rows[trained[rows]])
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Of a grid around THRESHOLD, the value with the best F1; the nearest to THRESHOLD among equals."""
-    grid = sorted(np.round(np.arange(0.3, 0.91, 0.05), 2), key=lambda t: abs(t - THRESHOLD))
-    f1 = [2 * (labels[scores >= t].sum()) / max(1, (scores >= t).sum() + labels.sum()) for t in grid]
-    return float(grid[int(np.argmax(f1))])
+def _enough(labels: np.ndarray, least: int = MIN_OF_CLASS) -> bool:
+    return labels.sum() >= least and len(labels) - labels.sum() >= least
 
 
-def calibrate(model: ToxicityModel, scores: np.ndarray, labels: np.ndarray, langs: np.ndarray) -> None:
-    """Sets the threshold of every language with enough calibration documents, and the one of all others."""
-    enough = lambda y: y.sum() >= MIN_OF_CLASS and len(y) - y.sum() >= MIN_OF_CLASS
-    model.threshold = _best_threshold(scores, labels) if enough(labels) else THRESHOLD
+def _best_threshold(scores: np.ndarray, labels: np.ndarray, low: float, near: float) -> float:
+    """Of a grid from low to 0.9, the value with the best F0.5 (a clean document lost is worse than a toxic one kept);
+    the nearest to `near` among equals."""
+    grid = sorted(np.round(np.arange(low, 0.91, 0.05), 2), key=lambda t: abs(t - near))
+    f = [1.25 * labels[scores >= t].sum() / max(1, (scores >= t).sum() + 0.25 * labels.sum()) for t in grid]
+    return float(grid[int(np.argmax(f))])
+
+
+def calibrate(model: ToxicityModel, docs: list[np.ndarray], labels: np.ndarray, langs: np.ndarray) -> None:
+    """Shifts the scores so that the best decision over all calibration documents is at THRESHOLD, then sets the
+    threshold of every language with enough of them."""
+    scores = score_ids(model, docs)
+    best = _best_threshold(scores, labels, 0.35, 0.5) if _enough(labels, 5) else 0.5
+    model.out_bias += float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(best / (1 - best)))
+    scores = score_ids(model, docs)
     for lang in sorted(set(langs.tolist())):
         own = langs == lang
-        if enough(labels[own]):
-            model.thresholds[lang] = _best_threshold(scores[own], labels[own])
+        if _enough(labels[own]):
+            model.thresholds[lang] = _best_threshold(scores[own], labels[own], 0.5, THRESHOLD)
 
 
 def _ids_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column
     held = np.arange(len(got)) % 5 == 0
     checks = [t for t, h in zip(texts, held) if h]
     model = train([t for t, h in zip(texts, held) if not h], y[~held], checks, y[held])
-    calibrate(model, score_ids(model, checks), y[held], langs[held])
+    calibrate(model, checks, y[held], langs[held])
     return model
 
 
