@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, mixing, sharding, token_output, toxicity
+from . import ann, decontamination, language_id, mixing, sharding, token_output, toxicity
 from .shared import id_crc, materialize, table
 
 SHARDS = 40
@@ -20,6 +20,12 @@ MIX = mixing.MixPlan(
 )
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -77,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rp_forest_neighbours": op2_rp_forest_neighbours,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_orc": op7_token_orc,
