@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, language_id, mixing, sharding, token_output, toxicity
+from . import ann, decontamination, jaccard_join, language_id, mixing, sharding, token_output, toxicity
 from .shared import id_crc, materialize, table
 
 SHARDS = 40
@@ -52,6 +52,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n_words=3, percent=90)
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_orc": op7_token_orc,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
