@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, jaccard_join, language_id, mixing, sharding, token_output, toxicity
+from . import ann, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, token_output, toxicity
 from .shared import id_crc, materialize, table
 
 SHARDS = 40
@@ -60,11 +60,26 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"))
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.crc32(F.col("text").cast("binary")).alias("kept_crc32"),
+    )
+
+
 def op2_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.clean_vectors(table(spark, sf_dir, "embeddings"))
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(id_crc("doc_id"), F.lit(4)) == 2
@@ -86,12 +101,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_templates": op1_line_templates,
     "op2_rp_forest_neighbours": op2_rp_forest_neighbours,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_mix_sources": op5_mix_sources,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_orc": op7_token_orc,
+    "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }

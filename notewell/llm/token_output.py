@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import materialize, scratch_path
 
 END_ID = 1
-MAX_WORDS = 300_000  # distinct words that a worker keeps
-BATCH_BYTES = 8 << 20
+MAX_WORDS = 200_000  # distinct words that a worker keeps
+BATCH_BYTES = 1 << 20
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -104,15 +105,14 @@ def _encode_batches(path: str):
         encoder = _encoders[path]
         file, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            # Lengths first: no more than BATCH_BYTES of text, or one longer text, is held as Python objects at a time.
+            texts = batch.column(1).cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             start = 0
             while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (stop == start or size < BATCH_BYTES):
-                    size += len(texts[stop] or b"")
-                    stop += 1
-                ids, counts = encoder.encode([t or b"" for t in texts[start:stop]])
-                n = stop - start
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 4096]), BATCH_BYTES)))
+                n = min(n, len(texts) - start)
+                ids, counts = encoder.encode([t or b"" for t in texts.slice(start, n).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,7 +124,7 @@ def _encode_batches(path: str):
                     ],
                     names=["file", "pos", "doc_id", "n_tokens", "ids"],
                 )
-                pos, start = pos + n, stop
+                pos, start = pos + n, start + n
 
     return run
 
