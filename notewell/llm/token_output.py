@@ -4,12 +4,15 @@ Documents are dealt out by ranges of doc_id, so each file holds one range in asc
 the files. Each row has `file` (that number), `pos` (row within the file), `doc_id`, `n_tokens` and `ids`. Readers can
 take any stripe alone, skip row groups by the index on doc_id, and skip stripes by its Bloom filter.
 
-A text is cut at ASCII blanks before it is encoded: the tokenizer drops white space, no rule of it looks across it, and
-so a text's ids are those of its words, one after the other. Each distinct word is encoded once per worker.
+A text is cut before it is encoded, at blanks and where the tokenizer itself cuts words: it drops white space, no rule
+of it looks across a cut, and so a text's ids are those of its pieces, one after the other. Each distinct piece is encoded
+once per worker, or again after its table is full.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, scratch_path
 
 END_ID = 1
-MAX_WORDS = 200_000  # distinct words that a worker keeps
+MAX_WORDS = 500_000  # distinct pieces that a worker keeps
 BATCH_BYTES = 1 << 20
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -43,46 +46,95 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The tokenizer's own rule for cutting words, for texts in lower-case ASCII and Latin-1 letters. It lower-cases, so ASCII
+# capitals may be lowered before; other letters, combining marks and special tokens are left to the tokenizer.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xbf\xc3]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c\xc3\x80-\xbf]+")
+_PLAIN_BYTES = bytes([*range(0xC0), 0xC3])
+
+
+def _plain(text: bytes) -> bool:
+    odd = text.translate(None, _PLAIN_BYTES) or b"\xc3\x97" in text or b"\xc3\xb7" in text or b"<|" in text
+    return not odd
+
+
+def cut(text: bytes) -> list[bytes]:
+    """Pieces whose ids, one after the other, are the text's ids."""
+    if _plain(text):
+        return _PIECES.findall(text.lower())
+    out: list[bytes] = []
+    for word in text.split():
+        if _plain(word):
+            out += _PIECES.findall(word.lower())
+        else:
+            out.append(word)
+    return out
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class WordEncoder:
-    """Encodes texts through a table of words that have been seen."""
+    """Encodes texts through a table of pieces that have been seen."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece: of all together if the tokenizer's word ends are as many as the pieces, else one by one."""
+        text = b" ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(pieces) and _plain(text):
+            return np.split(ids, ends[:-1])
+        each = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in each]
+
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        got = [ids for i in range(0, len(words), 1000) for ids in self._ids(words[i : i + 1000])]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))
-        first, known = self.used, len(self.index)
+        ids = np.concatenate(got)
+        first, known = self.used, len(self.index) - len(words)
         while first + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while known + len(got) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.flat[first : first + len(ids)] = ids
         self.starts[known + 1 : known + len(got) + 1] = first + np.cumsum(lengths)
-        self.index.update(zip(words, range(known, known + len(words))))
         self.used = first + len(ids)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by END_ID, and each text's number of ids."""
         if len(self.index) > self.max_words:
             self._reset()
-        split = [t.split() for t in texts]
+        split = [cut(t) for t in texts]
         words = [w for s in split for w in s]
-        index = self.index
-        if new := list(dict.fromkeys(w for w in words if w not in index)):
-            self._learn(new)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         starts = self.starts[at]
         lengths = self.starts[at + 1] - starts
         per_text = np.fromiter(map(len, split), np.int64, len(split))
