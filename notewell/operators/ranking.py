@@ -13,12 +13,14 @@ from .fusion import by_score
 HALF_LIFE_DAYS, MAX_BOOST = 90, 0.2
 
 
-def age_days(modified: Column, now: Column) -> Column:
+def age_days(modified: Column, now: Column | str) -> Column:
+    """Whole days of 24 hours; `now` is a column or the text of a timestamp."""
+    now = F.lit(now) if isinstance(now, str) else now
     seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(modified.cast("timestamp"))
     return F.floor(seconds / 86400)
 
 
-def time_boost(rows: DataFrame, now: Column, score: str, modified: str = "modified", half_life: float = HALF_LIFE_DAYS, most: float = MAX_BOOST) -> DataFrame:
+def time_boost(rows: DataFrame, now: Column | str, score: str, modified: str = "modified", half_life: float = HALF_LIFE_DAYS, most: float = MAX_BOOST) -> DataFrame:
     """Multiplies the score by 1 + most * 0.5 ** (days / half_life); rows without a change time keep theirs.
 
     Adds time_boost and original_score.

@@ -49,7 +49,8 @@ def admitted(requests: DataFrame, most: int, seconds: int = WINDOW_SECONDS, orde
 
 
 def remaining(decided: DataFrame, now, most: int, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Per key: how many requests are still admitted at `now`, a timestamp column."""
+    """Per key: how many requests are still admitted at `now`, a timestamp column or its text."""
+    now = F.lit(now) if isinstance(now, str) else now
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     inside = F.col("allowed") & (age < seconds * 1_000_000) & (age >= 0)
     return decided.groupBy(*KEYS).agg(F.greatest(F.lit(0).cast("long"), most - F.count_if(inside)).alias("remaining"))

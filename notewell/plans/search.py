@@ -24,7 +24,7 @@ class SearchParams:
     rerank: bool = False
     rerank_candidates: int = 100
     time_boost: bool = True
-    now: Column | None = None
+    now: Column | str | None = None
     query_filter: filters.QueryFilter = field(default_factory=filters.QueryFilter)
 
     @property

@@ -20,7 +20,7 @@ from .sources.query_log import log_rows
 
 QUERY = "the thing src7 ily"
 SHORT_QUERY = "the"
-NOW = F.lit("2024-02-01 00:00:00")
+NOW = "2024-02-01 00:00:00"
 VEC_ID = 0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -565,4 +565,4 @@ def rate_limit_exact(spark, sf):
 
 @_query
 def rate_limit_remaining(spark, sf):
-    return rate_limit.remaining(rate_limit.admitted(_requests(spark, sf), 3, 10 * DAY), F.lit("2024-01-20 00:00:00"), 3, 10 * DAY)
+    return rate_limit.remaining(rate_limit.admitted(_requests(spark, sf), 3, 10 * DAY), "2024-01-20 00:00:00", 3, 10 * DAY)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_markdown, stem, strip, valid_text
 
@@ -46,10 +47,13 @@ def split_frontmatter(text: Column | str) -> Column:
     )
 
 
-HEAD_SCHEMA = "title string, tags array<string>, types array<string>, status string, description string, created string"
+_TEXTS = T.ArrayType(T.StringType())
+HEAD_SCHEMA = T.StructType(
+    [T.StructField(n, _TEXTS if n in ("tags", "types") else T.StringType()) for n in ("title", "tags", "types", "status", "description", "created")]
+)
 
 
-@F.pandas_udf(f"struct<{', '.join(p.strip().replace(' ', ':', 1) for p in HEAD_SCHEMA.split(','))}>")
+@F.pandas_udf(HEAD_SCHEMA)
 def parse_head(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Arbitrary YAML has no built-in reader: heads are parsed by batches in Python."""
     import yaml
@@ -77,7 +81,7 @@ def parse_head(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         }
 
     for batch in heads:
-        yield pd.DataFrame([one(h) for h in batch], columns=["title", "tags", "types", "status", "description", "created"])
+        yield pd.DataFrame([one(h) for h in batch], columns=HEAD_SCHEMA.names)
 
 
 def read_notes(files: DataFrame, keep_blank: bool = False) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..operators.rate_limit import KEYS, WINDOW_SECONDS, admit
 
 
-def admitted_stream(requests: DataFrame, most: int, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def admitted_stream(requests: DataFrame, most: int, seconds: int = WINDOW_SECONDS, forget: bool = False) -> DataFrame:
     """Decisions for a stream of (client, endpoint, ts, request_id): state per key is the admitted times in the window.
 
-    At most `most` times are held per key, and a key without requests for a window is forgotten.
+    At most `most` times are held per key. With `forget`, a key without requests for a window of processing time is
+    dropped; that asks for a batch again and again, so it suits a continuous trigger and never ends an availableNow one.
     """
     window = seconds * 1_000_000
 
@@ -27,13 +28,14 @@ def admitted_stream(requests: DataFrame, most: int, seconds: int = WINDOW_SECOND
         held = deque(state.get[0]) if state.exists else deque()
         allowed, held = admit(rows["us"].tolist(), most, window, held)
         state.update((list(held),))
-        state.setTimeoutDuration(seconds * 1000)
+        if forget:
+            state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({"client": key[0], "endpoint": key[1], "request_id": rows["request_id"].to_numpy(), "allowed": allowed})
 
     typed = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select(*KEYS, "us", "request_id")
     kinds = dict(typed.dtypes)
     shape = f"client {kinds['client']}, endpoint {kinds['endpoint']}, request_id {kinds['request_id']}, allowed boolean"
-    return typed.groupBy(*KEYS).applyInPandasWithState(decide, shape, "held array<long>", "append", "ProcessingTimeTimeout")
+    return typed.groupBy(*KEYS).applyInPandasWithState(decide, shape, "held array<long>", "append", "ProcessingTimeTimeout" if forget else "NoTimeout")
 
 
 def follow(notes: DataFrame, merge_batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
