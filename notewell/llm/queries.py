@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, token_output, toxicity
+from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import id_crc, materialize, table
 
 SHARDS = 40
@@ -67,7 +68,7 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_lines").cast("long").alias("n_lines"),
         F.col("n_dropped").cast("long").alias("n_dropped"),
         F.length("text").cast("long").alias("kept_chars"),
-        F.crc32(F.col("text").cast("binary")).alias("kept_crc32"),
+        F.md5(F.col("text").cast("binary")).alias("kept_md5"),
     )
 
 
@@ -112,4 +113,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
