@@ -29,11 +29,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_scratch, materialize
+from .shared import drop_scratch, free_shuffles, materialize
 
 FREQUENT = 50  # prefixes that a token is in, above which it is of a frequent class
 BITS = 25  # a bit table has 2**25 bits
-SKETCH = 512
+SKETCH_BITS = 4  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
 CLASS_SIZE = 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _MAX_WORDS = 300_000
@@ -100,17 +100,13 @@ class Bounds:
 
 
 def bit_table(values: DataFrame, column: str) -> np.ndarray:
-    """A table of 2**BITS bits with those of the values set; at most 2**BITS / 64 rows reach the driver."""
+    """2**BITS bits, packed, with those of the values set; at most 2**BITS / 64 rows reach the driver."""
     at = F.pmod(F.col(column), F.lit(1 << BITS))
-    words = values.select(F.shiftrightunsigned(at, 6).alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("s"))
+    words = values.select(F.shiftrightunsigned(at, 6).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("s"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toPandas()
-    table = np.zeros((1 << BITS) // 64, np.uint64)
-    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
-
-
-def packed(bits: np.ndarray) -> bytes:
-    return np.packbits(bits.astype(bool), bitorder="little").tobytes()
+    table = np.zeros((1 << BITS) // 64, np.int64)
+    table[words["w"].to_numpy()] = words["v"].to_numpy()
+    return table.view(np.uint8)
 
 
 def has(table: bytes, tokens: np.ndarray) -> np.ndarray:
@@ -126,6 +122,35 @@ def ordered(tokens: np.ndarray, frequent: bytes | None) -> tuple[np.ndarray, int
     return np.concatenate([tokens[~f], tokens[f]]), int((~f).sum())
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's hashes by their last bits: where two sketches differ, the sets differ."""
+    m = max(512, 1 << int(SKETCH_BITS * len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & np.uint64(m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_difference(a: bytes, b: bytes) -> int:
+    """At most the number of shingles in one set only. The longer sketch is folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _near(percent: int):
+    """The pairs whose sketches leave room for the intersection that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, s_a, s_b = (batch.column(i).to_pylist() for i in range(2, 6))
+            most = [x + y - 2 * -(-percent * (x + y) // (100 + percent)) for x, y in zip(n_a, n_b)]
+            keep = pa.array([sketch_difference(x, y) <= d for x, y, d in zip(s_a, s_b, most)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -140,11 +165,11 @@ def _sets(n_words: int):
                     first = d is not None and d not in seen
                     node.append(d)
                     toks.append(raw if first else None)
-                    sketch.append(np.packbits(np.bincount(s & np.uint64(SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) if first else None)
+                    sketch.append(_sketch(s) if first else None)
                     if first:
                         seen.add(d)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary()), pa.array(sketch, pa.binary())],
                     names=["doc_id", "n", "node", "toks", "sketch"],
                 )
 
@@ -214,36 +239,68 @@ def _postings(bounds: Bounds, frequent: bytes, shared: bytes):
     return run
 
 
-def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_tokens(batch, 2), _tokens(batch, 3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["a", "b", "both"])
+def _kept_rows(table: bytes):
+    """Rows whose first column, a long, is in the bit table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has(table, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
+MEMBERS = 500  # sets that are compared with one copy of a hub's set
+BROADCAST_PAIRS = 1_000_000  # rows of three longs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs (a, b) that are links: first by the sketches' bound on the difference, then by the sets themselves."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of hub and part, the hub's own set first in each: sizes and intersection of hub and member."""
+    part, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        out: list[tuple[int, int, int, int, int]] = []
+        columns = (batch.column(i).to_pylist() for i in range(4))
+        for hub, salt, member, toks in zip(*columns):
+            tokens = np.frombuffer(toks, np.uint64)
+            if (hub, salt) != part:
+                part, own = (hub, salt), tokens
+            elif member != hub:
+                out.append((hub, member, len(own), len(tokens), len(np.intersect1d(own, tokens, assume_unique=True))))
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "both"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """The pairs (a, b) that are links: first by the sketches' bound on the difference, then by the sets themselves.
+
+    nodes: node, n, sketch and the doc_id of the row that holds the set. sets: node, doc_id, toks. Each set of a likely
+    pair moves to its hub (b) once; a hub with many members is split into parts, with a copy of its set in each.
+    """
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    differing = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    least = bounds.overlap(F.col("n_a"), F.col("n_b"))
-    likely = pairs.filter(differing <= F.col("n_a") + F.col("n_b") - 2 * least).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    likely = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(bounds.percent), "a long, b long")
     likely = materialize(likely, "likely")
-    raw = sets.select("node", "n", "toks")
-    with_a = likely.join(raw.select(F.col("node").alias("a"), F.col("toks").alias("t_a")), "a")
-    with_b = with_a.join(raw.select(F.col("node").alias("b"), F.col("toks").alias("t_b")), "b")
-    counted = with_b.select("a", "b", "t_a", "t_b").mapInArrow(_count_shared, "a long, b long, both long")
-    for side in ("a", "b"):
-        counted = counted.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
+    parts = likely.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_k"))
+    members = likely.join(parts, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("_k")).cast("int").alias("salt"))
+    hubs = parts.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"))
+    need = members.union(hubs).join(nodes.select("node", F.col("doc_id").alias("_at")), "node")
+    need = materialize(need.withColumnRenamed("node", "_node"), "moves")
+    named = F.broadcast(need) if need.count() <= BROADCAST_PAIRS else need
+    moved = sets.join(named, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_at")))
+    shuffled = moved.select("hub", "salt", F.col("node").alias("member"), "toks", (F.col("node") != F.col("hub")).alias("_m"))
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = shuffled.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "_m").drop("_m")
+    counted = placed.mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long")
     union = F.col("n_a") + F.col("n_b") - F.col("both")
-    return counted.filter(100 * F.col("both") >= bounds.percent * union).select("a", "b")
+    return materialize(counted.filter(100 * F.col("both") >= bounds.percent * union).select("a", "b").distinct(), "links")
 
 
 def _passes(bounds: Bounds, slack: Column, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return slack + F.least(n1 - p1, n2 - p2) >= bounds.overlap(n1, n2)
 
 
-def link_components(sets: DataFrame, postings: DataFrame, bounds: Bounds) -> DataFrame:
+def link_components(nodes: DataFrame, sets: DataFrame, postings: DataFrame, bounds: Bounds) -> DataFrame:
     """node and label for all nodes that link with another one."""
+    spark = postings.sparkSession
     edges: list[DataFrame] = []
     labels: DataFrame | None = None
     live = postings
@@ -271,11 +328,12 @@ def link_components(sets: DataFrame, postings: DataFrame, bounds: Bounds) -> Dat
             within = _passes(bounds, F.col("slack"), F.col("n"), F.col("pos"), F.col("n_b"), F.col("p_b"))
             met = live.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("l_b")) & within)
             pairs = met.select(F.col("node").alias("a"), "b").distinct()
-        edges.append(materialize(_verified(pairs, sets, bounds), "links"))
+        edges.append(_verified(pairs, nodes, sets, bounds))
         every = edges[0]
         for more in edges[1:]:
             every = every.union(more)
         labels = components(every)
+        free_shuffles(spark)
     if labels is None:
         return postings.select("node", F.col("node").alias("label")).limit(0)
     return labels
@@ -291,7 +349,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 90, doc_id
     spark = docs.sparkSession
     bounds = Bounds(percent)
     typed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = materialize(typed.mapInArrow(_sets(n_words), "doc_id long, n long, node long, toks binary, sketch array<long>"), "sets")
+    found = materialize(typed.mapInArrow(_sets(n_words), "doc_id long, n long, node long, toks binary, sketch binary"), "sets")
     rows = materialize(found.select("doc_id", "n", "node"), "nodes")
     # Sets to index: one copy per task of each that could link with a different one.
     least = next(n for n in range(1, 10_000) if not bounds.alone(n))
@@ -300,26 +358,22 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 90, doc_id
     frequent = bit_table(counts.filter(F.col("count") > FREQUENT), "tok")
     shared = bit_table(counts, "tok")
     if frequent.any():
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, packed(frequent)), "tok long")
+        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, frequent.tobytes()), "tok long")
         frequent = frequent | bit_table(moved.groupBy("tok").count().filter(F.col("count") > FREQUENT), "tok")
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, packed(frequent)), "tok long")
+        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, frequent.tobytes()), "tok long")
         shared = shared | bit_table(moved, "tok")
-    emitted = source.mapInArrow(_postings(bounds, packed(frequent), packed(shared)), "key long, node long, n int, pos int, slack int")
+    emitted = source.mapInArrow(_postings(bounds, frequent.tobytes(), shared.tobytes()), "key long, node long, n int, pos int, slack int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = emitted.repartition(parts, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("n", "pos", "slack")])
     postings = materialize(distinct.withColumn("_c", F.count("*").over(W.partitionBy("key"))).filter("_c > 1").drop("_c"), "postings")
+    free_shuffles(spark)
     wanted = bit_table(postings.select("node").distinct(), "node")
-    near = spark.sparkContext.broadcast(packed(wanted))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(has(near.value, batch.column(0).to_numpy().view(np.uint64))))
-
-    shape = "node long, n long, toks binary, sketch array<long>"
-    some = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("node", "n", "toks", "sketch").mapInArrow(listed, shape)
-    sets = materialize(some.dropDuplicates(["node"]), "link-sets")
+    some = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least))
+    # One row per node that shares a key: narrow, since most pairs end at the sketches. It names a row with the set.
+    listed = some.select("node", "n", "sketch", "doc_id").mapInArrow(_kept_rows(wanted.tobytes()), "node long, n long, sketch binary, doc_id long")
+    nodes = materialize(listed.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "link-nodes")
+    labels = link_components(nodes, some.select("node", "doc_id", "toks"), postings, bounds)
     drop_scratch(found)
-    labels = link_components(sets, postings, bounds)
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named, "labelled")
     classes = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
