@@ -30,21 +30,23 @@ class LineRules:
 
 
 def _masked(line: Column) -> Column:
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
-    return F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", FIELD)
+    """The line with single blanks between tokens and fields for tokens with digits; most lines need neither step."""
+    uneven = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    spaced = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(spaced)
 
 
 def _exploded(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """One row per line that is long enough: doc_id, line_hash, tokens (masked), leaf, masked_hash."""
+    """One row per line that is long enough: doc_id, line_hash, masked, leaf, masked_hash. Tokens are counted by blanks."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    tokens = lines.select("doc_id", F.xxhash64("line").alias("line_hash"), F.split(_masked(F.col("line")), " ").alias("tokens"))
-    lead = F.array_join(F.slice("tokens", 1, rules.depth), " ")
-    return tokens.filter(F.size("tokens") >= rules.min_tokens).select(
+    masked = lines.select("doc_id", F.xxhash64("line").alias("line_hash"), _masked(F.col("line")).alias("masked"))
+    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    return masked.withColumn("_n", n).filter((F.col("masked") != "") & (F.col("_n") >= rules.min_tokens)).select(
         "doc_id",
         "line_hash",
-        "tokens",
-        F.xxhash64(F.size("tokens"), lead).alias("leaf"),
-        F.xxhash64(F.array_join("tokens", " "), F.lit(1)).alias("masked_hash"),
+        "masked",
+        F.xxhash64("_n", F.substring_index("masked", " ", rules.depth)).alias("leaf"),
+        F.xxhash64("masked").alias("masked_hash"),
     )
 
 
@@ -60,7 +62,7 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     rest = narrow.join(known, "masked_hash", "left_anti")
     leaves = materialize(_in_documents(rest, "leaf", rules.min_docs), "leaves")
     inside = lines.join(leaves, "leaf", "left_semi").join(known, "masked_hash", "left_anti")
-    inside = materialize(inside, "leaf-lines")
+    inside = materialize(inside.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
     variants = inside.groupBy("leaf", "masked_hash").agg(F.first("tokens").alias("tokens"))
     tokens = variants.select("leaf", F.posexplode("tokens").alias("pos", "tok"))
     counts = tokens.groupBy("leaf", "pos", "tok").count()
