@@ -457,3 +457,13 @@ def test_pipeline(spark):
     leaked = {r["doc_id"] for r in queries.op3_benchmark_leaks(spark, SF).select("doc_id").collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - leaked
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_output"]
+
+
+def test_pipeline_drops_copies_of_five_words(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = {r["doc_id"] for r in dict(p.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect()}
+    assert kept == {i for i, (_, c) in brute_components(rows, 5, 80).items() if c == i}
+    assert kept < {i for i, (_, c) in brute_components(rows).items() if c == i}
