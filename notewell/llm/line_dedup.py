@@ -3,7 +3,8 @@
 The tree's levels are a line's number of tokens and its leading tokens; tokens with a digit are variable fields and
 count as `<*>`. Within a leaf, a position is constant if one token holds at least half of the leaf's distinct lines, and
 variable otherwise; the constants are the leaf's template. A template that occurs in `min_docs` documents or more recurs,
-and so does any single masked line that does; the lines of recurring templates are dropped from every document.
+and so does any single masked line that does; the lines of recurring templates are dropped from every document. Lines of
+more than `long_tokens` tokens recur from `long_min_docs` documents on.
 
 A leaf is never gathered: templates come from counts by (leaf, position, token), and lines are matched one by one.
 """
@@ -25,9 +26,16 @@ class LineRules:
     depth: int = 3  # leading tokens in the tree
     min_tokens: int = 3  # shorter lines are always kept
     min_docs: int = 10
+    long_tokens: int | None = 50  # longer lines recur from long_min_docs documents on; None: all lines alike
+    long_min_docs: int = 2
     constant_share: tuple[int, int] = (1, 2)  # of a leaf's distinct lines that a constant token needs
     min_constants: tuple[int, int] = (1, 2)  # of a template's positions that must be constant
 
+    def least(self) -> Column:
+        return F.when(F.col("long"), self.long_min_docs).otherwise(self.min_docs)
+
+
+SQL_RULES = LineRules(min_tokens=3, long_tokens=None)  # those of the SQL of op1_line_templates
 
 def _masked(line: Column) -> Column:
     """The line with single blanks between tokens and fields for tokens with digits; most lines need neither step."""
@@ -47,28 +55,32 @@ def _exploded(docs: DataFrame, rules: LineRules) -> DataFrame:
         "masked",
         F.xxhash64("_n", F.substring_index("masked", " ", rules.depth)).alias("leaf"),
         F.xxhash64("masked").alias("masked_hash"),
+        (F.lit(False) if rules.long_tokens is None else F.col("_n") > rules.long_tokens).alias("long"),
     )
 
 
-def _in_documents(rows: DataFrame, key: str, least: int) -> DataFrame:
-    return rows.select(key, "doc_id").distinct().groupBy(key).count().filter(F.col("count") >= least).select(key)
+def _in_documents(rows: DataFrame, key: str, rules: LineRules) -> DataFrame:
+    counts = rows.select(key, "doc_id", "long").distinct().groupBy(key, "long").count()
+    return counts.filter(F.col("count") >= rules.least()).select(key)
 
 
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """doc_id and line_hash of the lines to drop."""
     lines = _exploded(docs, rules)
-    narrow = materialize(lines.select("doc_id", "line_hash", "leaf", "masked_hash"), "lines")
-    known = materialize(_in_documents(narrow, "masked_hash", rules.min_docs), "known-lines")
+    narrow = materialize(lines.select("doc_id", "line_hash", "leaf", "masked_hash", "long"), "lines")
+    known = materialize(_in_documents(narrow, "masked_hash", rules), "known-lines")
     rest = narrow.join(known, "masked_hash", "left_anti")
-    leaves = materialize(_in_documents(rest, "leaf", rules.min_docs), "leaves")
+    leaves = materialize(_in_documents(rest, "leaf", rules), "leaves")
     inside = lines.join(leaves, "leaf", "left_semi").join(known, "masked_hash", "left_anti")
     inside = materialize(inside.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
-    variants = inside.groupBy("leaf", "masked_hash").agg(F.first("tokens").alias("tokens"))
-    tokens = variants.select("leaf", F.posexplode("tokens").alias("pos", "tok"))
-    counts = tokens.groupBy("leaf", "pos", "tok").count()
-    best = counts.groupBy("leaf", "pos").agg(F.max(F.struct("count", "tok")).alias("m"), F.sum("count").alias("all"))
+    variants = inside.groupBy("leaf", "masked_hash", "long").agg(F.first("tokens").alias("tokens"))
+    tokens = variants.select("leaf", "long", F.posexplode("tokens").alias("pos", "tok"))
+    counts = tokens.groupBy("leaf", "long", "pos", "tok").count()
+    best = counts.groupBy("leaf", "long", "pos").agg(F.max(F.struct("count", "tok")).alias("m"), F.sum("count").alias("all"))
     a, b = rules.constant_share
-    constant = (F.col("m.count") * b >= F.col("all") * a) & (F.col("m.tok") != FIELD)
+    # More than the share where two lines may make a template: else all their positions were constant.
+    share = F.col("m.count") * b - F.col("all") * a
+    constant = F.when(F.col("long"), share > 0).otherwise(share >= 0) & (F.col("m.tok") != FIELD)
     c, d = rules.min_constants
     templates = (
         best.groupBy("leaf")
@@ -80,8 +92,8 @@ def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
         .select("leaf", "constants")
     )
     fits = F.expr("forall(constants, x -> tokens[x.pos] = x.tok)")
-    matched = materialize(inside.join(templates, "leaf").filter(fits).select("doc_id", "line_hash", "leaf"), "template-lines")
-    again = _in_documents(matched, "leaf", rules.min_docs)
+    matched = materialize(inside.join(templates, "leaf").filter(fits).select("doc_id", "line_hash", "leaf", "long"), "template-lines")
+    again = _in_documents(matched, "leaf", rules)
     return (
         narrow.join(known, "masked_hash", "left_semi").select("doc_id", "line_hash")
         .union(matched.join(again, "leaf", "left_semi").select("doc_id", "line_hash"))

@@ -61,9 +61,9 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(table(spark, sf_dir, "documents"))
 
 
-def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _without_lines(spark: SparkSession, sf_dir: str, rules: line_dedup.LineRules) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select(
+    return line_dedup.dedup_lines(docs, rules).select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
         F.col("n_dropped").cast("long").alias("n_dropped"),
@@ -72,6 +72,15 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_lines(spark, sf_dir, line_dedup.SQL_RULES)
+
+
+def op1_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator with its own rules, which op1_line_templates' SQL does not have."""
+    return _without_lines(spark, sf_dir, line_dedup.LineRules())
+
+
 def op2_rp_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ann.clean_vectors(table(spark, sf_dir, "embeddings"))
     return ann.nearest(rows, rows.filter("vec_id % 50 = 0"), k=5)
@@ -103,6 +112,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_templates": op1_line_templates,
+    "op1_recurring_lines": op1_recurring_lines,
     "op2_rp_forest_neighbours": op2_rp_forest_neighbours,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_rendezvous_shards": op4_rendezvous_shards,

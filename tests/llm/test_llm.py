@@ -71,6 +71,20 @@ def test_line_templates_odd_rows(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    long, own = " ".join(word() for _ in range(60)), [" ".join(word() for _ in range(60)) for _ in range(2)]
+    near = long.split()
+    near[30] = "other"
+    rows = [(i, f"{long}\nshort line of text\n{own[i]}", "en", "a", 0) for i in range(2)] + [(2, " ".join(near[:59] + ["end"]), "en", "a", 0)]
+    form = [" ".join(["form", "of", "it", *[word()] * 1, *long.split()[:56]]) for _ in range(2)]
+    rows += [(3 + i, form[i], "en", "a", 0) for i in range(2)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [out[i] for i in range(2)] == [f"short line of text\n{own[i]}" for i in range(2)]
+    assert out[2] != "" and out[3] == out[4] == ""
+
+
 # 2 neighbours ----------------------------------------------------------------------------------------------------
 
 
