@@ -24,7 +24,7 @@ FIELD = "<*>"
 @dataclass(frozen=True)
 class LineRules:
     depth: int = 3  # leading tokens in the tree
-    min_tokens: int = 3  # shorter lines are always kept
+    min_tokens: int = 1  # shorter lines are always kept
     min_docs: int = 10
     long_tokens: int | None = 50  # longer lines recur from long_min_docs documents on; None: all lines alike
     long_min_docs: int = 2

@@ -85,6 +85,14 @@ def test_long_lines_recur_from_two_documents(spark):
     assert out[2] != "" and out[3] == out[4] == ""
 
 
+def test_short_lines_recur(spark):
+    rows = [(i, f"Read more\nown words of {'abcdefghijkl'[i] * 3} stay\nLes.", "en", "a", 0) for i in range(12)]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert all(out[i] >= 2 for i in range(12))
+    kept = line_dedup.dedup_lines(frame(spark, rows), line_dedup.SQL_RULES).collect()
+    assert all("Read more" in r["text"] and "Les." in r["text"] for r in kept)
+
+
 # 2 neighbours ----------------------------------------------------------------------------------------------------
 
 
