@@ -5,16 +5,21 @@ frequent ones last, by hash within a class. Two sets of Jaccard similarity t sha
 prefixes of n - ceil(t * n) + 1 + c tokens. So, with the frequent tokens dealt into c classes, a pair shares a rare
 token of both prefixes, or two frequent tokens of one class. Rare tokens are indexed alone, frequent ones as pairs
 within their class; c grows with the set's size, so that a document never makes more than some pairs for each token.
-Sets of like size (within t) fall into the same or neighbouring size bands, which fixes c for every pair.
+Sets of like size (within t) fall into the same or neighbouring size bands, which fixes c for every pair; every key of
+the index holds its band.
 
 Which tokens are frequent is counted over the prefixes of all documents, and again for the tokens that move up when the
-frequent ones are set back. The answer is kept in a bit table of fixed size; a wrong bit moves a token to the other end
-of the order for every document alike, which costs time and loses nothing.
-
-Under a key of the index there may be thousands of near copies. They are first verified against one member (three
-rounds, with other members), and what these links connect needs no further comparison; then all pairs of a key that
-are still in different components and pass the size, position and sketch bounds are verified exactly. So the components
-are those of all links, while equal sets are one node and pairs within a component are not listed.
+frequent ones are set back. The answer is kept in a bit table; a wrong bit moves a token to the other end of the order
+for every document alike, which costs time and loses nothing.
+
+No pair is listed under a key. The least member of a key is its hub, and all members of a hub's keys form its group, one
+narrow row for each. A group is split into cells of bounded size, two cells meet in one unit of work, and there parity
+sketches of the sets decide which pairs of different components are likely links. A unit names only pairs that connect
+what is not yet connected, so its output is no longer than its input. Those pairs are verified exactly, links join
+components, and groups that still hold several components are gone through again; the last pass names every likely pair
+left. So the components are those of all links, equal sets are one node, and links within a component are not listed.
+Near copies that are many, pairwise unlinked and close to the bound are compared pair by pair in their units' memory:
+that part of the work has no bound below the square of such a group, it is dealt out over cells.
 """
 
 from __future__ import annotations
@@ -23,51 +28,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_scratch, free_shuffles, materialize
+from .shared import ascii_words, drop_scratch, materialize, slices
 
 FREQUENT = 50  # prefixes that a token is in, above which it is of a frequent class
-BITS = 25  # a bit table has 2**25 bits
+LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 16 for each value, up to 2**28
 SKETCH_BITS = 4  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
 CLASS_SIZE = 8
+SLICE_BYTES = 1 << 20  # of text, or of sets, in one step of a task
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-_MAX_WORDS = 300_000
-_known: dict[bytes, int] = {}
 
 
 def _rot(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
 
-def shingle_sets(texts: list[bytes | None], n_words: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, n_words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z in lower case, words between ASCII blanks."""
-    if len(_known) > _MAX_WORDS:
-        _known.clear()
-    known, out = _known, []
-    for text in texts:
-        words = text.lower().split() if text else []
-        h = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            v = known.get(w)
-            if v is None:
-                v = known[w] = xxhash.xxh64_intdigest(w)
-            h[i] = v
-        size = min(n_words, len(words))
-        if not size:
-            out.append(h)
-            continue
-        n = len(words) - size + 1
-        s = np.full(n, size, np.uint64) * _K[4]
-        for k in range(size):
-            s = _rot(s ^ (h[k : n + k] * _K[k % 3]), 23) * _K[3]
-        s = (s ^ (s >> np.uint64(33))) * _K[4]
-        out.append(np.unique(s ^ (s >> np.uint64(29))))
-    return out
+    lists = ascii_words(texts)
+    words = lists.flatten().dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    real = np.array(pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0, bool)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    per_text = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(texts)), per_text)
+    some = real[at] if len(at) else np.zeros(0, bool)
+    at, owner = at[some], owner[some]
+    h = hashes[at] if len(at) else np.zeros(0, np.uint64)
+    n_of = np.bincount(owner, minlength=len(texts))
+    ends = np.cumsum(n_of)
+    size = np.minimum(n_words, n_of)  # words of a shingle: all words of a shorter text
+    s = np.repeat(size.astype(np.uint64), n_of) * _K[4]
+    for k in range(n_words):
+        # Within a shorter text only its first position counts, and that one stops at its last word.
+        shifted = np.concatenate([h[k:], np.zeros(min(k, len(h)), np.uint64)]) * _K[k % 3]
+        mixed = _rot(s ^ shifted, 23) * _K[3]
+        s = mixed if (n_of > k).all() else np.where(np.repeat(size, n_of) > k, mixed, s)
+    s = (s ^ (s >> np.uint64(33))) * _K[4]
+    s ^= s >> np.uint64(29)
+    return [np.unique(s[e - n : e - z + 1]) if n else s[:0] for e, n, z in zip(ends, n_of, size)]
 
 
 class Bounds:
@@ -94,30 +99,32 @@ class Bounds:
         """A set so small that only equal ones can link with it."""
         return 100 * n < self.percent * (n + 1)
 
-    def overlap(self, a: Column, b: Column) -> Column:
-        """Least intersection of linked sets of these sizes."""
-        return F.ceil((a + b).cast("long") * self.percent / F.lit(100.0 + self.percent) - F.lit(1e-9))
+    def most(self, total: np.ndarray) -> np.ndarray:
+        """Shingles in one set only that two linked sets of `total` shingles together may have."""
+        return total - 2 * -(-self.percent * total // (100 + self.percent))
 
 
-def bit_table(values: DataFrame, column: str) -> np.ndarray:
-    """2**BITS bits, packed, with those of the values set; at most 2**BITS / 64 rows reach the driver."""
-    at = F.pmod(F.col(column), F.lit(1 << BITS))
+def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits, packed, with those of the values set; at most 2**bits / 64 rows reach the driver."""
+    at = F.pmod(F.col(column), F.lit(1 << bits))
     words = values.select(F.shiftrightunsigned(at, 6).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("s"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toPandas()
-    table = np.zeros((1 << BITS) // 64, np.int64)
+    table = np.zeros((1 << bits) // 64, np.int64)
     table[words["w"].to_numpy()] = words["v"].to_numpy()
     return table.view(np.uint8)
 
 
-def has(table: bytes, tokens: np.ndarray) -> np.ndarray:
-    at = tokens & np.uint64((1 << BITS) - 1)
-    return (np.frombuffer(table, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def bits_for(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+
 
+def has(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = tokens & np.uint64(8 * len(table) - 1)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def ordered(tokens: np.ndarray, frequent: bytes | None) -> tuple[np.ndarray, int]:
+
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
     """Tokens in the common order, and how many are rare."""
-    if frequent is None:
-        return tokens, len(tokens)
     f = has(frequent, tokens)
     return np.concatenate([tokens[~f], tokens[f]]), int((~f).sum())
 
@@ -128,49 +135,30 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(s & np.uint64(m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
-def sketch_difference(a: bytes, b: bytes) -> int:
-    """At most the number of shingles in one set only. The longer sketch is folded to the length of the other."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _near(percent: int):
-    """The pairs whose sketches leave room for the intersection that a link needs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, s_a, s_b = (batch.column(i).to_pylist() for i in range(2, 6))
-            most = [x + y - 2 * -(-percent * (x + y) // (100 + percent)) for x, y in zip(n_a, n_b)]
-            keep = pa.array([sketch_difference(x, y) <= d for x, y, d in zip(s_a, s_b, most)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return run
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of half the length, for a set or for each row of many."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
 
 
 def _sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), n_words)
-                node, toks, sketch = [], [], []
+            for part in slices(batch, 2, SLICE_BYTES):
+                sets = shingle_sets(part.column(2), n_words)
+                node, toks = [], []
                 for s in sets:
                     raw = s.tobytes()
                     d = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)) if len(s) else None
                     first = d is not None and d not in seen
                     node.append(d)
                     toks.append(raw if first else None)
-                    sketch.append(_sketch(s) if first else None)
                     if first:
                         seen.add(d)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary()), pa.array(sketch, pa.binary())],
-                    names=["doc_id", "n", "node", "toks", "sketch"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary())],
+                    names=["doc_id", "text_key", "n", "node", "toks"],
                 )
 
     return run
@@ -181,76 +169,196 @@ def _tokens(batch: pa.RecordBatch, at: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint64)
 
 
-def _prefix_tokens(bounds: Bounds, frequent: bytes | None):
-    """Tokens of the prefixes; given the frequent ones, only those that moved into a prefix because of them."""
+def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None):
+    """Tokens of the prefixes and the bands they take part in, as bits; given the frequent ones, only the tokens that
+    moved into a prefix because of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros(0, np.uint64)]
-            for s in _tokens(batch, 0):
-                q = bounds.prefix(len(s), max(bounds.classes(bounds.band(len(s)) + k) for k in (0, 1)))
-                if frequent is None:
-                    out.append(s[:q])
-                elif has(frequent, s[:q]).any():
-                    order, rare = ordered(s, frequent)
-                    moved = order[: min(q, rare)]
-                    out.append(moved[~np.isin(moved, s[:q], assume_unique=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["tok"])
+            for part in slices(batch, 0, 4 * SLICE_BYTES):
+                out, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for s in _tokens(part, 0):
+                    band = bounds.band(len(s))
+                    q = bounds.prefix(len(s), max(bounds.classes(band + k) for k in (0, 1)))
+                    found = s[:q]
+                    if frequent is not None:
+                        if not has(frequent.value, found).any():
+                            continue
+                        order, rare = ordered(s, frequent.value)
+                        moved = order[: min(q, rare)]
+                        found = moved[~np.isin(moved, found, assume_unique=True)]
+                    out.append(found)
+                    bands.append(np.full(len(found), (1 << band % 62) | (1 << (band + 1) % 62)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(bands))], names=["tok", "bands"])
 
     return run
 
 
-def _postings(bounds: Bounds, frequent: bytes, shared: bytes):
+def _postings(bounds: Bounds, frequent: Broadcast, shared: Broadcast):
+    """key, node and n: rare tokens alone, pairs of frequent ones of a class, each in both bands of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows: list[tuple[np.ndarray, ...]] = []
-                for d, s in zip(part.column(1).to_pylist(), _tokens(part, 0)):
-                    n = len(s)
-                    order, rare = ordered(s, frequent)
+            for part in slices(batch, 0, SLICE_BYTES, 500):
+                keys: list[np.ndarray] = []
+                counts = np.zeros(part.num_rows, np.int64)
+                sizes = np.zeros(part.num_rows, np.int32)
+                for row, s in enumerate(_tokens(part, 0)):
+                    n = sizes[row] = len(s)
+                    order, rare = ordered(s, frequent.value)
                     own = bounds.band(n)
-                    most = max(bounds.classes(own), bounds.classes(own + 1))
-                    single = order[: min(rare, bounds.prefix(n, most))]
-                    keep = np.flatnonzero(has(shared, single))
-                    rows.append((single[keep], np.full(len(keep), d), np.full(len(keep), n), keep, np.zeros(len(keep), np.int64)))
-                    for band in (own, own + 1):
-                        classes = bounds.classes(band)
-                        tail = order[rare : bounds.prefix(n, classes)]
-                        if len(tail) < 2:
-                            continue
-                        kind = (tail >> np.uint64(40)) % np.uint64(classes)
-                        by = np.argsort(kind, kind="stable")
-                        cuts = np.flatnonzero(np.diff(kind[by])) + 1
-                        for group in np.split(by, cuts):
-                            if len(group) > 1:
-                                i, j = np.triu_indices(len(group), 1)
-                                a, b = tail[group[i]], tail[group[j]]
-                                key = _rot(a * _K[0] ^ _rot(b * _K[1], 31), 17) * _K[3] + np.uint64(band)
-                                rows.append((key, np.full(len(i), d), np.full(len(i), n), rare + group[j], np.full(len(i), classes)))
-                if not rows:
-                    continue
-                key, node, n, pos, slack = (np.concatenate(c) for c in zip(*rows))
+                    often = [bounds.classes(band) for band in (own, own + 1)]
+                    known = order[: min(rare, bounds.prefix(n, max(often)))]
+                    in_others = has(shared.value, known)
+                    for band, classes in zip((own, own + 1), often):
+                        salt = np.uint64((band + 1) * int(_K[2]) % 2**64)
+                        q = bounds.prefix(n, classes)
+                        single = known[:q][in_others[:q]]
+                        found = [_rot(single ^ salt, 29) * _K[0]]
+                        tail = order[rare:q]
+                        if len(tail) > 1:
+                            kind = (tail >> np.uint64(40)) % np.uint64(classes)
+                            by = np.argsort(kind, kind="stable")
+                            for group in np.split(by, np.flatnonzero(np.diff(kind[by])) + 1):
+                                if len(group) > 1:
+                                    i, j = np.triu_indices(len(group), 1)
+                                    found.append(_rot(tail[group[i]] * _K[0] ^ _rot(tail[group[j]] * _K[1], 31) ^ salt, 17) * _K[3])
+                        for k in found:
+                            keys.append(k)
+                            counts[row] += len(k)
+                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                node = np.repeat(part.column(1).to_numpy(), counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(node.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(slack.astype(np.int32))],
-                    names=["key", "node", "n", "pos", "slack"],
+                    [pa.array(key.view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, counts))], names=["key", "node", "n"]
                 )
 
     return run
 
 
-def _kept_rows(table: bytes):
-    """Rows whose first column, a long, is in the bit table."""
+def _sketches(wanted: Broadcast):
+    """node, n and sketch of the sets whose node is in the bit table, and where the set is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has(table, batch.column(0).to_numpy().view(np.uint64))))
+            for part in slices(batch, 0, 4 * SLICE_BYTES):
+                part = part.filter(pa.array(has(wanted.value, part.column(1).to_numpy().view(np.uint64))))
+                sets = list(_tokens(part, 0))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array([len(s) for s in sets], pa.int32()), pa.array([_sketch(s) for s in sets], pa.binary()), part.column(2), part.column(3)],
+                    names=["node", "n", "sketch", "doc_id", "text_key"],
+                )
+
+    return run
+
+
+CELL_ROWS, CELL_BYTES = 2000, 4 << 20  # of a cell of a group, about
+SMALL = 24  # members of a unit up to which it is compared pair by pair
+
+
+class _Unit:
+    """Members of one unit of work, in the order in which they came: hub, lo, hi, own cell, node, label, n, sketch."""
+
+    def __init__(self, rows: list[tuple], bounds: Bounds):
+        self.rows, self.bounds = sorted(rows, key=lambda r: (r[6], r[4])), bounds
+        self.cross = rows[0][1] != rows[0][2]
+
+    def likely(self, every: bool) -> list[tuple[int, int]]:
+        """Pairs (node, node of the smaller set) of different labels whose sketches leave room for a link. Unless every
+        pair is asked for, only those that connect members which earlier ones do not."""
+        return self._one_by_one(every) if len(self.rows) <= SMALL else self._in_blocks(every)
+
+    def _one_by_one(self, every: bool) -> list[tuple[int, int]]:
+        rows, percent = self.rows, self.bounds.percent
+        out, comp = [], [r[5] for r in rows]
+        bits = [int.from_bytes(r[7], "little") for r in rows]
+        width = [8 * len(r[7]) for r in rows]
+        for i, a in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                b = rows[j]
+                if 100 * a[6] < percent * b[6]:
+                    break
+                if (comp[i] == comp[j] if not every else a[5] == b[5]) or (self.cross and a[3] == b[3]):
+                    continue
+                x, y = bits[i], bits[j]
+                for w in range(width[j].bit_length() - 1, width[i].bit_length() - 1, -1):
+                    half = 1 << (w - 1)
+                    y = (y & ((1 << half) - 1)) ^ (y >> half)
+                total = a[6] + b[6]
+                if (x ^ y).bit_count() <= total - 2 * -(-percent * total // (100 + percent)):
+                    out.append((b[4], a[4]))
+                    old, new = comp[j], comp[i]
+                    comp = [new if c == old else c for c in comp]
+        return out
+
+    def _in_blocks(self, every: bool) -> list[tuple[int, int]]:
+        rows = self.rows
+        n, side, label = (np.array([r[k] for r in rows], np.int64) for k in (6, 3, 5))
+        length = np.array([len(r[7]) for r in rows])
+        comp = np.unique(label, return_inverse=True)[1]
+        out: list[tuple[int, int]] = []
+        # A sketch is at most twice as long as that of a set it can link with, for sizes within a half.
+        for size in np.unique(length):
+            own, double = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+            m = np.frombuffer(b"".join(rows[i][7] for i in own), np.uint64).reshape(len(own), -1)
+            wide = np.frombuffer(b"".join(rows[i][7] for i in double), np.uint64).reshape(len(double), 2 * m.shape[1])
+            other = np.concatenate([own, double])
+            all_bits = np.ascontiguousarray(np.concatenate([m, folded(wide)] if len(double) else [m]).T)
+            step = max(1, min(64, (1 << 18) // len(other)))
+            for start in range(0, len(own), step):
+                mine = own[start : start + step]
+                stop = int(np.searchsorted(n[other], n[mine[-1]] * 100 // self.bounds.percent, side="right"))
+                there = other[start + 1 : stop]
+                if not len(there):
+                    continue
+                d = np.zeros((len(mine), len(there)), np.int32)
+                for w in range(len(all_bits)):
+                    d += np.bitwise_count(m[start : start + step, w, None] ^ all_bits[None, w, start + 1 : stop])
+                total = n[mine, None] + n[None, there]
+                fine = (d <= self.bounds.most(total)) & (100 * n[mine, None] >= self.bounds.percent * n[None, there])
+                fine &= (label[mine, None] != label[None, there]) & (mine[:, None] < there[None])
+                if self.cross:
+                    fine &= side[mine, None] != side[None, there]
+                for k in np.flatnonzero(fine.any(1)):
+                    i, js = mine[k], there[fine[k]]
+                    if not every:
+                        js = js[comp[js] != comp[i]]
+                        joined, first = np.unique(comp[js], return_index=True)
+                        js = js[first]
+                        comp[np.isin(comp, joined)] = comp[i]
+                    out += [(rows[j][4], rows[i][4]) for j in js]
+        return out
+
+
+def _likely(bounds: Bounds, every: bool):
+    """Rows in the order of hub, lo and hi: the likely pairs of each unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows, out = None, [], []
+
+        def batch_of() -> pa.RecordBatch:
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for part in slices(batch, 7, 4 * SLICE_BYTES):
+                for row in zip(*(part.column(i).to_pylist() for i in range(8))):
+                    if row[:3] != unit:
+                        if len(rows) > 1:
+                            out += _Unit(rows, bounds).likely(every)
+                        unit, rows = row[:3], []
+                        if len(out) > 100_000:
+                            yield batch_of()
+                            out = []
+                    rows.append(row)
+        if len(rows) > 1:
+            out += _Unit(rows, bounds).likely(every)
+        yield batch_of()
 
     return run
 
 
 MEMBERS = 500  # sets that are compared with one copy of a hub's set
-BROADCAST_PAIRS = 1_000_000  # rows of three longs
+BROADCAST_ROWS = 200_000  # rows of four longs
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,124 +366,160 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, own = None, np.zeros(0, np.uint64)
     for batch in batches:
         out: list[tuple[int, int, int, int, int]] = []
-        columns = (batch.column(i).to_pylist() for i in range(4))
-        for hub, salt, member, toks in zip(*columns):
-            tokens = np.frombuffer(toks, np.uint64)
-            if (hub, salt) != part:
-                part, own = (hub, salt), tokens
-            elif member != hub:
-                out.append((hub, member, len(own), len(tokens), len(np.intersect1d(own, tokens, assume_unique=True))))
+        for piece in slices(batch, 3, 4 * SLICE_BYTES):
+            columns = (piece.column(i).to_pylist() for i in range(4))
+            for hub, salt, member, toks in zip(*columns):
+                tokens = np.frombuffer(toks, np.uint64)
+                if (hub, salt) != part:
+                    part, own = (hub, salt), tokens
+                elif member != hub:
+                    at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                    out.append((hub, member, len(own), len(tokens), int((own[at] == tokens).sum())))
         columns = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_a", "n_b", "both"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The pairs (a, b) that are links: first by the sketches' bound on the difference, then by the sets themselves.
+def _wanted_rows(table: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(has(table.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
 
-    nodes: node, n, sketch and the doc_id of the row that holds the set. sets: node, doc_id, toks. Each set of a likely
+
+def _verified(likely: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """The pairs (a, b) that are links by the sets themselves.
+
+    nodes: node, doc_id and text_key of the row that holds the set. sets: node, doc_id, text_key, toks. Each set of a
     pair moves to its hub (b) once; a hub with many members is split into parts, with a copy of its set in each.
     """
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    likely = pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(bounds.percent), "a long, b long")
-    likely = materialize(likely, "likely")
+    spark = sets.sparkSession
     parts = likely.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_k"))
     members = likely.join(parts, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("_k")).cast("int").alias("salt"))
     hubs = parts.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"))
-    need = members.union(hubs).join(nodes.select("node", F.col("doc_id").alias("_at")), "node")
-    need = materialize(need.withColumnRenamed("node", "_node"), "moves")
-    named = F.broadcast(need) if need.count() <= BROADCAST_PAIRS else need
-    moved = sets.join(named, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_at")))
-    shuffled = moved.select("hub", "salt", F.col("node").alias("member"), "toks", (F.col("node") != F.col("hub")).alias("_m"))
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = shuffled.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "_m").drop("_m")
-    counted = placed.mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long")
+    at = nodes.select("node", F.col("doc_id").alias("_at"), F.col("text_key").alias("_key"))
+    need = materialize(members.union(hubs).join(at, "node").withColumnRenamed("node", "_node"), "moves")
+    n = need.count()
+    held = sets
+    if n > BROADCAST_ROWS:  # few of the sets are needed: only those are shuffled
+        wanted = spark.sparkContext.broadcast(bit_table(need, "_node", bits_for(n)))
+        held = sets.select("node", "doc_id", "text_key", "toks").mapInArrow(_wanted_rows(wanted), "node long, doc_id long, text_key long, toks binary")
+    named = F.broadcast(need) if n <= BROADCAST_ROWS else need
+    same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_at")) & (F.col("text_key") == F.col("_key"))
+    shuffled = held.join(named, same).select("hub", "salt", F.col("node").alias("member"), "toks", (F.col("node") != F.col("hub")).alias("_m"))
+    placed = shuffled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "salt")
+    counted = placed.sortWithinPartitions("hub", "salt", "_m").drop("_m").mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long")
     union = F.col("n_a") + F.col("n_b") - F.col("both")
-    return materialize(counted.filter(100 * F.col("both") >= bounds.percent * union).select("a", "b").distinct(), "links")
+    links = materialize(counted.filter(100 * F.col("both") >= bounds.percent * union).select("a", "b").distinct(), "links")
+    drop_scratch(need)
+    return links
+
 
+PASSES = 3  # over groups of several components, before the one that names all likely pairs
 
-def _passes(bounds: Bounds, slack: Column, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
-    return slack + F.least(n1 - p1, n2 - p2) >= bounds.overlap(n1, n2)
 
+def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame | None:
+    """node and label for all nodes that link with another one.
 
-def link_components(nodes: DataFrame, sets: DataFrame, postings: DataFrame, bounds: Bounds) -> DataFrame:
-    """node and label for all nodes that link with another one."""
-    spark = postings.sparkSession
-    edges: list[DataFrame] = []
+    groups: hub, node, n, the hub among its members. nodes: node, n, sketch, doc_id, text_key.
+    """
+    spark = groups.sparkSession
     labels: DataFrame | None = None
-    live = postings
-    picks = [F.col("node"), -F.col("node"), F.xxhash64("node", F.lit(3))]
-    for step in range(len(picks) + 1):
-        if labels is not None:
-            named = live.drop("label").join(labels.select("node", "label"), "node", "left")
-            live = named.withColumn("label", F.coalesce("label", "node"))
+    live, owned = groups, []
+    for step in range(PASSES + 1):
+        every = step == PASSES
+        if labels is None:
+            named = live.withColumn("label", F.col("node"))
         else:
-            live = live.withColumn("label", F.col("node"))
-        split = live.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("key")
-        live = materialize(live.join(split, "key", "left_semi"), "live")
-        if not live.limit(1).count():
+            whole = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            named = whole = materialize(whole, "named")
+            mixed = named.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("hub")
+            named = materialize(named.join(mixed, "hub", "left_semi"), "live")
+            drop_scratch(whole, *owned)
+            owned, live = [named], named.drop("label")
+        size = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_BYTES)).cast("int")
+        cells = named.groupBy("hub").agg(size.alias("_c")).filter("_c > 1")
+        celled = named.join(cells, "hub", "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+        celled = celled.withColumn("own", F.pmod(F.xxhash64("node", F.lit(step)), F.col("_c")).cast("int"))
+        celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+        units = celled.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label")
+        sized = units.join(nodes.select("node", "n", "sketch"), "node").select("hub", "lo", "hi", "own", "node", "label", "n", "sketch")
+        placed = sized.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "lo", "hi")
+        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, every), "a long, b long")
+        if step < PASSES - 1:
+            # One pair for each node: what the others would link mostly follows.
+            found = found.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        likely = materialize(found.distinct(), "likely")
+        if not likely.limit(1).count():
+            drop_scratch(likely)
             break
-        if step < len(picks):
-            member = F.struct(picks[step].alias("o"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("label").alias("l_b"))
-            hubs = live.groupBy("key").agg(F.min(member).alias("h")).select("key", "h.*").drop("o")
-            met = live.join(hubs, "key").filter("label != l_b")
-            met = met.filter(_passes(bounds, F.col("slack"), F.col("n"), F.col("pos"), F.col("n_b"), F.col("p_b")))
-            # One member of the most keys for each node: what the others would link mostly follows.
-            met = met.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("_k"))
-            pairs = met.groupBy("a").agg(F.max(F.struct("_k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        else:
-            other = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("label").alias("l_b"))
-            within = _passes(bounds, F.col("slack"), F.col("n"), F.col("pos"), F.col("n_b"), F.col("p_b"))
-            met = live.withColumnRenamed("key", "k").join(other, (F.col("k") == F.col("key")) & (F.col("node") < F.col("b")) & (F.col("label") != F.col("l_b")) & within)
-            pairs = met.select(F.col("node").alias("a"), "b").distinct()
-        edges.append(_verified(pairs, nodes, sets, bounds))
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.union(more)
-        labels = components(every)
-        free_shuffles(spark)
-    if labels is None:
-        return postings.select("node", F.col("node").alias("label")).limit(0)
+        links = _verified(likely, nodes, sets, bounds)
+        edges = links if labels is None else links.union(labels.select("node", "label"))
+        old, labels = labels, components(edges)
+        drop_scratch(likely, links, *([old] if old is not None else []))
+    drop_scratch(*owned)
     return labels
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links lead to).
+def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, text_key (xxhash64 of the text), n (size of the set), label (null for an empty set).
 
-    A text of fewer than n_words words is one shingle; a null text and one without words have none and link with
-    nothing. Repeated rows link with each other; null ids take part and never name a component unless all its ids are
-    null. Sets and shingles are told apart by 64-bit hashes.
+    Rows of one label are connected by links. The table is materialized.
     """
     spark = docs.sparkSession
     bounds = Bounds(percent)
-    typed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = materialize(typed.mapInArrow(_sets(n_words), "doc_id long, n long, node long, toks binary, sketch binary"), "sets")
-    rows = materialize(found.select("doc_id", "n", "node"), "nodes")
+    typed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    found = materialize(typed.mapInArrow(_sets(n_words), "doc_id long, text_key long, n long, node long, toks binary"), "sets")
     # Sets to index: one copy per task of each that could link with a different one.
     least = next(n for n in range(1, 10_000) if not bounds.alone(n))
-    source = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("toks", "node")
-    counts = materialize(source.select("toks").mapInArrow(_prefix_tokens(bounds, None), "tok long").groupBy("tok").count().filter("count > 1"), "prefix")
-    frequent = bit_table(counts.filter(F.col("count") > FREQUENT), "tok")
-    shared = bit_table(counts, "tok")
+    source = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("toks", "node", "doc_id", "text_key")
+    shape = "tok long, bands long"
+    share = lambda x: spark.sparkContext.broadcast(x)
+    counted = source.select("toks").mapInArrow(_prefix_tokens(bounds), shape).groupBy("tok").agg(F.count("*").alias("count"), F.bit_or("bands").alias("bands"))
+    # A token whose documents have no band in common leads to no pair.
+    counts = materialize(counted.filter("count > 1 AND 2 * count > bit_count(bands)").select("tok", "count"), "prefix")
+    often, held = counts.filter(F.col("count") > FREQUENT), counts.count()
+    bits = bits_for(often.count())
+    frequent = bit_table(often, "tok", bits)
+    shared = bit_table(counts, "tok", bits_for(held))
     if frequent.any():
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, frequent.tobytes()), "tok long")
-        frequent = frequent | bit_table(moved.groupBy("tok").count().filter(F.col("count") > FREQUENT), "tok")
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, frequent.tobytes()), "tok long")
-        shared = shared | bit_table(moved, "tok")
-    emitted = source.mapInArrow(_postings(bounds, frequent.tobytes(), shared.tobytes()), "key long, node long, n int, pos int, slack int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = emitted.repartition(parts, "key").groupBy("key", "node").agg(*[F.first(c).alias(c) for c in ("n", "pos", "slack")])
-    postings = materialize(distinct.withColumn("_c", F.count("*").over(W.partitionBy("key"))).filter("_c > 1").drop("_c"), "postings")
-    free_shuffles(spark)
-    wanted = bit_table(postings.select("node").distinct(), "node")
-    some = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least))
-    # One row per node that shares a key: narrow, since most pairs end at the sketches. It names a row with the set.
-    listed = some.select("node", "n", "sketch", "doc_id").mapInArrow(_kept_rows(wanted.tobytes()), "node long, n long, sketch binary, doc_id long")
-    nodes = materialize(listed.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "link-nodes")
-    labels = link_components(nodes, some.select("node", "doc_id", "toks"), postings, bounds)
-    drop_scratch(found)
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialize(named, "labelled")
-    classes = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
-    out = named.join(classes, "label", "left")
+        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, share(frequent)), shape).groupBy("tok").count()
+        frequent = frequent | bit_table(moved.filter(F.col("count") > FREQUENT), "tok", bits)
+        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, share(frequent)), shape)
+        shared = shared | bit_table(moved, "tok", bits_for(held))
+    drop_scratch(counts)
+    emitted = source.select("toks", "node").mapInArrow(_postings(bounds, share(frequent), share(shared)), "key long, node long, n int")
+    emitted = materialize(emitted, "postings")
+    hubs = emitted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_hi")).filter("hub != _hi").select("key", "hub")
+    members = emitted.join(hubs, "key").select("hub", "node", "n").distinct()  # the hub itself is a member of its keys
+    groups = materialize(members, "groups")
+    drop_scratch(emitted)
+    n_rows = groups.count()
+    wanted = share(bit_table(groups.select("node").distinct(), "node", bits_for(n_rows)))
+    listed = source.mapInArrow(_sketches(wanted), "node long, n int, sketch binary, doc_id long, text_key long")
+    where = F.min(F.struct("doc_id", "text_key")).alias("_w")
+    nodes = listed.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), where)
+    nodes = materialize(nodes.select("node", "n", "sketch", "_w.doc_id", "_w.text_key"), "nodes")
+    labels = link_components(groups, nodes, source, bounds)
+    rows = found.select("doc_id", "text_key", "n", "node")
+    if labels is not None:
+        rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    else:
+        rows = rows.withColumn("label", F.col("node"))
+    rows = materialize(rows.select("doc_id", "text_key", "n", "label"), "classes")
+    drop_scratch(found, groups, nodes, *([labels] if labels is not None else []))
+    return rows
+
+
+def near_duplicates(docs: DataFrame, n_words: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links lead to).
+
+    A text of fewer than n_words words is one shingle; a null text and one without words have none and link with
+    nothing. Texts of any length are taken whole. Repeated rows link with each other; null ids take part and never name
+    a component unless all its ids are null. Other columns of docs are not read. Without rows the result is empty. Sets
+    and shingles are told apart by 64-bit hashes.
+    """
+    rows = near_duplicate_classes(docs, n_words, percent, doc_id, text)
+    classes = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("_least"))
+    out = rows.join(classes, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a local folder of this process only where that is unset."""
+    """The cluster's `spark.checkpoint.dir`. Where that is unset, a local folder if all tasks run in this process, else an error."""
     global _own_dir
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="notewell-")
     return f"file://{_own_dir}"
@@ -27,30 +34,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/notewell/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class once_run:
+    """Within it, the shuffle files of a query go when the query ends: nothing else reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        self.old = self.conf.get(_CLEANUP, None)
+        self.conf.set(_CLEANUP, "true")
+
+    def __exit__(self, *_: object) -> None:
+        self.conf.set(_CLEANUP, self.old) if self.old is not None else self.conf.unset(_CLEANUP)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with once_run(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Deletes the folder behind a materialized table that no later plan reads."""
-    spark = df.sparkSession
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes the folders behind materialized tables that no later plan reads."""
+    for df in tables:
+        drop_folders(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def drop_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes scratch folders; other folders are left alone."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for folder in folders:
         if "/notewell/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,3 +80,29 @@ def id_crc(doc_id: Column | str) -> Column:
     """crc32 of the decimal text of an id; null ids count as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
+
+
+def binary_ends(column: pa.Array) -> np.ndarray:
+    """Bytes of a binary or string column up to the end of each row."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32)
+    own = offsets[column.offset : column.offset + len(column) + 1]
+    return own[1:].astype(np.int64) - (own[0] if len(own) else 0)
+
+
+def slices(batch: pa.RecordBatch, sized: int, most_bytes: int, most_rows: int = 4096):
+    """Parts of a batch of at most most_bytes in column `sized`, or of one longer row."""
+    if not batch.num_rows:
+        return
+    ends, start, before = binary_ends(batch.column(sized)), 0, 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, before + most_bytes, side="right"))
+        stop = min(max(stop, start + 1), start + most_rows, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        before, start = int(ends[stop - 1]), stop
+
+
+def ascii_words(texts: pa.Array) -> pa.Array:
+    """Lists of the words between ASCII blanks, A-Z in lower case; words may be empty at a text's ends."""
+    # Taken anew: some kernels read a slice of another array from the wrong place.
+    fresh = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    return pc.ascii_split_whitespace(pc.ascii_lower(fresh))

@@ -465,27 +465,47 @@ def test_long_texts_are_pooled_in_pieces(monkeypatch):
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark):
+def texts_kept(rows, n_words=5, percent=80):
+    """(doc_id, text) of the rows that stay, by comparing all pairs of rows: the first of each group, and all without words."""
+    named = list(enumerate(rows))
+    comps = brute_components([(i, r[1]) for i, r in named], n_words, percent)
+    groups = defaultdict(list)
+    for i, r in named:
+        groups[comps[i][1] if comps[i][0] else -1 - i].append(r[:2])
+    return groups
+
+
+def test_pipeline_drops_copies_of_five_words(spark):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    near = p.drop_near_copies(spark, docs, SF)
-    kept = {r["doc_id"] for r in near.collect()}
-    want = brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert kept == {i for i, (_, c) in want.items() if c == i} and near.columns == list(p.COLUMNS)
-    twice = docs.limit(5).union(docs.limit(5))
-    assert p.drop_near_copies(spark, twice, SF).count() <= 5
-    clean = p.drop_leaks(spark, docs, SF)
-    leaked = {r["doc_id"] for r in queries.op3_benchmark_leaks(spark, SF).select("doc_id").collect()}
-    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - leaked
-    assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_output"]
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = p.drop_copies(spark, docs, SF)
+    assert kept.columns == list(p.COLUMNS)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in brute_components(rows, 5, 80).items() if c == i}
 
 
-def test_pipeline_drops_copies_of_five_words(spark):
+def test_pipeline_copies_are_decided_row_by_row(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(make_words(rng, n, 10**6))
+    same, own = text(40), [text(40) for _ in range(6)]
+    rows = [(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (5, own[4])]
+    rows += [(7, same), (7, same), (8, same), (None, same), (None, own[5]), (None, own[5])]
+    rows += [(9, ""), (9, ""), (9, None), (None, None), (None, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in p.drop_copies(spark, frame(spark, [(*r, "en", "a", 0) for r in rows]), SF).collect()]
+    want = [*rows[:5], (7, same), (None, own[5]), *rows[11:]]
+    assert Counter(kept) == Counter(want)
+    assert Counter(len(g) for g in texts_kept(rows).values()) == Counter([1] * 10 + [4, 2])
+    assert p.drop_copies(spark, frame(spark, []), SF).count() == 0
+
+
+def test_pipeline_drops_leaked_documents(spark):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    kept = {r["doc_id"] for r in dict(p.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect()}
-    assert kept == {i for i, (_, c) in brute_components(rows, 5, 80).items() if c == i}
-    assert kept < {i for i, (_, c) in brute_components(rows).items() if c == i}
+    leaked = {r["doc_id"] for r in queries.op3_benchmark_leaks(spark, SF).select("doc_id").collect()}
+    clean = p.drop_leaks(spark, docs, SF)
+    assert clean.columns == list(p.COLUMNS) and leaked
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - leaked
