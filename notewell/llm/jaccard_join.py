@@ -16,8 +16,8 @@ No pair is listed under a key. The least member of a key is its hub, and all mem
 narrow row for each. A group is split into cells of bounded size, two cells meet in one unit of work, and there parity
 sketches of the sets decide which pairs of different components are likely links. A unit names only pairs that connect
 what is not yet connected, so its output is no longer than its input. Those pairs are verified exactly, links join
-components, and groups that still hold several components are gone through again; the last pass names every likely pair
-left. So the components are those of all links, equal sets are one node, and links within a component are not listed.
+components, and groups that had likely pairs and still hold several components are gone through again; the last pass
+names every likely pair left. So the components are those of all links, equal sets are one node, and links within a component are not listed.
 Near copies that are many, pairwise unlinked and close to the bound are compared pair by pair in their units' memory:
 that part of the work has no bound below the square of such a group, it is dealt out over cells.
 """
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import ascii_words, drop_scratch, materialize, slices
 
-FREQUENT = 50  # prefixes that a token is in, above which it is of a frequent class
+FREQUENT = 16  # prefixes that a token is in, above which it is of a frequent class
 LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 16 for each value, up to 2**28
-SKETCH_BITS = 4  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
+SKETCH_BITS = 1  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
 CLASS_SIZE = 8
 SLICE_BYTES = 1 << 20  # of text, or of sets, in one step of a task
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -330,28 +330,28 @@ class _Unit:
 
 
 def _likely(bounds: Bounds, every: bool):
-    """Rows in the order of hub, lo and hi: the likely pairs of each unit."""
+    """Rows in the order of hub, lo and hi: the likely pairs of each unit, and its hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, out = None, [], []
 
         def batch_of() -> pa.RecordBatch:
-            a, b = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            columns = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "hub"])
 
         for batch in batches:
             for part in slices(batch, 7, 4 * SLICE_BYTES):
                 for row in zip(*(part.column(i).to_pylist() for i in range(8))):
                     if row[:3] != unit:
                         if len(rows) > 1:
-                            out += _Unit(rows, bounds).likely(every)
+                            out += [(*pair, unit[0]) for pair in _Unit(rows, bounds).likely(every)]
                         unit, rows = row[:3], []
                         if len(out) > 100_000:
                             yield batch_of()
                             out = []
                     rows.append(row)
         if len(rows) > 1:
-            out += _Unit(rows, bounds).likely(every)
+            out += [(*pair, unit[0]) for pair in _Unit(rows, bounds).likely(every)]
         yield batch_of()
 
     return run
@@ -431,11 +431,12 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
         if labels is None:
             named = live.withColumn("label", F.col("node"))
         else:
-            whole = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            some = live.join(hubs, "hub", "left_semi")  # a group without a likely pair will not have one later
+            whole = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             named = whole = materialize(whole, "named")
             mixed = named.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("hub")
             named = materialize(named.join(mixed, "hub", "left_semi"), "live")
-            drop_scratch(whole, *owned)
+            drop_scratch(whole, hubs, *owned)
             owned, live = [named], named.drop("label")
         size = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_BYTES)).cast("int")
         cells = named.groupBy("hub").agg(size.alias("_c")).filter("_c > 1")
@@ -445,13 +446,16 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
         units = celled.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label")
         sized = units.join(nodes.select("node", "n", "sketch"), "node").select("hub", "lo", "hi", "own", "node", "label", "n", "sketch")
         placed = sized.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "lo", "hi")
-        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, every), "a long, b long")
+        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, every), "a long, b long, hub long")
+        found = seen = materialize(found, "seen")
         if step < PASSES - 1:
             # One pair for each node: what the others would link mostly follows.
             found = found.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        likely = materialize(found.distinct(), "likely")
+        likely = materialize(found.select("a", "b").distinct(), "likely")
+        hubs = materialize(seen.select("hub").distinct(), "hubs")
+        drop_scratch(seen)
         if not likely.limit(1).count():
-            drop_scratch(likely)
+            drop_scratch(likely, hubs)
             break
         links = _verified(likely, nodes, sets, bounds)
         edges = links if labels is None else links.union(labels.select("node", "label"))
