@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array, n_words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z in lower case, words between ASCII blanks."""
     lists = ascii_words(texts)
     words = lists.flatten().dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
     real = np.array(pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False) > 0, bool)
     at = words.indices.to_numpy(zero_copy_only=False)
     per_text = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)

@@ -102,7 +102,6 @@ def slices(batch: pa.RecordBatch, sized: int, most_bytes: int, most_rows: int =
 
 
 def ascii_words(texts: pa.Array) -> pa.Array:
-    """Lists of the words between ASCII blanks, A-Z in lower case; words may be empty at a text's ends."""
+    """Lists of the words between ASCII blanks; words may be empty at a text's ends."""
     # Taken anew: some kernels read a slice of another array from the wrong place.
-    fresh = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
-    return pc.ascii_split_whitespace(pc.ascii_lower(fresh))
+    return pc.ascii_split_whitespace(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()))

@@ -4,17 +4,19 @@ Documents are dealt out by ranges of doc_id, so each file holds one range in asc
 the files. Each row has `file` (that number), `pos` (row within the file), `doc_id`, `n_tokens` and `ids`. Readers can
 take any stripe alone, skip row groups by the index on doc_id, and skip stripes by its Bloom filter.
 
-A text is cut before it is encoded, at blanks and where the tokenizer itself cuts words: it drops white space, no rule
-of it looks across a cut, and so a text's ids are those of its pieces, one after the other. Each distinct piece is encoded
-once per worker, or again after its table is full.
+Texts are cut at ASCII blanks, and distinct words where the tokenizer itself cuts them; each distinct piece is encoded by
+the tokenizer, once per worker or again after its table is full, and a text's ids are those of its pieces. That is only done for a tokenizer whose own file shows that words are independent (see
+`words_are_independent`); for any other one the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path
+from .shared import ascii_words, materialize, once_run, scratch_path, slices
 
 END_ID = 1
-MAX_WORDS = 500_000  # distinct pieces that a worker keeps
-BATCH_BYTES = 1 << 20
+MAX_WORDS = 700_000  # distinct words that a worker keeps
+BATCH_BYTES = 2 << 20
+FILE_BYTES = 256 << 20  # of text, about, that becomes one file
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -46,8 +49,42 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-# The tokenizer's own rule for cutting words, for texts in lower-case ASCII and Latin-1 letters. It lower-cases, so ASCII
-# capitals may be lowered before; other letters, combining marks and special tokens are left to the tokenizer.
+# The only word-cutting rule and normalizers under which a text's ids are those of its words one by one.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+
+
+def words_are_independent(path: str) -> bool:
+    """Whether the tokenizer's file says that it drops white space and that no rule looks across it.
+
+    Blanks are dropped by the one cut rule, no added token holds a blank or strips one, normalizers work on characters
+    that never combine across a blank, and there is no post-processing.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cuts = [
+        {"type": "Split", "pattern": {"Regex": _CUTS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+    added = spec.get("added_tokens") or []
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (spec.get("pre_tokenizer") or {}).get("pretokenizers") == cuts
+        and spec["model"]["type"] == "BPE"
+        and spec["model"].get("end_of_word_suffix") == _WORD_END
+        and not spec["model"].get("dropout")
+        and not any(spec.get(x) for x in ("post_processor", "truncation", "padding"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
+    )
+
+
+# The same rule for lower-case ASCII and Latin-1 letters alone, on UTF-8 bytes. Words with other letters, combining marks,
+# the signs \u00d7 and \u00f7 or special tokens are left to the tokenizer as they are.
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xbf\xc3]+|[0-9]|[^a-z0-9 \t\n\r\x0b\x0c\xc3\x80-\xbf]+")
 _PLAIN_BYTES = bytes([*range(0xC0), 0xC3])
 
@@ -57,95 +94,123 @@ def _plain(text: bytes) -> bool:
     return not odd
 
 
-def cut(text: bytes) -> list[bytes]:
-    """Pieces whose ids, one after the other, are the text's ids."""
-    if _plain(text):
-        return _PIECES.findall(text.lower())
-    out: list[bytes] = []
-    for word in text.split():
-        if _plain(word):
-            out += _PIECES.findall(word.lower())
-        else:
-            out.append(word)
-    return out
-
-
 class _Numbers(dict):
-    """Numbers pieces in the order in which they are first asked for."""
+    """Numbers keys in the order in which they are first asked for."""
 
     def __init__(self) -> None:
         self.new: list[bytes] = []
 
-    def __missing__(self, piece: bytes) -> int:
-        n = self[piece] = len(self)
-        self.new.append(piece)
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
 
-class WordEncoder:
-    """Encodes texts through a table of pieces that have been seen."""
+class _Table:
+    """Arrays of ids by number, one after the other."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(lengths) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + len(lengths) + 1] = self.used + np.cumsum(lengths)
+        self.used, self.n = self.used + len(ids), self.n + len(lengths)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries, one after the other, and their lengths."""
+        starts = self.ends[at]
+        lengths = self.ends[at + 1] - starts
+        where = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        return self.flat[where], lengths
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] values, the next counts[1] and so on."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])])
+
+
+class TextEncoder:
+    """Encodes texts with a tokenizer of the tokenizers library, words and their pieces through tables of known ones."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
+        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.by_word = words_are_independent(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Numbers()
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece: of all together if the tokenizer's word ends are as many as the pieces, else one by one."""
-        text = b" ".join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) == len(pieces) and _plain(text):
-            return np.split(ids, ends[:-1])
-        each = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in each]
-
-    def _learn(self, words: list[bytes]) -> None:
-        got = [ids for i in range(0, len(words), 1000) for ids in self._ids(words[i : i + 1000])]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.concatenate(got)
-        first, known = self.used, len(self.index) - len(words)
-        while first + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(got) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[first : first + len(ids)] = ids
-        self.starts[known + 1 : known + len(got) + 1] = first + np.cumsum(lengths)
-        self.used = first + len(ids)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, each text's followed by END_ID, and each text's number of ids."""
-        if len(self.index) > self.max_words:
+        self.words, self.pieces = _Numbers(), _Numbers()
+        self.word_ids, self.piece_ids = _Table(), _Table()
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [e.ids for e in found]
+
+    def _add_pieces(self, pieces: list[bytes]) -> None:
+        """Ids of plain pieces all together, if the tokenizer's word ends are as many, else of each one."""
+        joined = b" ".join(pieces)
+        if _plain(joined):
+            ids = np.array(self._ids([joined])[0], np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(pieces):
+                self.piece_ids.add(ids, np.diff(ends, prepend=0))
+                return
+        if len(pieces) > 64:
+            for k in range(0, len(pieces), 64):
+                self._add_pieces(pieces[k : k + 64])
+            return
+        got = self._ids(pieces)
+        self.piece_ids.add(np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got]))
+
+    def _learn(self) -> None:
+        """Ids of the words and pieces that have a number and no ids yet."""
+        words, self.words.new = self.words.new, []
+        split: list[list[bytes]] = []
+        for k in range(0, len(words), 64):
+            some = words[k : k + 64]
+            if _plain(b" ".join(some)):
+                split += [_PIECES.findall(w.lower()) for w in some]
+            else:
+                split += [_PIECES.findall(w.lower()) if _plain(w) else [w] for w in some]
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int64)
+        pieces, self.pieces.new = self.pieces.new, []
+        for k in range(0, len(pieces), 2048):
+            self._add_pieces(pieces[k : k + 2048])
+        ids, lengths = self.piece_ids.take(at)
+        self.word_ids.add(ids, _sums(lengths, np.fromiter(map(len, split), np.int64, len(split))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text's followed by END_ID, and each text's number of ids. Null is empty."""
+        return self._encode_words(texts) if self.by_word else self._encode_whole(texts)
+
+    def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = self._ids([t or b"" for t in texts.cast(pa.binary()).to_pylist()])
+        return np.fromiter((i for t in got for i in (*t, END_ID)), np.int32), np.array([len(t) + 1 for t in got], np.int64)
+
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = ascii_words(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.words) > self.max_words:
             self._reset()
-        split = [cut(t) for t in texts]
-        words = [w for s in split for w in s]
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
-        starts = self.starts[at]
-        lengths = self.starts[at + 1] - starts
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)] if len(split) else np.zeros(0, np.int64)
-        n_ids = np.diff(ends, prepend=0)
-        where = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        ids = self.flat[where]
-        return np.insert(ids, ends, END_ID).astype(np.int32, copy=False), n_ids + 1
+        of = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        self._learn()
+        ids, lengths = self.word_ids.take(of[words.indices.to_numpy(zero_copy_only=False)])
+        per_text = _sums(lengths, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return np.insert(ids, np.cumsum(per_text), END_ID).astype(np.int32, copy=False), per_text + 1
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
 def _encode_batches(path: str):
@@ -153,30 +218,25 @@ def _encode_batches(path: str):
         from pyspark import TaskContext
 
         if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+            _encoders[path] = TextEncoder(path)
         encoder = _encoders[path]
         file, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
-            # Lengths first: no more than BATCH_BYTES of text, or one longer text, is held as Python objects at a time.
-            texts = batch.column(1).cast(pa.binary())
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            start = 0
-            while start < len(texts):
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 4096]), BATCH_BYTES)))
-                n = min(n, len(texts) - start)
-                ids, counts = encoder.encode([t or b"" for t in texts.slice(start, n).to_pylist()])
+            for part in slices(batch, 1, BATCH_BYTES):
+                n = part.num_rows
+                ids, counts = encoder.encode(part.column(1))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, file, np.int32)),
                         pa.array(np.arange(pos, pos + n)),
-                        batch.column(0).slice(start, n),
+                        part.column(0),
                         pa.array(counts),
                         pa.ListArray.from_arrays(offsets, pa.array(ids)),
                     ],
                     names=["file", "pos", "doc_id", "n_tokens", "ids"],
                 )
-                pos, start = pos + n, start + n
+                pos += n
 
     return run
 
@@ -184,14 +244,20 @@ def _encode_batches(path: str):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files: int | None = None) -> str:
     """Encodes doc_id and text into ORC files under path, in ascending doc_id order (null ids first).
 
-    A null text is empty: its only id is END_ID. Repeated ids stand side by side, in the order of their texts.
+    A null text is empty: its only id is END_ID. Rows that repeat an id stand side by side, in the order of a hash of
+    their texts, and may take several files; equal rows are in one file. A text of any length is one row. Other columns are not read. Without `files` there are as
+    many files as FILE_BYTES of text each need, at least as many as the session has shuffle partitions. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    tokens = ordered.mapInArrow(_encode_batches(tokenizer or tokenizer_path()), _FILE_SCHEMA)
-    tokens.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_tie"))
+    if not files:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    ordered = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    tokens = ordered.drop("_tie").mapInArrow(_encode_batches(tokenizer or tokenizer_path()), _FILE_SCHEMA)
+    with once_run(spark):
+        tokens.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
     return path
 
 
@@ -234,6 +300,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Writes the files (to a scratch folder if path is None), then answers from them; see token_index."""
+    """Writes the files, then answers from them; see token_index. Without a path they stand in a scratch folder."""
     spark = docs.sparkSession
     return token_index(spark, write_tokens(docs, path or scratch_path(spark, "tokens"), tokenizer))

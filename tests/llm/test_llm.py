@@ -359,8 +359,78 @@ def test_token_files_round_trip(spark, tmp_path):
     assert len(found) == 1 and found[0]["ids"][-1] == token_output.END_ID
 
 
+def brute_token_rows(rows, path=None):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path or token_output.tokenizer_path())
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return want
+
+
+def test_token_query_is_direct_encoding(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(tuple(r) for r in queries.op7_token_orc(spark, SF).collect()) == brute_token_rows(rows)
+
+
+def test_words_encode_as_whole_texts():
+    import pyarrow as pa
+
+    encoder = token_output.TextEncoder(token_output.tokenizer_path(), max_words=2000)
+    assert encoder.by_word
+    rng = random.Random(12)
+    letters = "aAbzßéÉèÀçñÑüøœŒżЖжςΣσ日本한\u0301\u0327\u00a0\u2003\u200b\u0130İıﬁ½²٣९🙂😀👩‍👩'’\"`.,;:!?-_*#/\\|<>()[]{}@&%$+=~^0123456789×÷"
+    texts = []
+    for _ in range(1500):
+        words = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(rng.randrange(0, 25))]
+        words += rng.choices(["don't", "IT'S", "they'll", "<|endoftext|>", "x<|startoftext|>y", "l'été", "'s", "''re", "naïve,", "(a1b2)", "\x1c", "\x85"], k=3)
+        rng.shuffle(words)
+        texts.append("".join(w + rng.choice([" ", "  ", "\n", "\t", " \r\n", "\x0b", "\x0c "]) for w in words))
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for start in range(0, len(texts), 100):
+        ids, counts = encoder.encode(pa.array(texts[start : start + 100]))
+        assert ids.tolist() == [i for e in want[start : start + 100] for i in (*e.ids, token_output.END_ID)]
+        assert counts.tolist() == [len(e.ids) + 1 for e in want[start : start + 100]]
+
+
+def test_another_tokenizer_encodes_whole_texts(spark, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_output.words_are_independent(path) and token_output.words_are_independent(token_output.tokenizer_path())
+    rows = [(1, " two  blanks\n\nhere "), (2, None), (3, "Don't")]
+    written = token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "b"), tokenizer=path)
+    assert sorted(tuple(r) for r in token_output.token_index(spark, written).collect()) == brute_token_rows(rows, path)
+
+
+def test_orc_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    path = token_output.write_tokens(rows, str(tmp_path / "t"), files=3)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    firsts, files = [], sorted(tmp_path.glob("t/part-*.orc"))
+    assert len(files) == 3
+    for f in files:
+        orc = jvm.org.apache.orc.OrcFile
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == 2000 and reader.getStripes().size() >= 1
+        stream_kinds = {str(s.getKind()) for s in reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= stream_kinds
+        encodings = {str(c.getKind()) for c in reader.rows().readStripeFooter(reader.getStripes().get(0)).getColumnsList()}
+        assert "DIRECT_V2" in encodings  # integer run lengths
+        low = reader.getStatistics()[3]
+        firsts.append((low.getMinimum(), low.getMaximum()))
+    assert all(a[1] < b[0] for a, b in zip(firsts, firsts[1:]))
+    found = token_output.read_tokens(spark, path).filter("doc_id = 17000")
+    assert "EqualTo(doc_id,17000)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+    read = token_output.read_tokens(spark, path).filter("doc_id between 17000 and 17010")
+    assert read.count() == 11
+
+
 def test_token_files_odd_rows(spark):
-    got = sorted((tuple(r)[0] or 0, r["n_tokens"]) for r in token_output.token_table(frame(spark, ODD)).collect())
+    got = sorted((tuple(r)[0] or 0, r["n_tokens"]) for r in token_output.token_table(frame(spark, ODD).withColumn("file", F.lit(1))).collect())
     assert len(got) == len(ODD) and got[1:4] == [(1, 1), (2, 1), (3, 1)]
     assert token_output.token_table(frame(spark, [])).count() == 0
 
