@@ -105,28 +105,71 @@ def brute_neighbours(vectors, k=5):
     return out
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
-    vectors = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows.collect()}
+def found_neighbours(rows):
     got = defaultdict(list)
-    for r in queries.op2_rp_forest_neighbours(spark, SF).orderBy("query_id", "rank").collect():
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append(r["vec_id"])
-    want = brute_neighbours(vectors)
+    return got
+
+
+def recall_of(got, want):
     assert got.keys() == want.keys()
-    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+    return np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbours_recall(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    vectors = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    rows = queries.op2_rp_forest_neighbours(spark, folder).collect()
+    assert recall_of(found_neighbours(rows), brute_neighbours(vectors)) >= 0.9
+    for r in rows:
+        a, b = vectors[r["query_id"]], vectors[r["vec_id"]]
+        assert abs(r["score"] - (a @ b) / np.sqrt((a @ a) * (b @ b))) < 1e-12
+
+
+def test_neighbours_recall_of_a_deep_forest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 2000)  # the forest is fitted on half of the vectors
+    monkeypatch.setattr(ann, "BLOCK", 64)  # leaves are several blocks
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(60, size=4000)] + rng.normal(size=(4000, 16)) * 0.6
+    assert ann.fit_forest(x[:2000], 4000).depth >= 4
+    rows = ann.clean_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = found_neighbours(ann.nearest(rows, rows.filter("vec_id % 50 = 0")).collect())
+    assert recall_of(got, brute_neighbours(dict(enumerate(x)))) >= 0.9
+
+
+def test_large_blocks_have_a_tree_of_their_own(monkeypatch):
+    monkeypatch.setattr(ann, "WHOLE", 1024)
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 0.3
+    block = ann._Block(x, np.arange(6000), 5)
+    assert block.inner is not None
+    whole = list(ann.rank_block(x[:60], x, np.arange(6000), 5))
+    hits = [len(set(a[1]) & set(b[1])) / 6 for a, b in zip(block.ranked(x[:60]), whole)]
+    assert np.mean(hits) > 0.9
+
+
+def test_neighbours_keep_ties_of_distinct_vectors(spark):
+    base = np.array([0.3, -1.1, 2.0, 0.7])
+    data = [(0, base.tolist())] + [(i, (base * (1 + i / 7)).tolist()) for i in range(1, 60)] + [(i, [1.0, float(i), float(-i), 2.0]) for i in range(60, 100)]
+    rows = ann.clean_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = found_neighbours(ann.nearest(rows, rows.filter("vec_id % 50 = 0")).collect())
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4]
 
 
 def test_neighbours_ties_and_bad_vectors(spark):
     rng = random.Random(2)
     same = [1.0, 2.0, 3.0]
     data = [(i, same) for i in range(0, 120)] + [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(120, 160)]
-    bad = [(500, None), (501, [0.0, 0.0, 0.0]), (502, [1.0, None, 2.0]), (503, [float("nan"), 1.0, 1.0]), (504, [])]
-    rows = ann.clean_vectors(spark.createDataFrame(data + bad + data[:3], "vec_id long, embedding array<double>"))
-    out = ann.nearest(rows, rows.filter("vec_id % 50 = 0"))
-    got = defaultdict(list)
-    for r in out.orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append(r["vec_id"])
-    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and set(got) == {0, 50, 100, 150}
+    bad = [(500, None), (501, [0.0, 0.0, 0.0]), (502, [1.0, None, 2.0]), (503, [float("nan"), 1.0, 1.0]), (504, []), (None, same)]
+    ragged = [(550, [1.0, 2.0]), (551, [2.0, 1.0]), (600, [1.0])]
+    rows = spark.createDataFrame(data + bad + data[:3] + ragged, "vec_id long, embedding array<double>").withColumn("vector", F.lit(1))
+    rows = ann.clean_vectors(rows)
+    got = found_neighbours(ann.nearest(rows, rows.filter("vec_id % 50 = 0")).collect())
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and set(got) == {0, 50, 100, 150, 550} and got[550] == [551]
     two = ann.clean_vectors(spark.createDataFrame([(0, same), (1, same)], "vec_id long, embedding array<double>"))
     assert [tuple(r)[:3] for r in ann.nearest(two, two.filter("vec_id = 0")).collect()] == [(0, 1, 1)]
     assert ann.nearest(two.limit(0), two.limit(0)).count() == 0
