@@ -194,34 +194,114 @@ def test_leaks_with_edits(spark):
     assert {r["doc_id"] for r in blocks.filter(F.size("leaks") > 0).collect()} == {1, 2}
 
 
-def edit_distance_within(pattern, text):
-    row = [0] * (len(text) + 1)
-    for i, p in enumerate(pattern, 1):
+def edits_by_end(pattern: bytes, text: bytes) -> np.ndarray:
+    """Least edits of the pattern against a stretch of text that ends at each position."""
+    t, m = np.frombuffer(text, np.uint8), len(pattern)
+    slope = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for i in range(m):
+        step = np.minimum(row + 1, np.append(i + 1, row[:-1] + (t != pattern[i])))
+        row = np.minimum.accumulate(step - slope) + slope
+    return row
+
+
+def brute_leaks(docs, items):
+    """(doc, item) -> least edits over the windows that are within their budget."""
+    out = {}
+    for i, text in docs:
+        whole = decontamination.normalize(text)
+        for item, pattern in items:
+            b = decontamination.normalize(pattern)
+            if 0 < len(b) < decontamination.WORDS_BELOW:
+                if f" {b.decode()} " in f" {whole.decode()} ":
+                    out[i, item] = 0
+                continue
+            cuts = [(0, len(b))] if len(b) <= 300 else [*((s, s + 200) for s in range(0, len(b) - 200, 100)), (len(b) - 200, len(b))]
+            for s, e in cuts if b else ():
+                least = int(edits_by_end(b[s:e], whole).min())
+                if least <= (e - s) * 6 // 100:
+                    out[i, item] = min(least, out.get((i, item), 99))
+    return out
+
+
+def tables(spark, folder, **rows):
+    schemas = {"documents": DOC, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, data in rows.items():
+        spark.createDataFrame(data, schemas[name]).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_leak_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    lengths = [3, 5, 7, 8, 9, 11, 12, 15, 16, 17, 20, 23, 24, 30, 31, 32, 33, 34, 35, 36, 49, 50, 51, 66, 67, 84, 120, 200, 299, 300, 301, 450, 700]
+    items = [(k, "".join(rng.choice("abcdefghijkl ") for _ in range(n)).replace("  ", "xy").replace(" ", "z", 1).strip() or "q") for k, n in enumerate(lengths)]
+    items += [(90, "a" * 50), (91, None), (92, "  "), (0, items[0][1])]
+
+    def changed(text, n):
+        text = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(text))
+            rng.choice([lambda: text.insert(k, "Q"), lambda: text.__setitem__(k, "w"), lambda: text.pop(k) if len(text) > 1 else None])()
+        return "".join(text)
+
+    filler = lambda: " ".join("".join(rng.choice("mnopqrstuv") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 60)))
+    docs = []
+    for k, text in items[: len(lengths)]:
+        for extra in (0, 0, 1, -1):
+            n = max(0, len(text) * 6 // 100 + extra) if extra or rng.random() < 0.7 else 0
+            docs.append(f"{filler()} {changed(text.upper(), n)}\n{filler()}")
+        if len(text) > 300:
+            docs.append(f"{filler()} {text[len(text) // 2 - 130 : len(text) // 2 + 130]} {filler()}")
+    docs = list(enumerate([*docs, None, "", "a" * 49, "ab" * 40, "b" + "a" * 300]))
+    folder = tables(spark, tmp_path, documents=[(i, t, "en", "a", 0) for i, t in docs], benchmark=items)
+    got = queries.op3_benchmark_leaks(spark, folder).collect()
+    want = brute_leaks(docs, [(i, t) for i, t in items if t])
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and len(got) == len(want) and len(want) > 80
+    text, of = dict(docs), dict(items)
+    for r in got:  # the offsets cut out exactly the occurrence
+        part = decontamination.normalize(text[r["doc_id"]])[r["start"] : r["end"]]
+        b = decontamination.normalize(of[r["item_id"]])
+        cuts = [b] if len(b) <= 300 else [b[s : s + 200] for s in [*range(0, len(b) - 200, 100), len(b) - 200]]
+        whole = [np.concatenate([[0], row])[-1] for row in (global_edits(c, part) for c in cuts)]
+        assert min(whole) == r["edits"]
+
+
+def global_edits(a: bytes, b: bytes) -> list[int]:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
         new = [i]
-        for j, t in enumerate(text, 1):
-            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
         row = new
-    return min(row)
+    return row
 
 
-def test_banded_alignment_is_edit_distance():
-    rng = random.Random(4)
-    for _ in range(15):
-        item = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60, 180))).strip()
-        text = list(item)
-        for _ in range(rng.randrange(0, 8)):
-            k = rng.randrange(len(text))
-            rng.choice([lambda: text.pop(k), lambda: text.insert(k, "x"), lambda: text.__setitem__(k, "y")])()
-        whole = decontamination.normalize("qq " * 30 + "".join(text) + " zz" * 30)
-        pattern = decontamination.normalize(item)
-        want = edit_distance_within(pattern, whole)
-        found = decontamination.Patterns.build([(1, item)]).leaks([whole.decode()])[0]
-        budget = int(decontamination.EDIT_RATE * len(pattern))
-        assert bool(found) == (want <= budget) and (not found or found[0]["edits"] == want)
+def test_leaks_in_pieces_and_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    item = " ".join(make_words(rng, 30, 5000))
+    text = " ".join([*make_words(rng, 3000, 5000), item, *make_words(rng, 2000, 5000)])
+    bench = decontamination.Benchmark.build([(1, item)])
+    want = bench.leaks([text, "", item])
+    assert [x[0]["edits"] if x else None for x in want] == [0, None, 0]
+    monkeypatch.setattr(decontamination, "PIECE", 700)
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    assert bench.leaks([text, "", item]) == want
+
+
+def test_a_common_gram_takes_bounded_memory():
+    import tracemalloc
+
+    bench = decontamination.Benchmark.build([(1, "a" * 100)])
+    tracemalloc.start()
+    found = bench.leaks(["a" * 200_000])
+    assert found[0][0]["edits"] == 0 and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
 
 
 def test_leaks_odd_rows(spark):
     bench = spark.createDataFrame([(1, "x" * 50)], "item_id long, text string")
+    out = decontamination.find_leaks(frame(spark, ODD).withColumn("_leaks_0", F.lit(1)).withColumn("_row0", F.lit(2)), bench, block_bytes=20)
+    assert {"_leaks_0", "_row0"} <= set(out.columns) and out.count() == len(ODD)
     out = decontamination.find_leaks(frame(spark, ODD), bench)
     assert out.count() == len(ODD) and out.filter(F.size("leaks") > 0).count() == 0
     assert decontamination.find_leaks(frame(spark, []), bench).count() == 0
