@@ -102,21 +102,26 @@ def scan_licenses(
 ) -> DataFrame:
     """Per row of docs and license: keys, license, containment (best of its templates), first_word (of the region found).
 
-    Null and empty texts hold no license. Rows that repeat all keys are told apart only by their texts' regions and give
-    one row. Very long texts are scanned whole: one array of hashes each.
+    Null and empty texts hold no license. Rows that repeat all keys give one row for each license that any of them holds,
+    with the best containment and the first place among them. Very long texts are scanned whole: one array of hashes
+    each. An empty table gives no rows. Other columns of docs are not read; a key may not be named as an output column.
     """
+    if {"license", "containment", "first_word"} & set(keys):
+        raise ValueError("keys may not be named license, containment or first_word")
     spark = docs.sparkSession
+    docs = docs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(text).alias("_text"))
+    names, keys = keys, tuple(f"_key{i}" for i in range(len(keys)))
     known = template_table(spark, templates).collect()  # the templates are parameters, of bounded size
     if not known:
-        schema = docs.select(*keys).schema
-        return spark.createDataFrame([], schema).selectExpr("*", "'' AS license", "0D AS containment", "0L AS first_word")
+        none = docs.limit(0).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        return none.selectExpr("*", "'' AS license", "0D AS containment", "0L AS first_word")
     longest = max(len(r["_h"]) for r in known)
     wanted = sorted({k for r in known for window in r["_sig"] for k in window})
     by_key = spark.createDataFrame(
         sorted({(k, r["template"]) for r in known for window in r["_sig"] for k in window}), "_key long, template int"
     )
     listed = ", ".join(f"{k}L" if k > -(2**63) else f"({k + 1}L - 1L)" for k in wanted)
-    rows = _with_windows(_with_shingles(docs.select(*keys, F.col(text).alias("_text")).filter("_text IS NOT NULL"), "_text").drop("_text"))
+    rows = _with_windows(_with_shingles(docs.filter("_text IS NOT NULL"), "_text").drop("_text"))
     marked = rows.withColumn("_hit", F.expr(f"transform(_sig, s -> filter(s, k -> k IN ({listed})))"))
     spots = marked.withColumn(
         "_spot",
@@ -132,11 +137,13 @@ def scan_licenses(
     share = F.size(F.array_intersect("region", "_h")) / F.size("_h")
     first = F.expr("array_min(transform(filter(transform(region, (x, i) -> struct(x, i)), y -> array_contains(_h, y.x)), y -> y.i))")
     return (
-        found.dropDuplicates([*keys, "first", "template"])
+        found.withColumn("_region", F.xxhash64("region"))  # rows of one key with other texts are verified for themselves
+        .dropDuplicates([*keys, "first", "template", "_region"])
         .join(F.broadcast(own), "template")
         .withColumn("share", share)
         .filter(F.col("share") >= containment)
         .withColumn("at", F.col("first") + first)
         .groupBy(*keys, "license")
         .agg(F.max("share").alias("containment"), F.min("at").cast("long").alias("first_word"))
+        .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "license", "containment", "first_word")
     )

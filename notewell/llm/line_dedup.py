@@ -105,21 +105,22 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """All columns of docs with `text` without its recurring lines, and `n_lines`, `n_dropped`.
 
     docs needs doc_id and text. A null text stays null with 0 lines; an empty one is one empty line. Rows that repeat a
-    doc_id count as one document. Null ids count as one document. Columns n_lines and n_dropped are replaced.
+    doc_id count as one document, and so do all null ids. Of tokens that are equally frequent in a position the last in
+    byte order is its constant. Texts of any length are taken whole; an empty table stays empty. Columns n_lines and
+    n_dropped are replaced, other columns of any name stay.
     """
     gone = recurring_lines(docs.select(F.col("doc_id"), F.col("text")), rules)
-    per_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_hash").alias("_gone"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = joined.withColumn("_lines", F.split("text", "\n"))
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.array_contains("_gone", F.xxhash64(x)))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    row = F.struct(*[F.col(c) for c in own])  # so that no column name can clash
+    per_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_hash").alias("gone"))
+    joined = docs.select(row.alias("row")).join(per_doc, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
+    lines = joined.select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", F.xxhash64(x))))
+    lines = lines.withColumn("kept", kept)
+    n_lines, n_kept = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("kept"), F.lit(0))
+    some = F.col("row.text").isNotNull()
+    return lines.select(
+        *[F.array_join("kept", "\n").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own],
+        F.when(some, n_lines).otherwise(0).alias("n_lines"),
+        F.when(some, n_lines - n_kept).otherwise(0).alias("n_dropped"),
     )
-    count = lambda c: F.coalesce(F.size(c), F.lit(0))
-    out = lines.withColumn("_kept", kept)
-    return out.withColumns(
-        {
-            "text": F.array_join("_kept", "\n"),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(count("_lines")),
-            "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(count("_lines") - count("_kept")),
-        }
-    ).drop("_id", "_gone", "_lines", "_kept")

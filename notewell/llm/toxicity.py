@@ -23,7 +23,7 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
 SAMPLE_DOCS = 8_000  # labelled documents that a model is fitted on, about
-SAMPLE_WORDS = 20_000  # longer documents are not in the sample; all are scored
+SAMPLE_WORDS = 20_000  # words of a document up to which it can be in the sample; all documents are scored
 THRESHOLD = 0.7
 MIN_DOCS = 5  # sample documents that a word needs for an embedding of its own
 MIN_OF_CLASS = 20  # calibration documents of each class that a language needs for a threshold of its own
@@ -243,13 +243,24 @@ def _ids_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> ToxicityModel:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    where: Column | None = None,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_words: int = SAMPLE_WORDS,
+) -> ToxicityModel:
     """Fits on about sample_docs labelled documents, chosen by a hash of doc_id over the whole table.
 
-    labels: doc_id and a label of 0 or 1; rows with nulls take no part. Documents outside `where` take no part. A fifth
-    of the sample chooses the epoch and calibrates the thresholds.
+    The sample is bounded by two parameters: its documents (in expectation) and the words of each of them; longer
+    documents are scored like all others but not learned from. labels: doc_id and a label of 0 or 1; rows with nulls
+    take no part, of several labels of one document the greatest counts. Documents outside `where` take no part, rows
+    that repeat a doc_id count one by one. A fifth of the sample chooses the epoch and calibrates the thresholds. Without
+    labels of both kinds all scores are equal.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("_label")).dropna().filter("_label in (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.max("_label").alias("_label"))
     pick = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull())
     if where is not None:
         marks, pick = marks.filter(where), pick.filter(where)
@@ -257,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column
     chance = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample_docs / max(1, total))))
     marks, pick = marks.filter(chance), pick.filter(chance)
     rows = pick.join(marks, "doc_id").select("text", "_label", F.coalesce("lang", F.lit("")).alias("lang"))
-    found = rows.mapInArrow(_ids_batches, "ids binary, label int, lang string").filter(F.length("ids") <= 4 * SAMPLE_WORDS)
+    found = rows.mapInArrow(_ids_batches, "ids binary, label int, lang string").filter(F.length("ids") <= 4 * sample_words)
     got = sorted(found.collect(), key=lambda r: (zlib.crc32(r["ids"]), r["label"]))  # the order of rows never matters
     texts = [np.frombuffer(r["ids"], np.int32) for r in got]
     y, langs = np.array([r["label"] for r in got], np.float32), np.array([r["lang"] for r in got], object)
@@ -271,7 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of docs, `toxic_score` from the text alone, and `toxic_flag`: score at least the language's threshold.
 
-    Null and empty texts get the score of a text without words. An input column of these names is replaced.
+    Null and empty texts get the score of a text without words, repeated rows get equal scores, texts of any length are
+    scored whole, an empty table stays empty. An input column of these names is replaced, other columns stay.
     """
     docs = docs.drop("toxic_score", "toxic_flag")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**19 x 8 floats, whatever the data

@@ -62,7 +62,8 @@ def test_line_templates(spark):
 
 
 def test_line_templates_odd_rows(spark):
-    out = line_dedup.dedup_lines(frame(spark, ODD).withColumn("leaf", F.lit(1)), LineRules(min_docs=2, min_tokens=1))
+    out = line_dedup.dedup_lines(frame(spark, ODD).withColumns({c: F.lit(1) for c in ("leaf", "_id", "gone", "kept", "row")}), LineRules(min_docs=2, min_tokens=1))
+    assert {"leaf", "_id", "gone", "kept", "row"} <= set(out.columns)
     got = defaultdict(list)
     for r in out.collect():
         got[r["doc_id"]].append((r["text"], r["n_lines"], r["n_dropped"]))
@@ -585,6 +586,38 @@ def test_licenses_partial_and_odd_rows(spark):
     assert license_scan.scan_licenses(frame(spark, rows), templates={}).count() == 0
 
 
+def test_license_of_repeated_ids_does_not_depend_on_order(spark):
+    rows = [(1, "words of no notice " * 9, "en", "a", 0), (1, "Licensed under the MIT License.", "en", "a", 0), (1, "Released under the MIT Licence.", "en", "a", 0)]
+    for some in (rows, rows[::-1]):
+        docs = frame(spark, some).withColumnRenamed("doc_id", "template").withColumn("share", F.lit(1)).coalesce(1)
+        assert [tuple(r) for r in license_scan.scan_licenses(docs, keys=("template",)).collect()] == [(1, "MIT", 1.0, 0)]
+
+
+def test_license_query_matches_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    docs = []
+    for i in range(120):
+        name = rng.choice(sorted(license_scan.TEMPLATES))
+        words = rng.choice(license_scan.TEMPLATES[name]).split()
+        cut = words[: len(words) - rng.choice([0, 0, 1, 2, 4])]
+        docs.append((i, " ".join([*make_words(rng, rng.randrange(0, 40)), *cut, *make_words(rng, rng.randrange(0, 40))]), "en", "a", 0))
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["first_word"]) for r in queries.op8_license_scan(spark, tables(spark, tmp_path, documents=docs)).collect()}
+    words_of = lambda t: re.findall("[a-z0-9\u0080-￿]+", t.lower())
+    shingles = lambda w: [tuple(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) > 2 else [tuple(w)] if w else []
+    want = {}
+    for i, text, *_ in docs:
+        own = shingles(words_of(text))
+        for name, templates in license_scan.TEMPLATES.items():
+            for t in templates:
+                known = set(shingles(words_of(t)))
+                share = len(known & set(own)) / len(known)
+                if share >= license_scan.CONTAINMENT:
+                    at = min(k for k, x in enumerate(own) if x in known)
+                    old = want.get((i, name), (0.0, 1 << 30))
+                    want[i, name] = (max(old[0], share), min(old[1], at))
+    assert got == want and len(want) > 60
+
+
 # 9 language ------------------------------------------------------------------------------------------------------
 
 
@@ -606,16 +639,52 @@ def test_language_odd_rows(spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.predict(docs, none).collect()} == {("und", 0.0)}
 
 
+def test_language_query_matches_brute_force(spark, tmp_path):
+    """Scores of the query by counting n-grams of each text one by one, with the fitted probabilities."""
+    rng = random.Random(16)
+    docs = [(i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(rng.randrange(1, 40))), lang, "s", 0) for i, (lang, a) in enumerate([("aa", "abcdeé"), ("bb", "cdefgЖ"), ("cc", "efghiß")] * 30)]
+    folder = tables(spark, tmp_path, documents=docs)
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, folder).collect()}
+    learned = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    langs = sorted({d[2] for d in learned})
+    counts = {lang: Counter() for lang in langs}
+
+    def grams_of(text):
+        points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
+        padded = np.concatenate([points, np.full(3, 32, np.uint32)])
+        return [int(language_id._buckets(padded[i : i + size], size, 1)[0]) for size in (1, 2, 3) for i in range(len(points))]
+
+    for d in learned:
+        counts[d[2]].update(grams_of(d[1]))
+    log = {}
+    for lang in langs:
+        per_size = [sum(v for b, v in counts[lang].items() if b >> 15 == k) + 0.5 * 2**15 for k in range(3)]
+        log[lang] = lambda b, c=counts[lang], n=per_size: np.log((c[b] + 0.5) / n[b >> 15])
+    for i, text, *_ in docs:
+        total = np.array([np.log(sum(d[2] == lang for d in learned) / len(learned)) + sum(log[lang](b) for b in grams_of(text)) for lang in langs])
+        p = np.exp(total - total.max())
+        assert got[i]["lang_pred"] == langs[int(total.argmax())] and abs(got[i]["score"] - p.max() / p.sum()) < 1e-4
+
+
 def test_long_texts_are_scored_in_full(monkeypatch):
     rng = np.random.default_rng(1)
-    model = language_id.LanguageModel(("a", "b"), rng.normal(size=(3 << language_id.BUCKET_BITS, 2)).astype(np.float32), np.zeros(2))
-    text = "".join(rng.choice(list("abcdé "), 3000))
-    texts, sums = [text, "short", None, ""], []
-    for piece in (1 << 19, 100):
-        monkeypatch.setattr(language_id, "PIECE", piece)
-        sums.append(sum(int(s.sum()) for s in [np.concatenate([language_id._buckets(p, k, len(p) - 3) for p, _, _ in language_id._pieces([text])]) for k in (1,)]) >= 0)
-        names, scores = language_id.score_texts(model, texts)
-        assert names[0] == language_id.score_texts(model, [text])[0][0] and names[2:] == ["und", "und"]
+    model = language_id.LanguageModel(("a", "b"), (rng.normal(size=(3 << language_id.BUCKET_BITS, 2)) / 500).astype(np.float32), np.zeros(2))
+    texts = ["".join(rng.choice(list("abcdé "), 3000)), "short", None, ""]
+    names, scores = language_id.score_texts(model, texts)
+    assert names[2:] == ["und", "und"] and 0.5 < scores[0] < 1
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    again = language_id.score_texts(model, texts)
+    assert again[0] == names and np.allclose(again[1], scores)
+    half = language_id.score_texts(model, [texts[0][:1500]])[1]
+    assert abs(half[0] - scores[0]) > 1e-6
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text {chr(97 + i % 26)}{i}{i} of its own", f"l{i:03d}", "s", 0) for i in range(400)]
+    model = language_id.fit(frame(spark, rows), sample_docs=800)
+    assert len(model.languages) == 400 and model.bits == 14
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(frame(spark, rows), model).collect()}
+    assert np.mean([got[i] == f"l{i:03d}" for i in range(400)]) > 0.9
 
 
 # 10 toxicity -----------------------------------------------------------------------------------------------------
