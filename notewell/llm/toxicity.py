@@ -60,14 +60,19 @@ def word_ids(text: str | None) -> np.ndarray:
     return out
 
 
-def _laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other with gaps of zeros; every text takes its words and one gap."""
-    lengths = np.array([len(d) + _GAP for d in docs])
-    starts = np.cumsum(lengths) - lengths
-    ids = np.zeros(int(lengths.sum()) + _GAP, np.int32)
+def _laid_out(docs: list[np.ndarray], more: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, and where the positions of each begin and stop.
+
+    A text's positions are its words and a gap of zeros, and more zeros follow, so no filter reaches into another text.
+    Of a piece that the text goes on behind (more), the last words are there to be reached into only.
+    """
+    lengths = np.array([len(d) for d in docs])
+    starts = np.cumsum(lengths + 2 * _GAP) - lengths - 2 * _GAP
+    stops = starts + lengths + np.where(more, -_GAP, _GAP) if more is not None else starts + lengths + _GAP
+    ids = np.zeros(int((lengths + 2 * _GAP).sum()) + _GAP, np.int32)
     for s, d in zip(starts, docs):
         ids[s : s + len(d)] = d
-    return ids, starts
+    return ids, starts, stops
 
 
 def _responses(kernel: np.ndarray, x: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -86,24 +91,29 @@ def score_ids(model: ToxicityModel, docs: list[np.ndarray]) -> np.ndarray:
     """Probability of the toxic label for each array of word ids; long texts are taken in overlapping pieces."""
     pooled = np.full((len(docs), len(WIDTHS) * FILTERS), -np.inf, np.float32)
     held: list[np.ndarray] = []
+    more: list[bool] = []
     owners: list[int] = []
     size = 0
 
     def flush() -> None:
-        ids, starts = _laid_out(held)
+        ids, starts, stops = _laid_out(held, more)
         n = len(ids) - _GAP
         x = model.embedding[ids]
-        best = np.hstack([np.maximum.reduceat(r, starts, axis=0) for r in _responses(model.kernel, x, n)])
+        cuts = np.stack([starts, stops], axis=1).ravel()
+        best = np.hstack([np.maximum.reduceat(r, cuts, axis=0)[::2] for r in _responses(model.kernel, x, n)])
         np.maximum.at(pooled, np.array(owners), best)
 
     for i, d in enumerate(docs):
         for start in range(0, max(1, len(d)), PIECE):
             held.append(d[start : start + PIECE + _GAP])
+            more.append(start + PIECE < len(d))
+            if more[-1] and len(held[-1]) < PIECE + _GAP:
+                held[-1] = np.append(held[-1], np.zeros(PIECE + _GAP - len(held[-1]), np.int32))
             owners.append(i)
             size += len(held[-1])
             if size >= PIECE:
                 flush()
-                held, owners, size = [], [], 0
+                held, more, owners, size = [], [], [], 0
     if held:
         flush()
     if not len(docs):
@@ -172,13 +182,12 @@ def train(
 
 
 def _step(emb, kernel, bias, out, top, trained, docs: list[np.ndarray], labels: np.ndarray, rng) -> None:
-    ids, starts = _laid_out(docs)
+    ids, starts, stops = _laid_out(docs)
     n = len(ids) - _GAP
     x = emb.value[ids]
     where, best = [], []
-    bounds = np.append(starts, n)
     for r in _responses(kernel.value, x, n):
-        peak = np.stack([r[a:b].argmax(0) + a for a, b in zip(bounds[:-1], bounds[1:])])
+        peak = np.stack([r[a:b].argmax(0) + a for a, b in zip(starts, stops)])
         where.append(peak)
         best.append(np.take_along_axis(r, peak, 0))
     peaks, raw = np.hstack(where), np.hstack(best) + bias.value

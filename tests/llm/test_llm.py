@@ -335,6 +335,21 @@ def test_weighted_shards_and_odd_rows(spark):
         sharding.rendezvous(F.lit(1), [0.0])
 
 
+def test_shard_query_matches_brute_force(spark):
+    import hashlib
+    import math
+
+    def least(i, n):
+        def cost(k):
+            digits = hashlib.md5(f"shard:{'' if i is None else i}:{k}".encode()).hexdigest()[:13]
+            return -math.log((int(digits, 16) + 0.5) / 16**13)
+
+        return min(range(n), key=lambda k: (cost(k), k))
+
+    got = queries.op4_rendezvous_shards(spark, SF).collect()
+    assert all(r["law"] == "key" and r["shard"] == least(r["doc_id"], 40) and r["grown_shard"] == least(r["doc_id"], 41) for r in got)
+
+
 # 5 mixing --------------------------------------------------------------------------------------------------------
 
 
@@ -724,6 +739,49 @@ def test_long_texts_are_pooled_in_pieces(monkeypatch):
     assert np.allclose(toxicity.score_ids(model, [text]), whole)
 
 
+def test_toxicity_query_matches_brute_force(spark, tmp_path):
+    """Scores of the query by sliding every filter over the words of each text one by one."""
+    rng = random.Random(18)
+    docs, marks = [], []
+    for i in range(400):
+        words = make_words(rng, rng.randrange(0, 50), 300)
+        if bad := i % 3 == 0:
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["vile", "nasty"]))
+        docs.append((i, " ".join(words), rng.choice(["en", "de"]), "s", 0))
+        marks.append((i, 1, int(bad)))
+    marks += [marks[0], (500, 1, 1), (None, 1, 0), (7, 1, None)]
+    docs += [(600, None, None, None, 0), (601, "", "en", "s", 0), (None, "vile words", "en", "s", 0)]
+    folder = tables(spark, tmp_path, documents=docs, labels=marks)
+    got = queries.op10_toxicity(spark, folder).collect()
+    table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    model = toxicity.fit(table("documents"), table("labels"), where=F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) != 1)
+
+    def score(text):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        x = [model.embedding[1 + zlib.crc32(w.encode()) % (2**toxicity.BUCKET_BITS - 1)] for w in words]
+        x += [np.zeros(toxicity.DIM)] * 2
+        z, at = model.out_bias, 0
+        for k, width in enumerate((1, 2, 3)):
+            for f in range(toxicity.FILTERS):
+                peak = max(
+                    sum(float(x[p + j] @ model.kernel[:, at + j * toxicity.FILTERS + f]) if p + j < len(x) else 0.0 for j in range(width))
+                    for p in range(len(x))
+                )
+                n = k * toxicity.FILTERS + f
+                z += max(0.0, peak + model.bias[n]) * model.out[n]
+            at += width * toxicity.FILTERS
+        return 1 / (1 + np.exp(-z))
+
+    by_id = {i: t for i, t, *_ in docs}
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r["score"] - score(by_id[r["doc_id"]])) < 1e-4
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held(r["doc_id"])
+    right = [r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
+    assert len(right) > 90 and np.mean(right) > 0.9
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
@@ -771,3 +829,38 @@ def test_pipeline_drops_leaked_documents(spark):
     clean = p.drop_leaks(spark, docs, SF)
     assert clean.columns == list(p.COLUMNS) and leaked
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - leaked
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "source_mixing", "token_output"]
+    docs, none = frame(spark, ODD).withColumn("leaks", F.lit(1)).withColumn("copies", F.lit(2)), frame(spark, [])
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, none, SF).count() == 0
+        assert (out.columns == list(p.COLUMNS)) == (name != "token_output")
+        ids = Counter(r["doc_id"] for r in out.collect())
+        if name in ("toxicity", "benchmark_decontamination", "token_output"):
+            assert ids == Counter(r[0] for r in ODD)
+        elif name == "ngram_jaccard_join":
+            assert ids == Counter([1, 2, 3, 4, 5, None, 7])
+        else:
+            assert set(ids) <= {r[0] for r in ODD} and max(ids.values()) <= 2 * p.MIX.max_epochs
+
+
+def test_pipeline_run_is_its_stages_one_by_one(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    flagged = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).filter("toxic_flag").collect()}
+    kept = [(i, t) for i, t in rows.items() if i not in flagged]
+    firsts = {i for i, (_, c) in brute_components(kept, 5, 80).items() if c == i}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bench = decontamination.Benchmark.build(items)
+    clean = [(i, t) for i, t in kept if i in firsts and not bench.leaks([t])[0]]
+    left = docs.filter(F.col("doc_id").isin([i for i, _ in clean]))
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, p.MIX).collect()}
+    want = brute_token_rows([(i, t) for i, t in clean for _ in range(copies.get(i, 0))])
+    assert sorted(tuple(r) for r in p.run(spark, SF).collect()) == sorted(want) and 0 < len(flagged) < len(rows)
