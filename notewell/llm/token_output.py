@@ -29,8 +29,9 @@ from .shared import ascii_words, materialize, once_run, scratch_path, slices
 
 END_ID = 1
 MAX_WORDS = 700_000  # distinct words that a worker keeps
-BATCH_BYTES = 2 << 20
-FILE_BYTES = 256 << 20  # of text, about, that becomes one file
+BATCH_BYTES = 6 << 20
+FILE_BYTES = 128 << 20  # of the optimizer's size of the texts, for each file
+MOST_FILES = 100_000  # whatever that estimate says
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -143,6 +144,11 @@ class TextEncoder:
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
         self.by_word = words_are_independent(path)
+        if self.by_word:  # for pieces that are composed and cut already: the same model and vocabulary, cutting at blanks
+            spec = json.loads(self.tokenizer.to_str())
+            cuts = [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]
+            spec |= {"normalizer": _NORMALIZERS[-1], "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": cuts}}
+            self.cut_before = Tokenizer.from_str(json.dumps(spec))
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -160,7 +166,7 @@ class TextEncoder:
         """Ids of plain pieces all together, if the tokenizer's word ends are as many, else of each one."""
         joined = b" ".join(pieces)
         if _plain(joined):
-            ids = np.array(self._ids([joined])[0], np.int32)
+            ids = np.array(self.cut_before.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(pieces):
                 self.piece_ids.add(ids, np.diff(ends, prepend=0))
@@ -245,15 +251,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files
     """Encodes doc_id and text into ORC files under path, in ascending doc_id order (null ids first).
 
     A null text is empty: its only id is END_ID. Rows that repeat an id stand side by side, in the order of a hash of
-    their texts, and may take several files; equal rows are in one file. A text of any length is one row. Other columns are not read. Without `files` there are as
-    many files as FILE_BYTES of text each need, at least as many as the session has shuffle partitions. An empty table
+    their texts, and may take several files; equal rows are in one file. A text of any length is one row. Other columns are not read. Without `files` there is one
+    for each FILE_BYTES of text, at least as many as the session has shuffle partitions. An empty table
     gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("_tie"))
     if not files:
-        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+        size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
     ordered = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     tokens = ordered.drop("_tie").mapInArrow(_encode_batches(tokenizer or tokenizer_path()), _FILE_SCHEMA)
     with once_run(spark):
