@@ -3,7 +3,7 @@
 A document's set is that of its distinct word shingles (64-bit hashes). All sets are ordered alike: rare shingles first,
 frequent ones last, by hash within a class. Two sets of Jaccard similarity t share at least 1 + c tokens within their
 prefixes of n - ceil(t * n) + 1 + c tokens. So, with the frequent tokens dealt into c classes, a pair shares a rare
-token of both prefixes, or two frequent tokens of one class. Rare tokens are indexed alone, frequent ones as pairs
+token of both prefixes (already of those without c), or two frequent tokens of one class. Rare tokens are indexed alone, frequent ones as pairs
 within their class; c grows with the set's size, so that a document never makes more than some pairs for each token.
 Sets of like size (within t) fall into the same or neighbouring size bands, which fixes c for every pair; every key of
 the index holds its band.
@@ -40,7 +40,8 @@ from .shared import ascii_words, drop_scratch, materialize, slices
 FREQUENT = 16  # prefixes that a token is in, above which it is of a frequent class
 LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 16 for each value, up to 2**28
 SKETCH_BITS = 1  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
-CLASS_SIZE = 8
+ROUNDS = 1  # in which tokens that move up are counted too
+CLASS_SIZE = 2  # missing tokens for each class: about 2.25 pairs for each, where 8 make 5
 SLICE_BYTES = 1 << 20  # of text, or of sets, in one step of a task
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -114,6 +115,22 @@ def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
+BANDS = 62  # band numbers are told apart up to this many
+BAND_SALTS = np.array([k * int(_K[2]) % 2**64 for k in range(BANDS)], np.uint64)
+
+
+def in_bands(counts: DataFrame) -> DataFrame:
+    """tok mixed with each band in which it can join two sets: counts has tok, and bit_or and bit_and of bands.
+
+    If all sets of a token have a band in common, that band joins every two of them.
+    """
+    live = F.when(F.col("common") != 0, F.col("common").bitwiseAND(-F.col("common"))).otherwise(F.col("bands"))
+    salts = F.array(*[F.lit(int(x)) for x in BAND_SALTS.view(np.int64)])
+    bands = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.getbit(F.col("live"), b) == 1)
+    each = counts.select("tok", live.alias("live")).select("tok", F.explode(bands).alias("b"))
+    return each.select(F.col("tok").bitwiseXOR(F.element_at(salts, F.col("b") + 1)).alias("tok"))
+
+
 def bits_for(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
 
@@ -135,6 +152,11 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(s & np.uint64(m - 1), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
+def expected(difference: np.ndarray | int, bits: int) -> np.ndarray | float:
+    """Bits in which sketches differ on average, if the sets differ by so many shingles."""
+    return bits / 2 * (1 - np.exp(-2 * difference / bits))
+
+
 def folded(sketch: np.ndarray) -> np.ndarray:
     """The sketch of half the length, for a set or for each row of many."""
     half = sketch.shape[-1] // 2
@@ -169,9 +191,9 @@ def _tokens(batch: pa.RecordBatch, at: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint64)
 
 
-def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None):
-    """Tokens of the prefixes and the bands they take part in, as bits; given the frequent ones, only the tokens that
-    moved into a prefix because of them."""
+def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None, moved: bool = False):
+    """Tokens of the prefixes and the bands they take part in, as bits; given the frequent ones, the rare tokens of the
+    prefixes that they leave, or only those that moved there because of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,16 +201,16 @@ def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None):
                 out, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for s in _tokens(part, 0):
                     band = bounds.band(len(s))
-                    q = bounds.prefix(len(s), max(bounds.classes(band + k) for k in (0, 1)))
+                    q = bounds.prefix(len(s), 0)
                     found = s[:q]
                     if frequent is not None:
-                        if not has(frequent.value, found).any():
+                        if moved and not has(frequent.value, found).any():
                             continue
                         order, rare = ordered(s, frequent.value)
-                        moved = order[: min(q, rare)]
-                        found = moved[~np.isin(moved, found, assume_unique=True)]
+                        now = order[: min(q, rare)]
+                        found = now[~np.isin(now, found, assume_unique=True)] if moved else now
                     out.append(found)
-                    bands.append(np.full(len(found), (1 << band % 62) | (1 << (band + 1) % 62)))
+                    bands.append(np.full(len(found), (1 << band % BANDS) | (1 << (band + 1) % BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(bands))], names=["tok", "bands"])
 
     return run
@@ -208,14 +230,16 @@ def _postings(bounds: Bounds, frequent: Broadcast, shared: Broadcast):
                     order, rare = ordered(s, frequent.value)
                     own = bounds.band(n)
                     often = [bounds.classes(band) for band in (own, own + 1)]
-                    known = order[: min(rare, bounds.prefix(n, max(often)))]
-                    in_others = has(shared.value, known)
+                    # A link shares a token of both prefixes without the extension. If none such is rare, all rare
+                    # tokens of both sets are in those prefixes, so the extended ones share frequent tokens only.
+                    single_prefix = order[: bounds.prefix(n, 0)]
+                    known = single_prefix[:rare]
                     for band, classes in zip((own, own + 1), often):
                         salt = np.uint64((band + 1) * int(_K[2]) % 2**64)
                         q = bounds.prefix(n, classes)
-                        single = known[:q][in_others[:q]]
+                        single = known[has(shared.value, known ^ BAND_SALTS[band % BANDS])]
                         found = [_rot(single ^ salt, 29) * _K[0]]
-                        tail = order[rare:q]
+                        tail = order[rare:q] if rare < len(single_prefix) else order[:0]
                         if len(tail) > 1:
                             kind = (tail >> np.uint64(40)) % np.uint64(classes)
                             by = np.argsort(kind, kind="stable")
@@ -258,13 +282,16 @@ SMALL = 24  # members of a unit up to which it is compared pair by pair
 class _Unit:
     """Members of one unit of work, in the order in which they came: hub, lo, hi, own cell, node, label, n, sketch."""
 
-    def __init__(self, rows: list[tuple], bounds: Bounds):
+    def __init__(self, rows: list[tuple], bounds: Bounds, step: int):
         self.rows, self.bounds = sorted(rows, key=lambda r: (r[6], r[4])), bounds
+        self.rng = np.random.default_rng(step)  # each pass names other pairs
+        self.open = False  # whether any pair of different labels may be a link
         self.cross = rows[0][1] != rows[0][2]
 
     def likely(self, every: bool) -> list[tuple[int, int]]:
         """Pairs (node, node of the smaller set) of different labels whose sketches leave room for a link. Unless every
-        pair is asked for, only those that connect members which earlier ones do not."""
+        pair is asked for, only those that are about as near as a link has to be, and connect members which earlier ones
+        do not."""
         return self._one_by_one(every) if len(self.rows) <= SMALL else self._in_blocks(every)
 
     def _one_by_one(self, every: bool) -> list[tuple[int, int]]:
@@ -273,18 +300,23 @@ class _Unit:
         bits = [int.from_bytes(r[7], "little") for r in rows]
         width = [8 * len(r[7]) for r in rows]
         for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
+            for j in self.rng.permutation(np.arange(i + 1, len(rows))).tolist() if len(rows) > 2 else range(i + 1, len(rows)):
                 b = rows[j]
                 if 100 * a[6] < percent * b[6]:
-                    break
-                if (comp[i] == comp[j] if not every else a[5] == b[5]) or (self.cross and a[3] == b[3]):
+                    continue
+                if (comp[i] == comp[j] and self.open if not every else a[5] == b[5]) or (self.cross and a[3] == b[3]):
                     continue
                 x, y = bits[i], bits[j]
                 for w in range(width[j].bit_length() - 1, width[i].bit_length() - 1, -1):
                     half = 1 << (w - 1)
                     y = (y & ((1 << half) - 1)) ^ (y >> half)
                 total = a[6] + b[6]
-                if (x ^ y).bit_count() <= total - 2 * -(-percent * total // (100 + percent)):
+                most = total - 2 * -(-percent * total // (100 + percent))
+                d = (x ^ y).bit_count()
+                self.open |= d <= most and a[5] != b[5]
+                if d <= (most if every else expected(most, width[i])):
+                    if not every and comp[i] == comp[j]:
+                        continue
                     out.append((b[4], a[4]))
                     old, new = comp[j], comp[i]
                     comp = [new if c == old else c for c in comp]
@@ -313,15 +345,18 @@ class _Unit:
                 d = np.zeros((len(mine), len(there)), np.int32)
                 for w in range(len(all_bits)):
                     d += np.bitwise_count(m[start : start + step, w, None] ^ all_bits[None, w, start + 1 : stop])
-                total = n[mine, None] + n[None, there]
-                fine = (d <= self.bounds.most(total)) & (100 * n[mine, None] >= self.bounds.percent * n[None, there])
+                most = self.bounds.most(n[mine, None] + n[None, there])
+                fine = (d <= most) & (100 * n[mine, None] >= self.bounds.percent * n[None, there])
                 fine &= (label[mine, None] != label[None, there]) & (mine[:, None] < there[None])
                 if self.cross:
                     fine &= side[mine, None] != side[None, there]
+                if not every:
+                    self.open = self.open or bool(fine.any())
+                    fine &= d <= expected(most, 8 * size)
                 for k in np.flatnonzero(fine.any(1)):
                     i, js = mine[k], there[fine[k]]
                     if not every:
-                        js = js[comp[js] != comp[i]]
+                        js = self.rng.permutation(js[comp[js] != comp[i]])
                         joined, first = np.unique(comp[js], return_index=True)
                         js = js[first]
                         comp[np.isin(comp, joined)] = comp[i]
@@ -329,12 +364,20 @@ class _Unit:
         return out
 
 
-def _likely(bounds: Bounds, every: bool):
-    """Rows in the order of hub, lo and hi: the likely pairs of each unit, and its hub."""
+def _likely(bounds: Bounds, step: int):
+    """Rows in the order of hub, lo and hi: the likely pairs of each unit, and its hub. A unit that names no pair now and
+    may name some in the last pass gives its hub alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, out = None, [], []
 
+        def named(unit: tuple | None, rows: list[tuple]) -> list[tuple]:
+            if len(rows) < 2:
+                return []
+            work = _Unit(rows, bounds, step)
+            pairs = [(*pair, unit[0]) for pair in work.likely(step == PASSES)]
+            return pairs or ([(None, None, unit[0])] if work.open else [])
+
         def batch_of() -> pa.RecordBatch:
             columns = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "hub"])
@@ -343,15 +386,13 @@ def _likely(bounds: Bounds, every: bool):
             for part in slices(batch, 7, 4 * SLICE_BYTES):
                 for row in zip(*(part.column(i).to_pylist() for i in range(8))):
                     if row[:3] != unit:
-                        if len(rows) > 1:
-                            out += [(*pair, unit[0]) for pair in _Unit(rows, bounds).likely(every)]
+                        out += named(unit, rows)
                         unit, rows = row[:3], []
                         if len(out) > 100_000:
                             yield batch_of()
                             out = []
                     rows.append(row)
-        if len(rows) > 1:
-            out += [(*pair, unit[0]) for pair in _Unit(rows, bounds).likely(every)]
+        out += named(unit, rows)
         yield batch_of()
 
     return run
@@ -427,7 +468,6 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
     labels: DataFrame | None = None
     live, owned = groups, []
     for step in range(PASSES + 1):
-        every = step == PASSES
         if labels is None:
             named = live.withColumn("label", F.col("node"))
         else:
@@ -444,11 +484,15 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
         celled = celled.withColumn("own", F.pmod(F.xxhash64("node", F.lit(step)), F.col("_c")).cast("int"))
         celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
         units = celled.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label")
-        sized = units.join(nodes.select("node", "n", "sketch"), "node").select("hub", "lo", "hi", "own", "node", "label", "n", "sketch")
+        units = materialize(units, "units")
+        few = units.count() <= BROADCAST_ROWS
+        sized = nodes.select("node", "n", "sketch").join(F.broadcast(units) if few else units, "node").select("hub", "lo", "hi", "own", "node", "label", "n", "sketch")
         placed = sized.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "lo", "hi")
-        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, every), "a long, b long, hub long")
+        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, step), "a long, b long, hub long")
         found = seen = materialize(found, "seen")
-        if step < PASSES - 1:
+        drop_scratch(units)
+        found = found.filter("a IS NOT NULL")
+        if step < 2:
             # One pair for each node: what the others would link mostly follows.
             found = found.groupBy("a", "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         likely = materialize(found.select("a", "b").distinct(), "likely")
@@ -477,20 +521,25 @@ def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90,
     # Sets to index: one copy per task of each that could link with a different one.
     least = next(n for n in range(1, 10_000) if not bounds.alone(n))
     source = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("toks", "node", "doc_id", "text_key")
-    shape = "tok long, bands long"
     share = lambda x: spark.sparkContext.broadcast(x)
-    counted = source.select("toks").mapInArrow(_prefix_tokens(bounds), shape).groupBy("tok").agg(F.count("*").alias("count"), F.bit_or("bands").alias("bands"))
-    # A token whose documents have no band in common leads to no pair.
-    counts = materialize(counted.filter("count > 1 AND 2 * count > bit_count(bands)").select("tok", "count"), "prefix")
-    often, held = counts.filter(F.col("count") > FREQUENT), counts.count()
+
+    def counted(*what: object) -> DataFrame:
+        tokens = source.select("toks").mapInArrow(_prefix_tokens(bounds, *what), "tok long, bands long")
+        return tokens.groupBy("tok").agg(F.count("*").alias("count"), F.bit_or("bands").alias("bands"), F.bit_and("bands").alias("common"))
+
+    # A token whose sets have no band in common leads to no pair.
+    several = F.expr("count > 1 AND 2 * count > bit_count(bands)")
+    counts = materialize(counted().filter(several), "prefix")
+    often = counts.filter(F.col("count") > FREQUENT)
     bits = bits_for(often.count())
     frequent = bit_table(often, "tok", bits)
-    shared = bit_table(counts, "tok", bits_for(held))
+    for _ in range(ROUNDS if frequent.any() else 0):
+        more = bit_table(counted(share(frequent), True).filter(F.col("count") > FREQUENT), "tok", bits)
+        frequent = frequent | more
     if frequent.any():
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, share(frequent)), shape).groupBy("tok").count()
-        frequent = frequent | bit_table(moved.filter(F.col("count") > FREQUENT), "tok", bits)
-        moved = source.select("toks").mapInArrow(_prefix_tokens(bounds, share(frequent)), shape)
-        shared = shared | bit_table(moved, "tok", bits_for(held))
+        drop_scratch(counts)
+        counts = materialize(counted(share(frequent)).filter(several), "prefix")
+    shared = bit_table(in_bands(counts), "tok", bits_for(counts.count()))
     drop_scratch(counts)
     emitted = source.select("toks", "node").mapInArrow(_postings(bounds, share(frequent), share(shared)), "key long, node long, n int")
     emitted = materialize(emitted, "postings")

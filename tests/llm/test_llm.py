@@ -438,9 +438,12 @@ def brute_components(rows, n_words=3, percent=90):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("frequent", [50, 4])
-def test_components_match_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, rounds", [(50, 1), (4, 1), (2, 40)])
+def test_components_match_brute_force(spark, monkeypatch, frequent, rounds):
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)  # with 40, near copies have frequent tokens only
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "CELL_ROWS", 6)
     rng = random.Random(frequent)
     passage = make_words(rng, 60, 10**6)
     rows = []
