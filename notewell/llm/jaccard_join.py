@@ -182,6 +182,7 @@ def _sets(n_words: int):
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary())],
                     names=["doc_id", "text_key", "n", "node", "toks"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 

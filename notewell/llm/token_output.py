@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import ascii_words, materialize, once_run, scratch_path, slices
 
 END_ID = 1
-MAX_WORDS = 700_000  # distinct words that a worker keeps
-BATCH_BYTES = 6 << 20
+MAX_WORDS = 200_000  # distinct words that a worker keeps
+BATCH_BYTES = 4 << 20
 FILE_BYTES = 128 << 20  # of the optimizer's size of the texts, for each file
 MOST_FILES = 100_000  # whatever that estimate says
 ORC_OPTIONS = {
@@ -243,6 +243,7 @@ def _encode_batches(path: str):
                     names=["file", "pos", "doc_id", "n_tokens", "ids"],
                 )
                 pos += n
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -30,7 +30,7 @@ MIN_OF_CLASS = 20  # calibration documents of each class that a language needs f
 PIECE = 1 << 18  # words that one numpy pass takes
 _GAP = max(WIDTHS) - 1
 _KEEP = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
-_MAX_WORDS = 400_000
+_MAX_WORDS = 150_000
 _known: dict[bytes, int] = {}
 
 
