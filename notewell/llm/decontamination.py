@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, slices
+from .shared import materialize, slices, trimmed
 
 SIZES = (12, 8)  # q-grams; the first that fits an item's length and budget
 EDIT_RATE = 0.06
@@ -308,12 +308,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
     if blocks == 1:
         schema = T.StructType([*rows.schema.fields, T.StructField("leaks", T.ArrayType(LEAK))])
-        return rows.mapInArrow(_found(block(0), rows.columns.index("text")), schema)
+        return rows.mapInArrow(trimmed(_found(block(0), rows.columns.index("text"))), schema)
     number = next(name for i in range(len(rows.columns) + 1) if (name := f"_row{i}") not in rows.columns)
     rows = materialize(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
     schema = T.StructType([T.StructField(number, T.LongType()), T.StructField("text", rows.schema["text"].dataType), T.StructField("leaks", T.ArrayType(LEAK))])
     found = [
-        materialize(rows.select(number, "text").mapInArrow(_found(block(b), 1), schema).filter(F.size("leaks") > 0).select(number, "leaks"), "leaks")
+        materialize(rows.select(number, "text").mapInArrow(trimmed(_found(block(b), 1)), schema).filter(F.size("leaks") > 0).select(number, "leaks"), "leaks")
         for b in range(blocks)
     ]
     every = reduce(DataFrame.union, found).groupBy(number).agg(F.flatten(F.collect_list("leaks")).alias("leaks"))

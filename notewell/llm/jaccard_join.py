@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ascii_words, drop_scratch, materialize, slices
+from .shared import ascii_words, drop_scratch, materialize, slices, trimmed
 
 FREQUENT = 16  # prefixes that a token is in, above which it is of a frequent class
 LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 16 for each value, up to 2**28
@@ -182,7 +182,6 @@ def _sets(n_words: int):
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(toks, pa.binary())],
                     names=["doc_id", "text_key", "n", "node", "toks"],
                 )
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -445,12 +444,12 @@ def _verified(likely: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: Boun
     held = sets
     if n > BROADCAST_ROWS:  # few of the sets are needed: only those are shuffled
         wanted = spark.sparkContext.broadcast(bit_table(need, "_node", bits_for(n)))
-        held = sets.select("node", "doc_id", "text_key", "toks").mapInArrow(_wanted_rows(wanted), "node long, doc_id long, text_key long, toks binary")
+        held = sets.select("node", "doc_id", "text_key", "toks").mapInArrow(trimmed(_wanted_rows(wanted)), "node long, doc_id long, text_key long, toks binary")
     named = F.broadcast(need) if n <= BROADCAST_ROWS else need
     same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_at")) & (F.col("text_key") == F.col("_key"))
     shuffled = held.join(named, same).select("hub", "salt", F.col("node").alias("member"), "toks", (F.col("node") != F.col("hub")).alias("_m"))
     placed = shuffled.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "salt")
-    counted = placed.sortWithinPartitions("hub", "salt", "_m").drop("_m").mapInArrow(_compare, "a long, b long, n_a long, n_b long, both long")
+    counted = placed.sortWithinPartitions("hub", "salt", "_m").drop("_m").mapInArrow(trimmed(_compare), "a long, b long, n_a long, n_b long, both long")
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     links = materialize(counted.filter(100 * F.col("both") >= bounds.percent * union).select("a", "b").distinct(), "links")
     drop_scratch(need)
@@ -489,7 +488,7 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
         few = units.count() <= BROADCAST_ROWS
         sized = nodes.select("node", "n", "sketch").join(F.broadcast(units) if few else units, "node").select("hub", "lo", "hi", "own", "node", "label", "n", "sketch")
         placed = sized.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "hub", "lo", "hi")
-        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(_likely(bounds, step), "a long, b long, hub long")
+        found = placed.sortWithinPartitions("hub", "lo", "hi").mapInArrow(trimmed(_likely(bounds, step)), "a long, b long, hub long")
         found = seen = materialize(found, "seen")
         drop_scratch(units)
         found = found.filter("a IS NOT NULL")
@@ -518,14 +517,14 @@ def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90,
     spark = docs.sparkSession
     bounds = Bounds(percent)
     typed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    found = materialize(typed.mapInArrow(_sets(n_words), "doc_id long, text_key long, n long, node long, toks binary"), "sets")
+    found = materialize(typed.mapInArrow(trimmed(_sets(n_words)), "doc_id long, text_key long, n long, node long, toks binary"), "sets")
     # Sets to index: one copy per task of each that could link with a different one.
     least = next(n for n in range(1, 10_000) if not bounds.alone(n))
     source = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("toks", "node", "doc_id", "text_key")
     share = lambda x: spark.sparkContext.broadcast(x)
 
     def counted(*what: object) -> DataFrame:
-        tokens = source.select("toks").mapInArrow(_prefix_tokens(bounds, *what), "tok long, bands long")
+        tokens = source.select("toks").mapInArrow(trimmed(_prefix_tokens(bounds, *what)), "tok long, bands long")
         return tokens.groupBy("tok").agg(F.count("*").alias("count"), F.bit_or("bands").alias("bands"), F.bit_and("bands").alias("common"))
 
     # A token whose sets have no band in common leads to no pair.
@@ -542,7 +541,7 @@ def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90,
         counts = materialize(counted(share(frequent)).filter(several), "prefix")
     shared = bit_table(in_bands(counts), "tok", bits_for(counts.count()))
     drop_scratch(counts)
-    emitted = source.select("toks", "node").mapInArrow(_postings(bounds, share(frequent), share(shared)), "key long, node long, n int")
+    emitted = source.select("toks", "node").mapInArrow(trimmed(_postings(bounds, share(frequent), share(shared))), "key long, node long, n int")
     emitted = materialize(emitted, "postings")
     hubs = emitted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_hi")).filter("hub != _hi").select("key", "hub")
     members = emitted.join(hubs, "key").select("hub", "node", "n").distinct()  # the hub itself is a member of its keys
@@ -550,7 +549,7 @@ def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90,
     drop_scratch(emitted)
     n_rows = groups.count()
     wanted = share(bit_table(groups.select("node").distinct(), "node", bits_for(n_rows)))
-    listed = source.mapInArrow(_sketches(wanted), "node long, n int, sketch binary, doc_id long, text_key long")
+    listed = source.mapInArrow(trimmed(_sketches(wanted)), "node long, n int, sketch binary, doc_id long, text_key long")
     where = F.min(F.struct("doc_id", "text_key")).alias("_w")
     nodes = listed.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), where)
     nodes = materialize(nodes.select("node", "n", "sketch", "_w.doc_id", "_w.text_key"), "nodes")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Within once_run: shuffle files go with their query, and batches for Python are small, whatever the length of a row.
+_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _own_dir: str | None = None
 
 
@@ -35,17 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 class once_run:
-    """Within it, the shuffle files of a query go when the query ends: nothing else reads them."""
+    """Within it, queries run with _CONF: nothing reads their shuffle files again."""
 
     def __init__(self, spark: SparkSession):
         self.conf = spark.conf
 
     def __enter__(self) -> None:
-        self.old = self.conf.get(_CLEANUP, None)
-        self.conf.set(_CLEANUP, "true")
+        self.old = {k: self.conf.get(k, None) for k in _CONF}
+        for k, v in _CONF.items():
+            self.conf.set(k, v)
 
     def __exit__(self, *_: object) -> None:
-        self.conf.set(_CLEANUP, self.old) if self.old is not None else self.conf.unset(_CLEANUP)
+        for k, v in self.old.items():
+            self.conf.set(k, v) if v is not None else self.conf.unset(k)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -105,3 +109,16 @@ def ascii_words(texts: pa.Array) -> pa.Array:
     """Lists of the words between ASCII blanks; words may be empty at a text's ends."""
     # Taken anew: some kernels read a slice of another array from the wrong place.
     return pc.ascii_split_whitespace(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()))
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker that waits for its next task gives unused memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

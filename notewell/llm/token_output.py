@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, materialize, once_run, scratch_path, slices
+from .shared import ascii_words, materialize, once_run, scratch_path, slices, trimmed
 
 END_ID = 1
 MAX_WORDS = 200_000  # distinct words that a worker keeps
@@ -243,7 +243,6 @@ def _encode_batches(path: str):
                     names=["file", "pos", "doc_id", "n_tokens", "ids"],
                 )
                 pos += n
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -262,7 +261,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files
         size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
     ordered = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    tokens = ordered.drop("_tie").mapInArrow(_encode_batches(tokenizer or tokenizer_path()), _FILE_SCHEMA)
+    tokens = ordered.drop("_tie").mapInArrow(trimmed(_encode_batches(tokenizer or tokenizer_path())), _FILE_SCHEMA)
     with once_run(spark):
         tokens.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
     return path

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import slices, trimmed
+
 BUCKET_BITS = 19
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -27,7 +29,7 @@ SAMPLE_WORDS = 20_000  # words of a document up to which it can be in the sample
 THRESHOLD = 0.7
 MIN_DOCS = 5  # sample documents that a word needs for an embedding of its own
 MIN_OF_CLASS = 20  # calibration documents of each class that a language needs for a threshold of its own
-PIECE = 1 << 18  # words that one numpy pass takes
+PIECE = 1 << 16  # words that one numpy pass takes
 _GAP = max(WIDTHS) - 1
 _KEEP = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _MAX_WORDS = 150_000
@@ -301,8 +303,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, at, 4 << 20, 1000):
                 scores = score_ids(shared.value, [word_ids(t) for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "toxic_score"])
 
@@ -310,4 +311,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     if "lang" in docs.columns:
         for lang, t in model.thresholds.items():
             bar = F.when(F.col("lang") == lang, F.lit(t)).otherwise(bar)
-    return docs.mapInArrow(run, schema).withColumn("toxic_flag", F.col("toxic_score") >= bar)
+    return docs.mapInArrow(trimmed(run), schema).withColumn("toxic_flag", F.col("toxic_score") >= bar)
