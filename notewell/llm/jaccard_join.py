@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import ascii_words, drop_scratch, materialize, slices, trimmed
+from .shared import ascii_words, drop_scratch, materialize, release_memory, slices, trimmed
 
 FREQUENT = 16  # prefixes that a token is in, above which it is of a frequent class
-LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 16 for each value, up to 2**28
+LEAST_BITS, MOST_BITS = 22, 28  # a bit table has 2**22 bits, or about 12 for each value, up to 2**28
 SKETCH_BITS = 1  # of the parity sketch for each shingle, rounded up to a power of two, 512 in all at least
 ROUNDS = 1  # in which tokens that move up are counted too
 CLASS_SIZE = 2  # missing tokens for each class: about 2.25 pairs for each, where 8 make 5
@@ -109,9 +109,11 @@ def bit_table(values: DataFrame, column: str, bits: int) -> np.ndarray:
     """2**bits bits, packed, with those of the values set; at most 2**bits / 64 rows reach the driver."""
     at = F.pmod(F.col(column), F.lit(1 << bits))
     words = values.select(F.shiftrightunsigned(at, 6).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("s"))
-    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("v")).toArrow()
     table = np.zeros((1 << bits) // 64, np.int64)
     table[words["w"].to_numpy()] = words["v"].to_numpy()
+    del words
+    release_memory()
     return table.view(np.uint8)
 
 
@@ -132,7 +134,7 @@ def in_bands(counts: DataFrame) -> DataFrame:
 
 
 def bits_for(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
 
 
 def has(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:

@@ -111,14 +111,19 @@ def ascii_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()))
 
 
+def release_memory() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker that waits for its next task gives unused memory back."""
+    """run, after which the worker, which waits for its next task, releases memory."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release_memory()
 
     return wrapped

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, trimmed
+from .shared import release_memory, slices, trimmed
 
 BUCKET_BITS = 19
 DIM = 8
@@ -287,6 +287,8 @@ def fit(
     checks = [t for t, h in zip(texts, held) if h]
     model = train([t for t, h in zip(texts, held) if not h], y[~held], checks, y[held])
     calibrate(model, checks, y[held], langs[held])
+    del got, texts, checks
+    release_memory()
     return model
 
 
