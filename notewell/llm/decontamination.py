@@ -30,8 +30,8 @@ EDIT_RATE = 0.06
 WORDS_BELOW = 8  # bytes: shorter items are looked for as whole words between blanks
 WINDOW = 200
 BLOCK_BYTES = 4 << 20  # of benchmark text in one pass
-PIECE = 1 << 18  # bytes of text in one numpy pass
-HITS = 1 << 20  # shared q-grams counted together
+PIECE = 1 << 17  # bytes of text in one numpy pass
+HITS = 1 << 18  # shared q-grams counted together
 _TABLE_BITS = 22
 LEAK = T.StructType(
     [
