@@ -143,11 +143,11 @@ def test_time_boost(spark):
 
 def test_rerank(spark):
     rows = spark.createDataFrame(
-        [(1, "unrelated", "cooking with rice", "a.md", 0.8), (2, "relevant", "python async programming", "b.md", 0.7), (3, "async python", "", "c.md", 0.6)],
+        [(1, "unrelated", "cooking with rice", "a.md", 0.8), (2, "relevant", "python async programming", "b.md", 0.7), (3, "async python", "", "", 0.6)],
         "doc_id int, title string, content string, relative_path string, s double",
     )
     got = ranking.rerank(rows, "s", ranking.lexical_overlap("python async"), 3).collect()
-    assert [r["doc_id"] for r in got] == [3, 2, 1] and got[0]["title"] == "async python"
+    assert [r["doc_id"] for r in got] == [3, 2, 1] and got[0]["title"] == "async python"  # a blank text: title and path
     assert ranking.rerank(rows, "s", ranking.lexical_overlap("x"), 1, 2).count() == 1
 
 

@@ -11,29 +11,17 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-def plain_snippet(content, query, size=150):
-    """The rule written again, on strings."""
-    places = [content.lower().find(w) for w in query.lower().split() if len(w) >= 3]
-    places = [p for p in places if p >= 0]
-    if not places:
-        return content[:size].strip() + ("..." if len(content) > size else "")
-    start = max(0, min(places) - size // 2)
-    end = min(len(content), start + size)
-    if end == len(content):
-        start = max(0, end - size)
-    part = content[start:end]
-    if start > 0:
-        gap = part.find(" ")
-        part = "..." + (part[gap:] if 0 < gap < 30 else part)
-    if end < len(content):
-        gap = part.rfind(" ")
-        part = (part[:gap] if gap > len(part) - 30 else part) + "..."
-    return part.strip()
-
-
-@pytest.mark.parametrize("content", ["", "short text", "a " * 300 + "needle" + " b" * 300, "x" * 400 + "needle" + "y" * 400, "needle " + "z" * 500, "lead " * 40 + "needle"])
-def test_snippet(spark, content):
-    assert one(spark, tx.snippet("c", "no needle"), c=content) == plain_snippet(content, "no needle")
+@pytest.mark.parametrize("content", ["a " * 300 + "needle" + " b" * 300, "x" * 400 + "needle" + "y" * 400, "needle " + "z" * 500, "lead " * 40 + "needle"])
+def test_snippet_shows_the_word(spark, content):
+    got = one(spark, tx.snippet("c", "no needle"), c=content)
+    shown = got.removeprefix("...").removesuffix("...").strip()
+    assert "needle" in shown and shown in content and len(shown) <= 150
+    assert got.startswith("...") == (not content.startswith(shown)) and got.endswith("...") == (not content.rstrip().endswith(shown))
+
+
+@pytest.mark.parametrize("content, want", [("", ""), ("short text", "short text"), ("ends with the needle", "ends with the needle"), ("w" * 200, "w" * 150 + "...")])
+def test_snippet_of_short_and_unmatched_texts(spark, content, want):
+    assert one(spark, tx.snippet("c", "no needle"), c=content) == want
 
 
 def test_tokenize_splits_all_white_space(spark):
