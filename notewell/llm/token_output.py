@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import ascii_words, materialize, once_run, scratch_path, slices, trimmed
 
 END_ID = 1
-MAX_WORDS = 200_000  # distinct words that a worker keeps
+MAX_WORDS = 400_000  # distinct words that a worker keeps
 BATCH_BYTES = 4 << 20
 FILE_BYTES = 128 << 20  # of the optimizer's size of the texts, for each file
 MOST_FILES = 100_000  # whatever that estimate says
