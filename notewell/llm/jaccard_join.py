@@ -468,13 +468,17 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
     """
     spark = groups.sparkSession
     labels: DataFrame | None = None
-    live, owned = groups, []
-    for step in range(PASSES + 1):
-        if labels is None:
+    hubs: DataFrame | None = None
+    live, owned, step = groups, [], 0
+    while True:
+        if hubs is None:
             named = live.withColumn("label", F.col("node"))
         else:
-            some = live.join(hubs, "hub", "left_semi")  # a group without a likely pair will not have one later
-            whole = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            some = live.join(hubs, "hub", "left_semi")  # a group without a likely or open pair will not have one later
+            if labels is None:
+                whole = some.withColumn("label", F.col("node"))
+            else:
+                whole = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             named = whole = materialize(whole, "named")
             mixed = named.groupBy("hub").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo != _hi").select("hub")
             named = materialize(named.join(mixed, "hub", "left_semi"), "live")
@@ -500,14 +504,18 @@ def link_components(groups: DataFrame, nodes: DataFrame, sets: DataFrame, bounds
         likely = materialize(found.select("a", "b").distinct(), "likely")
         hubs = materialize(seen.select("hub").distinct(), "hubs")
         drop_scratch(seen)
-        if not likely.limit(1).count():
-            drop_scratch(likely, hubs)
+        some_likely = likely.limit(1).count() > 0
+        if some_likely:
+            links = _verified(likely, nodes, sets, bounds)
+            edges = links if labels is None else links.union(labels.select("node", "label"))
+            old, labels = labels, components(edges)
+            drop_scratch(links, *([old] if old is not None else []))
+        drop_scratch(likely)
+        # Only the last pass asks for every pair, so it is left out only if no group has an open one.
+        if step == PASSES or not (some_likely or hubs.limit(1).count()):
             break
-        links = _verified(likely, nodes, sets, bounds)
-        edges = links if labels is None else links.union(labels.select("node", "label"))
-        old, labels = labels, components(edges)
-        drop_scratch(likely, links, *([old] if old is not None else []))
-    drop_scratch(*owned)
+        step = step + 1 if some_likely else PASSES
+    drop_scratch(hubs, *owned)
     return labels
 
 
