@@ -71,4 +71,10 @@ WITH n AS (SELECT doc_id, 'd' || ((strpos('0123456789abcdef', substr(md5(coalesc
 SELECT doc_id, d AS domain, l AS lang, s AS source, n AS n_tokens, copies FROM k WHERE copies > 0
 """
 
-ORACLE_SQL = {"op1_line_templates": LINE_TEMPLATES, "op5_mix_sources": MIX, "op6_ngram_jaccard": JACCARD}
+EXACT = r"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256 FROM n WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+ORACLE_SQL = {"op1_line_templates": LINE_TEMPLATES, "op5_mix_sources": MIX, "op6_ngram_jaccard": JACCARD, "op11_exact_dedup": EXACT}

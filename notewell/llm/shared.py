@@ -76,6 +76,21 @@ def drop_folders(spark: SparkSession, folders: Iterable[str]) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with counted, which has one row per key and, in `count`, how many of the `total` rows have that key.
+
+    Keys of a thousandth of the rows or more, which are 1,000 at most, are broadcast, so none of their rows is shuffled;
+    the other keys are small and go the usual way. rows is read twice. Columns `on` must not be null.
+    """
+    least = max(200, total // 1000)
+    values = [c for c in counted.columns if c not in on]
+    hot = counted.filter(F.col(count) >= least).select(*on, F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    warm = marked.filter("_hot IS NOT NULL").select(*rows.columns, *[F.col(f"_hot.{v}").alias(v) for v in values])
+    cold = marked.filter("_hot IS NULL").drop("_hot").join(counted.filter(F.col(count) < least), on, how)
+    return warm.unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
