@@ -77,4 +77,26 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
-ORACLE_SQL = {"op1_line_templates": LINE_TEMPLATES, "op5_mix_sources": MIX, "op6_ngram_jaccard": JACCARD, "op11_exact_dedup": EXACT}
+# crc32 by its definition, bit by bit: bytes are numbers of 0 to 255, -1 is a shift.
+CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"""
+
+TRIE = f"""
+WITH c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+  h AS (SELECT *, {CRC32} % 6 AS h FROM c),
+  s AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+  p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM s),
+  n AS (SELECT s[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+  kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+  v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(n.k[depth].t) ELSE 0 END AS saved
+    FROM n LEFT JOIN kids ON kids.k = n.k),
+  up AS (SELECT k[1:d] AS k, n_children, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM v)),
+  sums AS (SELECT k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN sums ON sums.k = v.k LEFT JOIN n p ON v.depth > 0 AND p.k = v.k[1:v.depth - 1]
+"""
+
+ORACLE_SQL = {"op1_line_templates": LINE_TEMPLATES, "op5_mix_sources": MIX, "op6_ngram_jaccard": JACCARD, "op11_exact_dedup": EXACT, "op13_conversation_trie": TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, token_alignment, token_output, toxicity
+from . import ann, conversation_trie, decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, token_alignment, token_output, toxicity
 from .oracles import ORACLE_SQL  # noqa: F401
 from .shared import id_crc, materialize, table
 
@@ -119,6 +119,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_templates": op1_line_templates,
     "op1_recurring_lines": op1_recurring_lines,
@@ -133,4 +137,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
