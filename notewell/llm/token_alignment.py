@@ -158,6 +158,10 @@ class Aligner:
         self.a_length = np.array([len(x) for x in self.a_bytes])
         self.b_length = np.array([len(x) for x in self.b_bytes])
         self.space = self.b.piece_to_id(SPACE_MARK)
+        # Ids of A before another of their group and at its end, ids of B likewise, and ids of B at a piece's end.
+        self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
+        ends = [(self.n_a, ","), (self.n_a, "|"), (self.n_b, ","), (self.n_b, ";"), (self.n_b, "")]
+        self.names = [f"{i}{end}" for n, end in ends for i in range(n)]
         self.reset()
 
     def _piece_bytes(self, i: int) -> bytes:
@@ -166,13 +170,14 @@ class Aligner:
 
     def reset(self) -> None:
         self.pieces, self.pairs = _Numbers(), _Codes()
-        self.text: list[str] = []  # groups of each piece
+        self.count, self.n_bytes = 0, 0
         self.n = np.zeros((4, 1 << 12), np.int64)  # of each piece: A tokens, B tokens, groups, and 1 if it has no tokens
-        self.n_bytes = 0
+        self.text: list[str] = []  # groups of each piece, as far as they were asked for
+        self.ids: list[tuple[np.ndarray, ...]] = []  # what the texts of the other pieces are made of
 
     @property
     def full(self) -> bool:
-        return len(self.text) > MAX_PIECES or self.n_bytes > MAX_PIECE_BYTES
+        return self.count > MAX_PIECES or self.n_bytes > MAX_PIECE_BYTES
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a space and the text."""
@@ -192,35 +197,77 @@ class Aligner:
             self._add(new[k : k + 4096])
 
     def _add(self, pieces: list[str]) -> None:
+        raw = [p.encode() for p in pieces]
+        self.n_bytes += sum(map(len, raw))
+        found = self._joined(pieces, raw)
+        if found is None and len(pieces) > 64:
+            self.n_bytes -= sum(map(len, raw))
+            for k in range(0, len(pieces), 64):
+                self._add(pieces[k : k + 64])
+            return
+        self._align(*(found or self._one_by_one(pieces, raw)))
+
+    def _joined(self, pieces: list[str], raw: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        """Ids and their numbers per piece from texts of many pieces, if these are texts' pieces wherever they stand and
+        all tokens together give back their bytes."""
+        if not self.by_piece or any(p[0] not in " \n" or p[-1].isspace() or _DOUBTFUL in p for p in pieces):
+            return None
+        texts = ["".join(pieces[k : k + 128]) for k in range(0, len(pieces), 128)]
+        a = np.fromiter((i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids), np.int64)
+        b = np.fromiter((i for ids in self._b_ids(texts) for i in ids), np.int64)
+        whole, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        out = []
+        for ids, of, lengths in ((a, self.a_bytes, self.a_length), (b, self.b_bytes, self.b_length)):
+            if b"".join([of[i] for i in ids.tolist()]) != whole:
+                return None
+            token_ends = np.cumsum(lengths[ids])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                return None
+            out += [ids, np.diff(last + 1, prepend=0)]
+        return (*out, np.zeros(len(pieces), bool))
+
+    def _one_by_one(self, pieces: list[str], raw: list[bytes]) -> tuple[np.ndarray, ...]:
         a_ids = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
         b_ids = self._b_ids(pieces)
         bad = np.zeros(len(pieces), bool)
-        for i, p in enumerate(pieces):
-            raw = p.encode()
-            self.n_bytes += len(raw)
-            if b"".join([self.a_bytes[x] for x in a_ids[i]]) != raw or b"".join([self.b_bytes[x] for x in b_ids[i]]) != raw:
+        for i, want in enumerate(raw):
+            if any(b"".join([of[x] for x in ids[i]]) != want for ids, of in ((a_ids, self.a_bytes), (b_ids, self.b_bytes))):
                 bad[i], a_ids[i], b_ids[i] = True, [], []
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        a, b = (np.array([x for one in ids for x in one], np.int64) for ids in (a_ids, b_ids))
+        out = []
+        for ids in (a_ids, b_ids):
+            out += [np.array([x for one in ids for x in one], np.int64), np.array([len(x) for x in ids], np.int64)]
+        return (*out, bad)
+
+    def _align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, bad: np.ndarray) -> None:
         _, to_a, to_b = shared_cuts(self.a_length[a], self.b_length[b])
-        pairs = a[to_a - 1] * PAIR_BASE + b[to_b - 1]
         # Every piece ends with a cut, so its groups are those up to its last A token.
         last = np.searchsorted(to_a, np.cumsum(n_a), side="right")
         n_groups = np.diff(last, prepend=0)
-        self.pairs.add(pairs, n_groups)
-        texts_a, texts_b = a.astype(str).tolist(), b.astype(str).tolist()
-        groups, i, j = [], 0, 0
-        for x, y in zip(to_a.tolist(), to_b.tolist()):
-            groups.append(f"{','.join(texts_a[i:x])}|{','.join(texts_b[j:y])}")
-            i, j = x, y
-        start = 0
-        for stop in last.tolist():
-            self.text.append(";".join(groups[start:stop]))
-            start = stop
-        done = len(self.text)
-        while done > self.n.shape[1]:
+        self.pairs.add(a[to_a - 1] * PAIR_BASE + b[to_b - 1], n_groups)
+        start, self.count = self.count, self.count + len(bad)
+        while self.count > self.n.shape[1]:
             self.n = np.concatenate([self.n, np.zeros_like(self.n)], 1)
-        self.n[:, done - len(pieces) : done] = n_a, n_b, n_groups, bad
+        self.n[:, start : self.count] = n_a, n_b, n_groups, bad
+        self.ids.append((a.astype(np.int32), b.astype(np.int32), to_a.astype(np.int32), to_b.astype(np.int32), np.cumsum(n_a + n_b), last))
+
+    def write_texts(self) -> None:
+        """Makes the groups' texts of all pieces."""
+        waiting, self.ids = self.ids, []
+        for a, b, to_a, to_b, tokens, last in waiting:
+            # Tokens in the order of their groups, those of A first; each with the sign that follows it.
+            of_a = np.searchsorted(to_a, np.arange(len(a)), side="right")
+            of_b = np.searchsorted(to_b, np.arange(len(b)), side="right")
+            name_a, name_b = a.astype(np.int64), b.astype(np.int64) + 2 * self.n_a
+            name_a[to_a - 1] += self.n_a
+            name_b[to_b - 1] += self.n_b
+            name_b[to_b[last[last > 0] - 1] - 1] = b[to_b[last[last > 0] - 1] - 1] + 2 * self.n_a + 2 * self.n_b
+            order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+            names = [self.names[i] for i in np.concatenate([name_a, name_b])[order].tolist()]
+            start = 0
+            for stop in tokens.tolist():
+                self.text.append("".join(names[start:stop]))
+                start = stop
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces of the texts one after the other, and how many each text has. No text has none."""
@@ -237,9 +284,9 @@ _aligners: dict[Tokenizers, Aligner] = {}
 
 
 def _aligner(files: Tokenizers) -> Aligner:
+    """The worker's own, with the pieces that it knows from earlier tasks."""
     if files not in _aligners:
         _aligners[files] = Aligner(files)
-    _aligners[files].reset()
     return _aligners[files]
 
 
@@ -252,14 +299,15 @@ def _count_pairs(files: Tokenizers):
     """Texts to the pairs that are linked in them, each with its count, once for each filling of the worker's table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, seen = _aligner(files), np.zeros(1 << 12, np.int64)
+        aligner, seen = _aligner(files), np.zeros(1 << 12, np.int64)  # how often each piece was in a text of this task
 
         def counted() -> pa.RecordBatch:
-            n = len(aligner.text)
-            codes, lengths = aligner.pairs.take(np.arange(n))
-            pairs, inverse = np.unique(codes, return_inverse=True)
-            counts = np.bincount(inverse, np.repeat(seen[:n], lengths), len(pairs)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[counts > 0]), pa.array(counts[counts > 0])], names=["pair", "n"])
+            used = np.flatnonzero(seen)
+            codes, lengths = aligner.pairs.take(used)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            counts = np.add.reduceat(np.repeat(seen[used], lengths)[order], starts) if len(starts) else starts
+            return pa.RecordBatch.from_arrays([pa.array(codes[order][starts]), pa.array(counts)], names=["pair", "n"])
 
         for batch in batches:
             for part in slices(batch, 0, BATCH_BYTES):
@@ -268,12 +316,11 @@ def _count_pairs(files: Tokenizers):
                     aligner.reset()
                     seen[:] = 0
                 of, lengths = aligner.numbers(part.column(0).to_pylist())
-                while len(aligner.text) > len(seen):
+                while aligner.count > len(seen):
                     seen = np.concatenate([seen, np.zeros_like(seen)])
                 used = of[np.repeat(_sound(aligner, of, lengths), lengths)]
                 seen += np.bincount(used, minlength=len(seen))
-        if len(aligner.text):
-            yield counted()
+        yield counted()
 
     return run
 
@@ -295,7 +342,8 @@ def _describe(files: Tokenizers, table: Broadcast):
                     of_piece, rare = np.zeros((2, 0), np.int64), _Codes()
                 texts = part.column(1).to_pylist()
                 of, lengths = aligner.numbers(texts)
-                new = np.arange(of_piece.shape[1], len(aligner.text))
+                aligner.write_texts()
+                new = np.arange(of_piece.shape[1], aligner.count)
                 codes, n_links = aligner.pairs.take(new)
                 count, best, unknown = counts.take(codes)
                 of_piece = np.concatenate([of_piece, [_sums(count, n_links), _sums(best.astype(np.int64), n_links)]], 1)

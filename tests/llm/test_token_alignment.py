@@ -103,6 +103,7 @@ def test_pieces_encode_as_whole_texts(aligner, parts):
     a, b = direct(aligner, text)
     want = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in brute_groups(aligner, a, b))
     sound = bool(len(of)) and not aligner.n[3, of].any()
+    aligner.write_texts()
     assert "".join(aligner.cut(text)) == " " + text
     assert (";".join(aligner.text[i] for i in of) if sound else "") == want
 
