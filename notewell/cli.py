@@ -1,10 +1,9 @@
-"""Command line: index, reindex, search, archaeology, stats, log, vaults, models."""
+"""Command line: index, reindex, search, archaeology, stats, snapshots, log, models."""
 
 from __future__ import annotations
 
 import argparse
 import json
-import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +42,12 @@ def parser() -> argparse.ArgumentParser:
     for kind in ("type", "tag", "path", "file"):
         find.add_argument(f"--{kind}", action="append", default=[])
         find.add_argument(f"--not-{kind}", action="append", default=[])
+    for flag in ("--prop", "--not-prop"):
+        find.add_argument(flag, action="append", default=[], metavar="NAME=VALUE")
+    kept = sub.add_parser("snapshots")
+    kept.add_argument("action", choices=("stats", "backup", "restore", "vacuum", "clear"))
+    kept.add_argument("--to", default="backup", help="name of the backup")
+    kept.add_argument("--keep", type=int, default=2, help="versions that vacuum leaves")
     topic = sub.add_parser("archaeology")
     topic.add_argument("query")
     topic.add_argument("--threshold", type=float, default=0.2)
@@ -64,13 +69,14 @@ def run(args: argparse.Namespace) -> None:
         print(json.dumps(engine.reindex(force=args.force)))
     elif args.command == "search":
         wanted = {k: Wanted(tuple(getattr(args, k)), tuple(getattr(args, f"not_{k}"))) for k in ("type", "tag", "path", "file")}
-        chosen = QueryFilter(types=wanted["type"], tags=wanted["tag"], paths=wanted["path"], files=wanted["file"])
+        pairs = [tuple(tuple(x.partition("=")[::2]) for x in some) for some in (args.prop, args.not_prop)]
+        chosen = QueryFilter(properties=Wanted(*pairs), types=wanted["type"], tags=wanted["tag"], paths=wanted["path"], files=wanted["file"])
         params = SearchParams(args.query, args.mode, args.limit, args.min_score, args.rerank, time_boost=not args.no_time_boost, query_filter=chosen)
-        began = time.time()
-        found = engine.search(params, args.expand).persist()
-        _show(found)
+        answer = engine.answer(params, args.expand)
+        for r in answer.rows:
+            print(json.dumps(r.asDict(recursive=True), default=str))
         if not args.no_log:
-            engine.log(params, found, began, log)
+            engine.log(params, answer, log, args.expand)
     elif args.command == "archaeology":
         found, months = engine.topic(args.query, args.threshold, args.exclude_daily)
         _show(topics.strongest(found).select("date", "relative_path", F.round("similarity", 4).alias("similarity")))
@@ -78,6 +84,14 @@ def run(args: argparse.Namespace) -> None:
         _show(topics.peaks(months).select(F.col("month").alias("peak")))
         _show(topics.dormant(months).orderBy("month").withColumnRenamed("month", "dormant"))
         _show(topics.bars(months).orderBy("month"))
+    elif args.command == "snapshots":
+        if args.action in ("backup", "restore"):
+            getattr(engine.store, args.action)(args.to)
+        elif args.action == "vacuum":
+            engine.store.vacuum(args.keep)
+        elif args.action == "clear":
+            engine.store.clear()
+        print(json.dumps(engine.store.stats()))
     elif args.command == "stats":
         _show(engine.stats())
     elif args.command == "log":

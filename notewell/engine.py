@@ -4,22 +4,35 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.encoders import Encoder, batch_encoder, hashed_words
-from .operators import chunking, expansion, fusion, lexical, maintenance, ranking, topics
+from .operators import block_postings, chunking, expansion, filters, fusion, lexical, maintenance, ranking, topics, vector_codes
 from .plans import search
-from .sources import index_store, notes, query_log
+from .sources import notes, query_log
+from .sources.snapshots import SnapshotStore
+
+
+@dataclass(frozen=True)
+class Answer:
+    """The rows of one search, what its stages kept (stage, position, before, after), and the milliseconds it took."""
+
+    rows: list[Row]
+    stages: list[tuple[str, int, int, int]]
+    total_ms: float
 
 
 class NoteEngine:
-    def __init__(self, spark: SparkSession, vault_path: str, index_path: str, vault: str = "vault", encoder: Encoder | None = None, rules: chunking.ChunkRules = chunking.ChunkRules()):
+    """Rows, keyword index and vector codes of a vault, all under one version of a SnapshotStore."""
+
+    def __init__(self, spark: SparkSession, vault_path: str, index_path: str, vault: str = "vault", encoder: Encoder | None = None, rules: chunking.ChunkRules = chunking.ChunkRules(), model: str = "hashed-words"):
         self.spark, self.vault_path, self.index_path, self.vault, self.rules = spark, vault_path, index_path.rstrip("/"), vault, rules
-        self.encoder = encoder or batch_encoder(hashed_words())
+        self.encoder, self.model = encoder or batch_encoder(hashed_words()), model
+        self.store = SnapshotStore(spark, self.index_path, vault)
 
     # Index ---------------------------------------------------------------------------------------------------------
 
@@ -28,29 +41,31 @@ class NoteEngine:
         keyed = chunks.withColumn("doc_id", F.xxhash64("relative_path", "chunk_index"))
         return keyed.withColumn("embedding", self.encoder(F.col("content")))
 
+    def _tables(self) -> dict:
+        text = lexical.index_text(description=F.col("description"))
+        return {"lexical": lambda rows, path: block_postings.save(rows, text, path), "vectors": vector_codes.save}
+
     def reindex(self, force: bool = False) -> dict[str, int]:
-        """Builds the index, or merges what changed since the last one; without changes nothing is written."""
-        index_store.guard(self.spark, self.index_path, self.vault, force)
+        """Builds the index, or rewrites the buckets of changed files; without changes nothing is written."""
+        self.store.guard(force)
         current = notes.read_notes(notes.read_vault(self.spark, self.vault_path))
-        known = None if force else index_store.manifest(self.spark, self.index_path)
+        known = None if force else self.store.version()
         if known is None:
-            merged, counts = self._rows(current), {"new": current.count()}
-        else:
-            old = index_store.load(self.spark, self.index_path)
-            # Not cached: a cached plan would answer for the files as they were at an earlier call.
-            changed = maintenance.changes(current, old.select("relative_path", "modified").distinct())
+            made = self.store.replace(self._rows(current), self._tables(), {"model": self.model})
+            return {"new": self.store.rows(made).select("relative_path").distinct().count()}
+        old = self.store.rows(known).select("relative_path", "modified").distinct()
+        changed = maintenance.changes(current.select("relative_path", "modified"), old).persist()
+        try:
             counts = {r["change_type"]: r["count"] for r in changed.groupBy("change_type").count().collect()}
-            if not counts:
-                return {}
-            fresh = current.join(changed.select("relative_path"), "relative_path", "left_semi")
-            merged = maintenance.merge(old, changed, self._rows(fresh))
-        index_store.save(merged, self.index_path, self.vault, uuid.uuid4().hex[:12])
-        rows = self.rows()
-        lexical.build_index(rows, lexical.index_text()).save(f"{self.index_path}/lexical")
+            if counts:
+                fresh = current.join(changed.select("relative_path"), "relative_path", "left_semi")
+                self.store.merge(changed, self._rows(fresh), self._tables())
+        finally:
+            changed.unpersist()  # else a later call could be answered with the files of this one
         return counts
 
     def rows(self) -> DataFrame:
-        return index_store.load(self.spark, self.index_path)
+        return self.store.rows()
 
     def stats(self) -> DataFrame:
         return maintenance.index_stats(self.rows())
@@ -61,27 +76,34 @@ class NoteEngine:
         return self.spark.createDataFrame([(query,)], "t string").select(self.encoder(F.col("t")).alias("q"))
 
     def _first(self, params: search.SearchParams, k: int) -> DataFrame:
-        rows = self.rows()
+        """The first k rows; paths and names to include restrict the search itself, not its answer."""
+        version = self.store.version()
+        rows = self.store.rows(version)
+        allowed = filters.allowed_files(rows, params.query_filter.paths.include, params.query_filter.files.include)
+        vector = self._vector(params.query)
+
+        def nearest(n: int) -> DataFrame:
+            return vector_codes.search(self.spark, self.store.table("vectors", version), vector, n, allowed)
+
         if params.mode == "semantic":
-            return search.semantic_topk(rows, self._vector(params.query), k)
-        index = lexical.LexicalIndex.load(self.spark, f"{self.index_path}/lexical")
+            return rows.join(F.broadcast(nearest(k)), "doc_id")
+        index = block_postings.SavedIndex.load(self.spark, self.store.table("lexical", version))
         if params.mode == "bm25":
-            return lexical.search(index, rows, params.query, k)
-        return search.hybrid(rows, index, params.query, self._vector(params.query), k)
+            return index.search(rows, params.query, k, allowed=allowed)
+        return search.hybrid(rows, index, params.query, vector, k, allowed=allowed, nearest=nearest)
 
-    def search(self, params: search.SearchParams, expand: bool = False) -> DataFrame:
-        """Ranked rows with links, snippet and score envelope. Twice the limit is fetched, for the filters to choose from."""
+    def _search(self, params: search.SearchParams, expand: bool) -> tuple[DataFrame, search.StageCounts | None]:
         if params.limit < 1 or not params.query.strip():
             raise ValueError("a search needs a query and a limit of one or more")
         if expand:
             seeds = self._first(replace(params, mode="semantic"), 2 * params.limit)
             params = replace(params, query=expansion.expand(params.query, seeds))
-        order = params.order
+        order, counts = params.order, None
         found = fusion.best_per_file(self._first(params, 2 * params.limit), order)
         if params.mode != "bm25":
-            found = search.run_stages(found, params)
-        ranked = ranking.envelope(fusion.top(found, order, params.limit), order)
-        return ranked.select(
+            found, counts = search.run_observed(found, params)
+        ranked = ranking.envelope(fusion.top(found, order, params.limit, "relative_path"), order)
+        out = ranked.select(
             "relative_path",
             "title",
             "tags",
@@ -92,7 +114,19 @@ class NoteEngine:
             tx.snippet("content", params.query).alias("snippet"),
             tx.deep_link(self.vault, "relative_path").alias("uri"),
             tx.wiki_link("title").alias("wiki_link"),
-        ).orderBy(*fusion.by_score(order, "relative_path"))
+        )
+        return out, counts
+
+    def search(self, params: search.SearchParams, expand: bool = False) -> DataFrame:
+        """Ranked rows, best first, with links, snippet and score envelope. Twice the limit is fetched for the filters."""
+        return self._search(params, expand)[0]
+
+    def answer(self, params: search.SearchParams, expand: bool = False) -> Answer:
+        """Runs a search once; its stages are counted by that run."""
+        began = time.time()
+        found, counts = self._search(params, expand)
+        rows = found.collect()
+        return Answer(rows, counts.rows() if counts else [], (time.time() - began) * 1000)
 
     def topic(self, query: str, threshold: float = 0.2, exclude_daily: bool = False) -> tuple[DataFrame, DataFrame]:
         """Entries and months of a topic."""
@@ -101,12 +135,13 @@ class NoteEngine:
         found = topics.entries(dated, threshold, exclude_daily).persist()
         return found, topics.monthly(found)
 
-    def log(self, params: search.SearchParams, results: DataFrame, began: float, path: str) -> None:
+    def log(self, params: search.SearchParams, answer: Answer, path: str, expand: bool = False) -> None:
         """Appends one search to the log."""
-        hits = results.select("relative_path", F.col(params.order).alias("score")).collect()
-        took = (time.time() - began) * 1000
+        hits = [(r["relative_path"], r[params.order]) for r in answer.rows]
+        facts = (uuid.uuid4().hex, params.query, params.mode, self.vault, params.limit, params.rerank, expand, self.model, answer.total_ms, None)
         row = self.spark.createDataFrame(
-            [(uuid.uuid4().hex, params.query, params.mode, self.vault, took, None, [(h[0], h[1]) for h in hits])],
-            "id string, query string, mode string, vault string, total_ms double, error string, results array<struct<path:string,score:double>>",
+            [(*facts, [(name, before, after) for name, _, before, after in answer.stages], hits)],
+            "id string, query string, mode string, vault string, limit int, rerank boolean, expand_query boolean, model string, total_ms double, error string, "
+            "pipeline_stages array<struct<stage:string,before_count:long,after_count:long>>, results array<struct<path:string,score:double>>",
         )
         query_log.append(row.withColumn("ts", F.current_timestamp()).withColumn("retrieval_ms", F.col("total_ms")), path)

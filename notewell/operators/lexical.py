@@ -35,6 +35,9 @@ class LexicalIndex:
         for name in ("postings", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def search(self, docs: DataFrame, query: str, limit: int | None = 10, allowed: DataFrame | None = None) -> DataFrame:
+        return search(self, docs, query, limit, allowed=allowed)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
@@ -65,7 +68,8 @@ def scores(index: LexicalIndex, query: str) -> DataFrame:
     spark = index.postings.sparkSession
     asked = Counter(query_words(query))
     words = spark.createDataFrame(sorted(asked.items()), "term string, times long")
-    hits = index.postings.join(F.broadcast(words), "term").join(index.terms.select("term", "idf"), "term")
+    known = index.terms.select("term", "idf").join(F.broadcast(words), "term")  # a row for each word of the query at most
+    hits = index.postings.join(F.broadcast(known), "term")
     hits = hits.crossJoin(F.broadcast(index.corpus.select("avgdl")))
     length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,18 +35,36 @@ def admit(stamps: list[int], most: int, window: int, held: deque | None = None)
 
 
 def admitted(requests: DataFrame, most: int, seconds: int = WINDOW_SECONDS, order: str = "request_id") -> DataFrame:
-    """Adds `allowed`: exact decisions per key, in time order. The state depends on every decision before, so a key is
-    one group; keys are clients, and one client's requests are one task's."""
+    """Adds `allowed`: exact decisions per key, in the order of time and `order`.
+
+    A key's requests stand side by side in the order of time, and one pass over them holds no more than the `most` times
+    admitted last, however many requests the key has. Requests without a time are refused and do not count.
+    """
     window = seconds * 1_000_000
     typed = requests.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_us", order])
-        rows["allowed"] = admit(rows["_us"].tolist(), most, window)[0]
-        return rows.drop(columns="_us")
+    dealt = typed.repartition(*KEYS).sortWithinPartitions(*KEYS, "_us", order)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, deque()
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS)))
+            stamps, allowed = batch.column("_us").to_pylist(), []
+            start = 0
+            while start < len(keys):
+                stop = start + 1
+                while stop < len(keys) and keys[stop] == keys[start]:
+                    stop += 1
+                if keys[start] != key:
+                    key, held = keys[start], deque()
+                timed = [t for t in stamps[start:stop] if t is not None]
+                found, held = admit(timed, most, window, held)
+                allowed += [False] * (stop - start - len(timed)) + found  # those without a time stand first
+                start = stop
+            rest = batch.select([n for n in batch.schema.names if n != "_us"])
+            yield rest.append_column("allowed", pa.array(allowed, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", allowed boolean"
-    return typed.groupBy(*KEYS).applyInPandas(decide, schema)
+    return dealt.mapInArrow(decide, schema)
 
 
 def remaining(decided: DataFrame, now, most: int, seconds: int = WINDOW_SECONDS) -> DataFrame:

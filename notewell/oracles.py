@@ -95,8 +95,9 @@ STOPS = (
     "some such than that the their them then there these they this to up was we were what when where which who will "
     "with would you your"
 ).split()
-DRESSED = """'# ' || substr(text, 1, 40) || chr(10) || chr(10) || '**' || substr(text, 41, 20) || '** [[note ' || doc_id
-  || ']] [label](http://x/' || doc_id || ') `c`' || chr(10) || '#tag' || doc_id % 5 || ' #b-' || doc_id % 3"""
+MARKED = """replace(replace(replace(replace(text, ' the ', ' **the** '), ' and ', ' [[and]] '), ' of ', ' [of](http://x/' || doc_id || ') '),
+  ' in ', ' `in` #in-' || doc_id % 5 || ' ')"""
+DRESSED = f"""'# ' || {MARKED} || chr(10) || chr(10) || '[[note ' || doc_id || ']] *x* `c`' || chr(10) || '#tag' || doc_id % 5 || ' #b-' || doc_id % 3"""
 MD = f"md AS (SELECT doc_id, {DRESSED} AS t FROM documents)"
 DATED = f"""WITH {NOTE}, {SIM}, {near(50)},
   entries AS (SELECT *, DATE '2022-01-01' + CAST(doc_id * 37 % 730 AS INTEGER) AS date FROM near
@@ -186,9 +187,10 @@ ORACLE_SQL: dict[str, str] = {
     "filter_files": _only("(contains(doc_id || '.md', '12') OR contains(doc_id || '.md', '99')) AND NOT contains(doc_id || '.md', '5')"),
     "filter_combined": _only("lang = 'en' AND doc_id % 7 <> 0 AND contains(relative_path, 'src1') AND NOT contains(doc_id || '.md', '0.md')"),
     "tokenize": r"""SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS term FROM documents) GROUP BY term""",
-    "clean_markdown": f"WITH {MD} SELECT doc_id, {cleaned('t')} AS clean FROM md",
-    "read_notes": f"""SELECT source || '/' || doc_id || '.md' AS relative_path, 'Note ' || doc_id AS title, lang || ',' || source AS tags,
-      substr('from ' || source || '. ' || {cleaned("'# Head' || chr(10) || text")}, 1, 60) AS content_start FROM documents""",
+    "clean_markdown": f"WITH {MD}, c AS (SELECT doc_id, {cleaned('t')} AS c FROM md) SELECT doc_id, md5(c) AS clean_md5, length(c) AS clean_chars FROM c",
+    "read_notes": f"""WITH c AS (SELECT *, 'from ' || source || '. ' || {cleaned("'# Head' || chr(10) || text")} AS c FROM documents)
+      SELECT source || '/' || doc_id || '.md' AS relative_path, 'Note ' || doc_id AS title, lang || ',' || source AS tags,
+      md5(c) AS content_md5, length(c) AS content_chars, 'description,tags,title' AS head_names FROM c""",
     "snippet": f"""WITH t AS (SELECT doc_id, text AS c, length(text) AS n,
         least(nullif(strpos(lower(text), 'thing'), 0), nullif(strpos(lower(text), 'ononeda'), 0)) - 1 AS pos FROM documents),
       w AS (SELECT *, greatest(0, pos - 75) AS wanted FROM t),
@@ -280,3 +282,15 @@ ORACLE_SQL: dict[str, str] = {
           r.us - go.last_us >= 86400000000 FROM go JOIN r ON r.user_id = go.user_id AND r.event_type = go.event_type AND r.k = go.k + 1)
       SELECT event_id AS request_id, allowed FROM go""",
 }
+
+# The same answers by way of tables on disk.
+ORACLE_SQL |= {
+    "saved_bm25_search": ORACLE_SQL["bm25_search"],
+    "saved_bm25_prefilter": ORACLE_SQL["bm25_prefilter"],
+    "saved_bm25_scores": ORACLE_SQL["bm25_scores"],
+    "saved_hybrid_search": ORACLE_SQL["hybrid_search"],
+    "index_roundtrip": ORACLE_SQL["semantic_topk"],
+    "index_snapshot_merge": ORACLE_SQL["index_merge"],
+    "bm25_described_text": f"""WITH {NOTE}, d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS d FROM note)
+      SELECT doc_id, md5(concat_ws(' ', title, array_to_string(list_concat(tags, tags), ' '), d, d, content)) AS text_md5 FROM d""",
+}

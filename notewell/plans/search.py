@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..operators import filters, fusion, lexical, ranking
+from ..operators.block_postings import SavedIndex
 
 OVERFETCH = 3
 
@@ -45,16 +46,29 @@ def semantic_topk(docs: DataFrame, query_vector: DataFrame, k: int = 10, allowed
     return fusion.top(similarity(rows, query_vector).filter("similarity IS NOT NULL"), "similarity", k)
 
 
-def hybrid(docs: DataFrame, index: lexical.LexicalIndex, query: str, query_vector: DataFrame, limit: int = 10, boosts: bool = True) -> DataFrame:
+def hybrid(
+    docs: DataFrame,
+    index: lexical.LexicalIndex | SavedIndex,
+    query: str,
+    query_vector: DataFrame,
+    limit: int = 10,
+    boosts: bool = True,
+    allowed: DataFrame | None = None,
+    nearest: Callable[[int], DataFrame] | None = None,
+) -> DataFrame:
     """Both searches, reciprocal rank fusion, boosts, then the first `limit`.
 
+    `allowed` (doc_id) restricts both searches. `nearest` gives doc_id and similarity of as many vectors as it is asked
+    for, in place of a scan of the documents' vectors.
+
     Rows keep `similarity` (found late for keyword-only hits; 0.0 without a vector) and `bm25` (0.0 for others). A list
     is ranked after its cut to three times the limit, so that the windows hold a few rows each.
     """
     k = OVERFETCH * limit
-    near = fusion.with_rank(semantic_topk(docs, query_vector, k), "similarity", "similarity_rank")
+    found = nearest(k) if nearest else semantic_topk(docs, query_vector, k, allowed)
+    near = fusion.with_rank(found, "similarity", "similarity_rank")
     near = near.select("doc_id", "similarity_rank")
-    words = lexical.search(index, docs.select("doc_id", "tags"), query, limit=k)
+    words = index.search(docs.select("doc_id", "tags"), query, limit=k, allowed=allowed)
     words = fusion.with_rank(words, "bm25", "bm25_rank").select("doc_id", "bm25", "bm25_base", "tags_matched", "bm25_rank")
     merged = near.join(words, "doc_id", "full_outer")
     part = lambda c: F.coalesce(1.0 / (fusion.RRF_K + F.col(c)), F.lit(0.0))
@@ -98,14 +112,31 @@ def run_stages(rows: DataFrame, params: SearchParams, stages: Sequence[NamedStag
     return reduce(lambda df, s: df.transform(s.run, params), [s for s in stages if s.applies(params)], rows)
 
 
-def stage_counts(rows: DataFrame, params: SearchParams, stages: Sequence[NamedStage] = DEFAULT_STAGES) -> DataFrame:
-    """stage, before_count and after_count of each stage that applies, as one plan over the (small) result list."""
-    counts, frames = [], [rows]
+@dataclass(frozen=True)
+class StageCounts:
+    """Rows before and after each stage, known once the rows have been computed."""
+
+    names: tuple[str, ...]
+    seen: tuple[Observation, ...]  # one more than there are stages
+
+    def rows(self) -> list[tuple[str, int, int, int]]:
+        """(stage, position, before_count, after_count); waits for the run that computes the rows."""
+        n = [x.get.get("n", 0) for x in self.seen]
+        return [(name, i, n[i], n[i + 1]) for i, name in enumerate(self.names)]
+
+
+def run_observed(rows: DataFrame, params: SearchParams, stages: Sequence[NamedStage] = DEFAULT_STAGES) -> tuple[DataFrame, StageCounts]:
+    """As run_stages, with counters between the stages that the run of the rows itself fills."""
     applied = [s for s in stages if s.applies(params)]
-    for s in applied:
-        frames.append(frames[-1].transform(s.run, params))
-    for i, s in enumerate(applied):
-        before = frames[i].agg(F.count("*").alias("before_count"))
-        after = frames[i + 1].agg(F.count("*").alias("after_count"))
-        counts.append(before.crossJoin(after).select(F.lit(s.name).alias("stage"), F.lit(i).alias("position"), "before_count", "after_count"))
-    return reduce(DataFrame.unionByName, counts)
+    seen = tuple(Observation() for _ in range(len(applied) + 1))
+    out = rows.observe(seen[0], F.count(F.lit(1)).alias("n"))
+    for s, after in zip(applied, seen[1:]):
+        out = out.transform(s.run, params).observe(after, F.count(F.lit(1)).alias("n"))
+    return out, StageCounts(tuple(s.name for s in applied), seen)
+
+
+def stage_counts(rows: DataFrame, params: SearchParams, stages: Sequence[NamedStage] = DEFAULT_STAGES) -> DataFrame:
+    """stage, position, before_count and after_count of each stage that applies, from one run of the stages."""
+    out, counts = run_observed(rows, params, stages)
+    out.write.format("noop").mode("overwrite").save()
+    return rows.sparkSession.createDataFrame(counts.rows(), "stage string, position int, before_count long, after_count long")

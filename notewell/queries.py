@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.vectors import cosine
-from .operators import chunking, expansion, filters, fusion, lexical, log_stats, maintenance, ranking, rate_limit, topics
+from .operators import block_postings, chunking, expansion, filters, fusion, lexical, log_stats, maintenance, ranking, rate_limit, topics, vector_codes
 from .operators.filters import QueryFilter, Wanted
 from .plans import search
 from .plans.registry import MODELS
 from .sources import notes as nt
+from .sources.files import scratch_folder
 from .sources.index_store import vault_metadata
 from .sources.query_log import log_rows
+from .sources.snapshots import SnapshotStore
 
 
 QUERY = "the thing src7 ily"
@@ -112,6 +114,61 @@ def bm25_search(spark, sf):
     return out.select("doc_id", "relative_path", _r("bm25"), _r("bm25_base"))
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
+def saved_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the saved keyword index and vector codes of these tables, which are written once in a session."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _saved:
+        rows, path = nt.note_table(spark, sf), scratch_folder(spark, "saved")
+        block_postings.save(rows.select("doc_id", "title", "tags", "content"), lexical.index_text(), f"{path}/lexical")
+        vector_codes.save(rows, f"{path}/vectors")
+        _saved[at] = path
+    return _saved[at]
+
+
+@_query
+def saved_bm25_search(spark, sf):
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
+    out = index.search(nt.note_table(spark, sf).select("doc_id", "relative_path", "tags"), QUERY)
+    return out.select("doc_id", "relative_path", _r("bm25"), _r("bm25_base"))
+
+
+@_query
+def saved_bm25_prefilter(spark, sf):
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
+    rows = nt.note_table(spark, sf)
+    allowed = filters.allowed_files(rows, paths=("src3/",))
+    return index.search(rows.select("doc_id", "tags"), QUERY, allowed=allowed).select("doc_id", _r("bm25"))
+
+
+@_query
+def saved_bm25_scores(spark, sf):
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
+    return index.scores(index.weights(QUERY)).select("doc_id", _r("bm25"))
+
+
+@_query
+def index_roundtrip(spark, sf):
+    out = vector_codes.search(spark, f"{saved_index(spark, sf)}/vectors", _vector(spark, sf), 20)
+    return out.select("doc_id", _r("similarity"))
+
+
+@_query
+def saved_hybrid_search(spark, sf):
+    rows, path, vector = nt.note_table(spark, sf), saved_index(spark, sf), _vector(spark, sf)
+    index = block_postings.SavedIndex.load(spark, f"{path}/lexical")
+    out = search.hybrid(rows, index, QUERY, vector, nearest=lambda n: vector_codes.search(spark, f"{path}/vectors", vector, n))
+    return out.select("doc_id", "relative_path", _r("rrf", 9), _r("similarity"), _r("bm25"), "tag_boosted")
+
+
+@_query
+def bm25_described_text(spark, sf):
+    rows = nt.note_table(spark, sf).withColumn("description", F.expr("if(doc_id % 3 = 0, null, tags[1])"))
+    return rows.select("doc_id", F.md5(lexical.index_text(description=F.col("description")).cast("binary")).alias("text_md5"))
+
+
 @_query
 def bm25_tag_boost(spark, sf):
     rows = nt.note_table(spark, sf).select("doc_id", "tags")
@@ -280,13 +337,19 @@ def tokenize(spark, sf):
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
-_DRESSED = "concat('# ', substr(text, 1, 40), '\n\n**', substr(text, 41, 20), '** [[note ', doc_id, ']] [label](http://x/', doc_id, ') `c`\n#tag', doc_id % 5, ' #b-', doc_id % 3)"
+_MARKED = "replace(replace(replace(replace(text, ' the ', ' **the** '), ' and ', ' [[and]] '), ' of ', concat(' [of](http://x/', doc_id, ') ')), ' in ', concat(' `in` #in-', doc_id % 5, ' '))"
+_DRESSED = f"concat('# ', {_MARKED}, '\n\n[[note ', doc_id, ']] *x* `c`\n#tag', doc_id % 5, ' #b-', doc_id % 3)"
+
+
+def _whole(name: str):
+    """A text of any length as its digest and its number of characters."""
+    return F.md5(F.col(name).cast("binary")).alias(f"{name}_md5"), F.length(name).cast("long").alias(f"{name}_chars")
 
 
 @_query
 def clean_markdown(spark, sf):
     rows = _read(spark, sf, "documents").select("doc_id", F.expr(_DRESSED.replace("\n", "\\n")).alias("md"))
-    return rows.select("doc_id", tx.clean_markdown("md").alias("clean"))
+    return rows.select("doc_id", tx.clean_markdown("md").alias("clean")).select("doc_id", *_whole("clean"))
 
 
 @_query
@@ -312,7 +375,7 @@ def read_notes(spark, sf):
         raw.alias("raw"),
         F.lit(None).cast("timestamp").alias("modified"),
     )
-    return nt.read_notes(files).select("relative_path", "title", _joined("tags"), F.substring("content", 1, 60).alias("content_start"))
+    return nt.read_notes(files).select("relative_path", "title", _joined("tags"), *_whole("content"), F.map_keys("frontmatter").alias("_k")).withColumn("head_names", F.array_join(F.array_sort("_k"), ",")).drop("_k")
 
 
 @_query
@@ -416,6 +479,15 @@ def index_merge(spark, sf):
     return out.select("relative_path", "chunk_index", "origin")
 
 
+@_query
+def index_snapshot_merge(spark, sf):
+    current, tracked = _change_tables(spark, sf)
+    store = SnapshotStore(spark, scratch_folder(spark, "snapshots"), "main")
+    store.replace(chunking.chunk(tracked).withColumn("origin", F.lit("old")))
+    store.merge(maintenance.changes(current, tracked), chunking.chunk(current).withColumn("origin", F.lit("fresh")))
+    return store.rows().select("relative_path", "chunk_index", "origin")
+
+
 @_query
 def index_clean_stale(spark, sf):
     current, tracked = _change_tables(spark, sf)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +27,16 @@ def discover(files: DataFrame, patterns: Sequence[str] = (), path: str = "relati
     return rows.orderBy(parts)
 
 
-def read_vault(spark: SparkSession, root: str, patterns: Sequence[str] = ()) -> DataFrame:
-    """relative_path, raw, modified of a vault's notes, read by Spark's binary source."""
+def read_vault(spark: SparkSession, root: str, patterns: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """relative_path, raw, modified of a vault's notes, or of the first `limit` of them, read by Spark's binary source."""
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(root)
     )
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), f"^{base}/", "")
     rows = found.select(path.alias("relative_path"), valid_text("content").alias("raw"), F.col("modificationTime").alias("modified"))
-    return discover(rows, patterns)
+    rows = discover(rows, patterns)
+    return rows if limit is None else rows.limit(limit)
 
 
 def split_frontmatter(text: Column | str) -> Column:
@@ -49,7 +51,7 @@ def split_frontmatter(text: Column | str) -> Column:
 
 _TEXTS = T.ArrayType(T.StringType())
 HEAD_SCHEMA = T.StructType(
-    [T.StructField(n, _TEXTS if n in ("tags", "types") else T.StringType()) for n in ("title", "tags", "types", "status", "description", "created")]
+    [T.StructField(n, _TEXTS if n in ("tags", "types") else T.StringType()) for n in ("title", "tags", "types", "status", "description", "created", "properties")]
 )
 
 
@@ -78,6 +80,7 @@ def parse_head(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             "status": plain("status"),
             "description": plain("description"),
             "created": plain("created"),
+            "properties": json.dumps({str(k): str(v) for k, v in found.items() if v is not None}),
         }
 
     for batch in heads:
@@ -85,7 +88,8 @@ def parse_head(heads: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def read_notes(files: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """Notes from relative_path, raw and modified: title, tags, content (description first, then the cleaned body)."""
+    """Notes from relative_path, raw and modified: title, tags, content (description first, then the cleaned body) and
+    frontmatter, all of the head's values as text by name."""
     parsed = files.withColumn("_s", split_frontmatter("raw")).withColumn("_h", parse_head("_s.head"))
     content = F.concat(F.coalesce(F.concat(F.col("_h.description"), F.lit(". ")), F.lit("")), clean_markdown(F.col("_s.body")))
     notes = parsed.select(
@@ -96,6 +100,8 @@ def read_notes(files: DataFrame, keep_blank: bool = False) -> DataFrame:
         F.col("_h.types").alias("types"),
         F.col("_h.status").alias("status"),
         F.col("_h.created").alias("created"),
+        F.col("_h.description").alias("description"),
+        F.from_json("_h.properties", "map<string, string>").alias("frontmatter"),
         "modified",
     )
     return notes if keep_blank else notes.filter(strip("content") != "")
@@ -112,23 +118,19 @@ SUBSETS = (
 
 
 def strategic_subset(files: DataFrame, subsets=SUBSETS, path: str = "relative_path") -> DataFrame:
-    """path and subset: some files of each folder; a file can be in several."""
-    full = F.concat(F.lit("/"), F.col(path))
-    fits = []
-    for name, part, absent, _, _ in subsets:
-        ok = F.contains(full, F.lit(part))
+    """path and subset: some files of each folder; a file can be in several.
+
+    Each subset is a top-n of its own: tasks keep as many paths as the subset wants, and only those are shuffled.
+    """
+    full, parts = F.concat(F.lit("/"), F.col(path)), F.split(path, "/")
+    found = []
+    for name, part, absent, most, newest in subsets:
+        rows = files.filter(F.contains(full, F.lit(part)))
         for a in absent:
-            ok = ok & ~F.contains(full, F.lit(a))
-        fits.append(F.when(ok, F.lit(name)))
-    rows = files.withColumn("subset", F.explode(F.array_compact(F.array(*fits))))
-    parts = F.split(path, "/")
-    first = F.row_number().over(W.partitionBy("subset").orderBy(parts))
-    last = F.row_number().over(W.partitionBy("subset").orderBy(parts.desc()))
-    rank, most = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0))
-    for name, _, _, n, newest in subsets:
-        rank = rank.when(F.col("subset") == name, last if newest else first)
-        most = most.when(F.col("subset") == name, F.lit(n))
-    return rows.withColumn("_r", rank).withColumn("_n", most).filter("_r <= _n").select(path, "subset")
+            rows = rows.filter(~F.contains(full, F.lit(a)))
+        rows = rows.orderBy(parts.desc() if newest else parts).limit(most)
+        found.append(rows.select(path, F.lit(name).alias("subset")))
+    return reduce(DataFrame.union, found)
 
 
 def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
