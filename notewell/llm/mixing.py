@@ -23,12 +23,13 @@ from .shared import materialize
 
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 BROADCAST_LEAVES = 20_000  # a leaf is a row of some 200 bytes
+MOST_WEIGHT = 10_000
 CELL_DIGITS = 3  # hash prefix of the cells in which a leaf's tokens are first summed: 4096 cells
 
 
 @dataclass(frozen=True)
 class MixPlan:
-    """Weights are positive integers under 10,000; a node without one has weight 1."""
+    """Weights are positive integers under MOST_WEIGHT; a node without one has weight 1."""
 
     share: tuple[int, int] = (3, 5)  # budget as a fraction of all tokens, unless `budget` is set
     budget: int | None = None
@@ -38,6 +39,11 @@ class MixPlan:
     lang_weights: Mapping[str, int] = field(default_factory=dict)
     source_weights: Mapping[str, int] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        weights = [w for level in (self.domain_weights, self.lang_weights, self.source_weights) for w in level.values()]
+        if any(w != int(w) or not 0 < w < MOST_WEIGHT for w in weights):
+            raise ValueError(f"weights must be integers from 1 to {MOST_WEIGHT - 1}")
+
 
 def hashed_domain(source: Column) -> Column:
     """One of four domains, dealt by a hash of the source's name: the tables have no column for it."""
@@ -60,13 +66,16 @@ def _weight(name: str, weights: Mapping[str, int]) -> Column:
 def _deal(nodes: DataFrame, parents: Sequence[str], name: str, given: str, out: str) -> DataFrame:
     """Deals column `given` (the same for all children of a parent) to children with columns `cap` and `w`.
 
-    In the order of cap / w, a child is full if even an equal rate over all later children would fill it.
+    In the order of cap / w, a child is full if even an equal rate over all later children would fill it. Products of
+    tokens and weights are decimals of 37 digits.
     """
     keys = [F.col(p) for p in parents] or [F.lit(0)]
     order = W.partitionBy(*keys).orderBy(F.col("cap") / F.col("w"), F.col(name))
     before = order.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
-    full = F.col("cap") * (F.col("_all_w") - F.col("_w_before")) <= F.col("w") * (F.col(given) - F.col("_cap_before"))
+    tokens, weight = "decimal(23,0)", "decimal(13,0)"
+    rate = F.col("cap").cast(tokens) * (F.col("_all_w") - F.col("_w_before")).cast(weight)
+    full = rate <= F.col("w").cast(weight) * (F.col(given) - F.col("_cap_before")).cast(tokens)
     return (
         nodes.withColumn("_all_w", F.sum("w").over(whole))
         .withColumn("_w_before", F.coalesce(F.sum("w").over(before), F.lit(0)))
@@ -77,7 +86,7 @@ def _deal(nodes: DataFrame, parents: Sequence[str], name: str, given: str, out:
         .withColumn(
             out,
             F.when(F.col("_full"), F.col("cap")).otherwise(
-                F.expr(f"(w * ({given} - _full_cap)) div greatest(_all_w - _full_w, 1)")
+                F.expr(f"(cast(w as {weight}) * cast({given} - _full_cap as {tokens})) div cast(greatest(_all_w - _full_w, 1) as {weight})")
             ),
         )
         .drop("_all_w", "_w_before", "_cap_before", "_full", "_full_cap", "_full_w")
