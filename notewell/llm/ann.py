@@ -56,13 +56,15 @@ class Forest:
             out[t] = node - (2**self.depth - 1)
         return out
 
-    def open_leaves(self, unit: np.ndarray, counts: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """The first `most` leaves with vectors, in the order of the shared queue (counts: trees x leaves)."""
+    def open_leaves(self, unit: np.ndarray, counts: np.ndarray, most: int, least: int = 0) -> list[tuple[int, int]]:
+        """The first `most` leaves with vectors, in the order of the shared queue (counts: trees x leaves), and more until
+        one tree's, which share no vector, hold `least` vectors or all."""
         first = 2**self.depth - 1
         side = self.planes @ unit - self.cuts if self.depth else np.zeros((len(self.planes), 0))
         queue = [(0.0, t, 0) for t in range(len(self.planes))]
         out: list[tuple[int, int]] = []
-        while queue and len(out) < most:
+        seen = np.zeros(len(self.planes), np.int64)
+        while queue and (len(out) < most or seen.max() < least):
             crossed, t, node = heapq.heappop(queue)
             while node < first:
                 m = side[t, node]
@@ -70,6 +72,7 @@ class Forest:
                 node = 2 * node + (2 if m >= 0 else 1)
             if counts[t, node - first]:
                 out.append((t, node - first))
+                seen[t] += counts[t, node - first]
         return out
 
 
@@ -182,7 +185,7 @@ class _Block:
             yield from rank_block(queries, self.members, self.gids, self.k)
             return
         for i, unit in enumerate(_units(queries)):
-            opened = self.inner.open_leaves(unit, self.counts, WHOLE // LEAF)
+            opened = self.inner.open_leaves(unit, self.counts, WHOLE // LEAF, self.k + 1)
             some = np.concatenate([self.by_leaf[leaf] for _, leaf in opened])
             for _, gids, scores in rank_block(queries[i : i + 1], self.members[some], self.gids[some], self.k):
                 yield i, gids, scores
@@ -254,7 +257,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int, recall: fl
                 part = b.slice(start, 50)
                 cells, block, row = [], [], []
                 for i, unit in enumerate(_units(_dims(part.column(0)))):
-                    for t, leaf in shared.value.open_leaves(unit, counts, forest.opened):
+                    for t, leaf in shared.value.open_leaves(unit, counts, forest.opened, k + 1):
                         for x in range(blocks[t, leaf]):
                             cells.append(t * n_leaves + leaf)
                             block.append(x)
