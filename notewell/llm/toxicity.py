@@ -27,7 +27,7 @@ FILTERS = 8  # of each width
 SAMPLE_DOCS = 8_000  # labelled documents that a model is fitted on, about
 SAMPLE_WORDS = 20_000  # words of a document up to which it can be in the sample; all documents are scored
 THRESHOLD = 0.7
-MIN_DOCS = 5  # sample documents that a word needs for an embedding of its own
+WORD_SHARE = 1 / 1280  # of the sample's documents that have to hold a word for it to have an embedding, two at least
 MIN_OF_CLASS = 20  # calibration documents of each class that a language needs for a threshold of its own
 PIECE = 1 << 16  # words that one numpy pass takes
 _GAP = max(WIDTHS) - 1
@@ -138,6 +138,21 @@ class _Adam:
         self.value[at] -= self.rate * m / (np.sqrt(v) + 1e-8)
 
 
+def _associations(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of enough documents, and how far the number of those with label 1 is from chance: in standard deviations,
+    drawn towards zero for rare words, a quarter each and at most one either way."""
+    size = 1 << BUCKET_BITS
+    n, ones = np.zeros(size), np.zeros(size)
+    for d, y in zip(docs, labels):
+        words = np.unique(d)
+        n[words] += 1
+        ones[words] += y
+    common = np.flatnonzero(n >= max(2, WORD_SHARE * len(docs)))
+    share = labels.mean() if len(labels) else 0.0
+    off = (ones[common] - share * n[common]) / np.sqrt(share * (1 - share) * n[common] + 1)
+    return common, np.clip(off / 4, -1, 1).astype(np.float32)
+
+
 def train(
     docs: list[np.ndarray],
     labels: np.ndarray,
@@ -148,15 +163,16 @@ def train(
 ) -> ToxicityModel:
     """Fits by Adam on the logistic loss; gradients reach only the words at which a filter had its maximum.
 
-    Words of fewer than MIN_DOCS documents keep a zero embedding, and so do words never seen. With held-out documents,
-    the epoch with the least loss on them is kept.
+    Words of fewer than WORD_SHARE of the documents keep a zero embedding, and so do words never seen. The first component
+    of the others begins with how much oftener than by chance they stand in documents of label 1, so that a few hundred
+    documents are enough. With held-out documents, the epoch with the least loss on them is kept.
     """
     rng = np.random.default_rng(seed)
     columns = sum(WIDTHS) * FILTERS
     emb = _Adam(np.zeros((1 << BUCKET_BITS, DIM), np.float32), rate)
-    seen = np.unique(np.concatenate([np.unique(d) for d in docs]), return_counts=True) if docs else (np.zeros(0, int),) * 2
-    common = seen[0][seen[1] >= MIN_DOCS]
+    common, apart = _associations(docs, labels)
     emb.value[common] = rng.normal(0, 0.1, (len(common), DIM))
+    emb.value[common, 0] += apart
     trained = np.zeros(1 << BUCKET_BITS, bool)
     trained[common] = True
     kernel = _Adam(rng.normal(0, 0.5, (DIM, columns)).astype(np.float32), rate)
