@@ -134,6 +134,18 @@ def release_memory() -> None:
         trim(0)
 
 
+_worker_tables: dict[object, object] = {}
+
+
+def worker_table(key: object, make: Callable[[], object]) -> object:
+    """What this process keeps from task to task under key. It keeps one operator's: what it had of another one goes first."""
+    if key not in _worker_tables:
+        _worker_tables.clear()
+        release_memory()
+        _worker_tables[key] = make()
+    return _worker_tables[key]
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker, which waits for its next task, releases memory."""
 

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_scratch, materialize, slices, trimmed
+from .shared import drop_scratch, materialize, slices, trimmed, worker_table
 from .token_output import _Numbers, _sums, _Table, tokenizer_path
 
 PAIR_BASE = 1 << 32  # a pair's code is A id * PAIR_BASE + B id
@@ -280,14 +280,9 @@ class Aligner:
         return np.concatenate(of) if of else np.zeros(0, np.int64), np.array(lengths, np.int64)
 
 
-_aligners: dict[Tokenizers, Aligner] = {}
-
-
 def _aligner(files: Tokenizers) -> Aligner:
     """The worker's own, with the pieces that it knows from earlier tasks."""
-    if files not in _aligners:
-        _aligners[files] = Aligner(files)
-    return _aligners[files]
+    return worker_table(files, lambda: Aligner(files))
 
 
 def _sound(aligner: Aligner, of: np.ndarray, lengths: np.ndarray) -> np.ndarray:

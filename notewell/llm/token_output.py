@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, materialize, once_run, scratch_path, slices, trimmed
+from .shared import ascii_words, materialize, once_run, scratch_path, slices, trimmed, worker_table
 
 END_ID = 1
 MAX_WORDS = 400_000  # distinct words that a worker keeps
@@ -216,16 +216,11 @@ class TextEncoder:
         return np.insert(ids, np.cumsum(per_text), END_ID).astype(np.int32, copy=False), per_text + 1
 
 
-_encoders: dict[str, TextEncoder] = {}
-
-
-def _encode_batches(path: str):
+def _encode_batches(path: str, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = TextEncoder(path)
-        encoder = _encoders[path]
+        encoder = worker_table(("tokens", path, max_words), lambda: TextEncoder(path, max_words))
         file, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, 1, BATCH_BYTES):
@@ -247,7 +242,7 @@ def _encode_batches(path: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files: int | None = None) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files: int | None = None, max_words: int = MAX_WORDS) -> str:
     """Encodes doc_id and text into ORC files under path, in ascending doc_id order (null ids first).
 
     A null text is empty: its only id is END_ID. Rows that repeat an id stand side by side, in the order of a hash of
@@ -261,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files
         size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
     ordered = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    tokens = ordered.drop("_tie").mapInArrow(trimmed(_encode_batches(tokenizer or tokenizer_path())), _FILE_SCHEMA)
+    tokens = ordered.drop("_tie").mapInArrow(trimmed(_encode_batches(tokenizer or tokenizer_path(), max_words)), _FILE_SCHEMA)
     with once_run(spark):
         tokens.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
     return path
@@ -305,7 +300,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_table(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Writes the files, then answers from them; see token_index. Without a path they stand in a scratch folder."""
+def token_table(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, max_words: int = MAX_WORDS) -> DataFrame:
+    """Writes the files, then answers from them; see token_index. Without a path they stand in a scratch folder. max_words
+    bounds the memory of a worker, not the texts."""
     spark = docs.sparkSession
-    return token_index(spark, write_tokens(docs, path or scratch_path(spark, "tokens"), tokenizer))
+    return token_index(spark, write_tokens(docs, path or scratch_path(spark, "tokens"), tokenizer, max_words=max_words))

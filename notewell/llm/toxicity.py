@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import release_memory, slices, trimmed
+from .shared import release_memory, slices, trimmed, worker_table
 
 BUCKET_BITS = 19
 DIM = 8
@@ -33,7 +33,6 @@ PIECE = 1 << 16  # words that one numpy pass takes
 _GAP = max(WIDTHS) - 1
 _KEEP = bytes(c if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _MAX_WORDS = 150_000
-_known: dict[bytes, int] = {}
 
 
 @dataclass
@@ -50,7 +49,7 @@ class ToxicityModel:
 def word_ids(text: str | None) -> np.ndarray:
     """Hashed words of a text: lower case, cut at ASCII characters that are neither letters nor digits."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
-    known = _known
+    known = worker_table("toxicity", dict)
     if len(known) > _MAX_WORDS:
         known.clear()
     out = np.empty(len(words), np.int32)
