@@ -35,6 +35,7 @@ SAMPLE_QUERIES = 200
 RECALL = 0.97  # on the sample
 BLOCK = 16_384  # vectors of one leaf that are ranked together
 WHOLE = 4_096  # vectors of a block up to which a query looks at all of them
+HELD_ROWS = 500_000  # of three numbers, that a task holds of what it has found
 DIGITS = 12  # scores that agree so far are ties
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
@@ -167,6 +168,18 @@ def rank_block(queries: np.ndarray, members: np.ndarray, gids: np.ndarray, k: in
             yield start + i, gids[some][order], exact[order]
 
 
+def best_of_each(qids: np.ndarray, gids: np.ndarray, scores: np.ndarray, most: int) -> list[np.ndarray]:
+    """The `most` nearest different gids of each query, ties by gid."""
+    order = np.lexsort((gids, -np.round(scores, DIGITS), qids))
+    qids, gids, scores = qids[order], gids[order], scores[order]
+    first = np.ones(len(qids), bool)
+    first[1:] = (qids[1:] != qids[:-1]) | (gids[1:] != gids[:-1])  # a gid has the same score in every block
+    qids, gids, scores = qids[first], gids[first], scores[first]
+    starts = np.flatnonzero(np.diff(qids, prepend=qids[:1] - 1)) if len(qids) else np.zeros(0, np.int64)
+    place = np.arange(len(qids)) - np.repeat(starts, np.diff(np.append(starts, len(qids))))
+    return [x[place < most] for x in (qids, gids, scores)]
+
+
 class _Block:
     """Members of one block of a leaf, and the queries that look at it."""
 
@@ -271,6 +284,9 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int, recall: fl
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in the order of cell, block and kind: a block's members, then the queries that look at it."""
         key, held, block = None, [], None
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64)]
+        best = none  # of each query in this task's blocks, so that few rows are shuffled
+        batch_of = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["qid", "gid", "score"])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -291,8 +307,13 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, trees: int, recall: fl
                         qids.append(np.full(len(found), gid[a + i]))
                         gids.append(found)
                         scores.append(score)
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((qids, np.int64), (gids, np.int64), (scores, np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["qid", "gid", "score"])
+            best = [np.concatenate([x, *y]) for x, y in zip(best, (qids, gids, scores))]
+            if len(best[0]) > HELD_ROWS:
+                best = best_of_each(*best, k + 1)
+                if 2 * len(best[0]) > HELD_ROWS:  # of more queries than a task should hold
+                    yield batch_of(best)
+                    best = none
+        yield batch_of(best_of_each(*best, k + 1))
 
     shape = f"cell long, block int, kind int, gid long, vector {dict(groups.dtypes)['vector']}"
     members = groups.select("vector", "gid").mapInArrow(place, shape)

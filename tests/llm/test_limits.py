@@ -56,3 +56,24 @@ def test_toxicity_of_held_out_documents(spark, sf, caught, ranked):
     assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
     bad, good = (np.array([r["score"] for r in x]) for x in (toxic, clean))
     assert np.mean((bad[:, None] > good).astype(float) + 0.5 * (bad[:, None] == good)) >= ranked
+
+
+def test_best_of_each_query():
+    rng = np.random.default_rng(1)
+    qids, gids = rng.integers(0, 20, 3000), rng.integers(0, 60, 3000)
+    scores = ((qids * 7 + gids * 13) % 17) / 17.0
+    got = sorted(zip(*(x.tolist() for x in ann.best_of_each(qids, gids, scores, 6))))
+    want = []
+    for q in sorted(set(qids.tolist())):
+        own = sorted({(-s, g) for x, g, s in zip(qids.tolist(), gids.tolist(), scores.tolist()) if x == q})[:6]
+        want += [(q, g, -s) for s, g in own]
+    assert got == sorted(want)
+    assert [len(x) for x in ann.best_of_each(*(np.zeros(0),) * 3, 6)] == [0, 0, 0]
+
+
+def test_neighbours_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(900, 8)).tolist()
+    rows = ann.clean_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"))
+    found = sorted(tuple(r) for r in ann.nearest(rows, rows.filter("vec_id % 3 = 0"), k=5).collect())
+    monkeypatch.setattr(ann, "HELD_ROWS", 50)
+    assert found == sorted(tuple(r) for r in ann.nearest(rows, rows.filter("vec_id % 3 = 0"), k=5).collect()) and len(found) == 1500
