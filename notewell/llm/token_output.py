@@ -144,11 +144,13 @@ class TextEncoder:
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
         self.by_word = words_are_independent(path)
-        if self.by_word:  # for pieces that are composed and cut already: the same model and vocabulary, cutting at blanks
-            spec = json.loads(self.tokenizer.to_str())
-            cuts = [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]
-            spec |= {"normalizer": _NORMALIZERS[-1], "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": cuts}}
-            self.cut_before = Tokenizer.from_str(json.dumps(spec))
+        if self.by_word:  # for pieces that are composed and cut already: the same model, not a copy of it, cutting at blanks
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.cut_before = Tokenizer(self.tokenizer.model)
+            self.cut_before.normalizer = normalizers.Lowercase()
+            cuts = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            self.cut_before.pre_tokenizer = pre_tokenizers.Sequence(cuts)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
