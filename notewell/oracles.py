@@ -133,6 +133,27 @@ DESCRIBED = """CASE WHEN length(c) <= 150 THEN c
   WHEN contains(h, '.') THEN CASE WHEN 151 - strpos(reverse(h), '.') > 76 THEN substr(c, 1, 151 - strpos(reverse(h), '.')) ELSE '' END
   WHEN contains(h, ' ') THEN substr(c, 1, 150 - strpos(reverse(h), ' ')) || '...' ELSE h || '...' END"""
 
+# The model of word pairs: texts cut for judged pairs, their bins, and the log odds of these.
+def _pair_bins(q: str, t: str) -> str:
+    two = lambda x: f"list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
+    at = f"list_min(list_filter(list_transform({q}, lambda x: list_position({t}, x)), lambda k: k > 0))"
+    return f"""4 * len(list_intersect({q}, {t})) // greatest(1, len(list_distinct({q}))) AS coverage,
+      4 * len(list_intersect({two(q)}, {two(t)})) // greatest(1, len(list_distinct({two(q)}))) AS phrases,
+      coalesce(4 * ({at} - 1) // len({t}), 4) AS start"""
+
+
+PAIR_MODEL = rf"""dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+  asked AS (SELECT doc_id, w, doc_id % (len(w) - 4) AS s FROM dw WHERE len(w) >= 10 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+  pairs AS (SELECT w[s + 1:s + 5] AS q, list_concat(w[1:s], w[s + 6:len(w)]) AS t, true AS y FROM asked
+    UNION ALL SELECT a.w[a.s + 1:a.s + 5], b.w, false FROM asked a JOIN dw b ON b.doc_id = a.doc_id + 1),
+  bins AS (SELECT y, {_pair_bins('q', 't')} FROM pairs),
+  long AS (SELECT 'coverage' AS feature, coverage AS bin, y FROM bins UNION ALL SELECT 'phrases', phrases, y FROM bins UNION ALL SELECT 'start', start, y FROM bins),
+  total AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM bins),
+  grid AS (SELECT f.feature, b.bin FROM (SELECT unnest(['coverage', 'phrases', 'start']) AS feature) f, (SELECT unnest(range(5)) AS bin) b),
+  model AS (SELECT g.feature, g.bin, ln((count(*) FILTER (l.y) + 1) / (any_value(p) + 5)) - ln((count(*) FILTER (NOT l.y) + 1) / (any_value(n) + 5)) AS weight
+    FROM grid g CROSS JOIN total LEFT JOIN long l ON l.feature = g.feature AND l.bin = g.bin GROUP BY 1, 2)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "cosine_pairs": """SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine
       FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""",
@@ -166,6 +187,13 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_all": SCORED_CHUNKS + """, r AS (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY round(score, 9) DESC, chunk_index) AS file_rank FROM scored)
       SELECT relative_path, chunk_index, file_rank, round(score, 6) AS score FROM r WHERE file_rank <= 2""",
     "expand_gate": r"SELECT item_id, len(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) < 3 AS expands FROM benchmark",
+    "pair_model_weights": f"WITH {PAIR_MODEL} SELECT feature, bin::INT AS bin, round(weight, 6) AS weight FROM model",
+    "pair_rerank": rf"""WITH {NOTE}, {SIM}, {near(40)}, {PAIR_MODEL}, first AS (SELECT * FROM near ORDER BY round(similarity, 9) DESC, doc_id LIMIT 30),
+      c AS (SELECT doc_id, {WORDS} AS q, list_filter(string_split_regex(lower(content), '\s+'), lambda x: x <> '') AS t FROM first),
+      cb AS (SELECT doc_id, {_pair_bins('q', 't')} FROM c),
+      s AS (SELECT doc_id, 1 / (1 + exp(-((SELECT weight FROM model WHERE feature = 'coverage' AND bin = coverage)
+        + (SELECT weight FROM model WHERE feature = 'phrases' AND bin = phrases) + (SELECT weight FROM model WHERE feature = 'start' AND bin = start)))) AS x FROM cb)
+      SELECT doc_id, round(x, 6) AS cross_encoder FROM s ORDER BY round(x, 9) DESC, doc_id LIMIT 10""",
     "time_boost": f"""WITH {NOTE}, {SIM}, {near(40)} SELECT doc_id, round(similarity * coalesce({BOOST}, 1.0), 6) AS similarity,
       round(coalesce({BOOST}, 1.0), 6) AS time_boost, round(similarity, 6) AS original_score FROM near""",
     "rerank_topk": rf"""WITH {NOTE}, {SIM}, {near(40)}, first AS (SELECT * FROM near ORDER BY round(similarity, 9) DESC, doc_id LIMIT 30),
@@ -272,6 +300,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT search_id, round(max(x), 6) AS top_score, round(CASE WHEN count(x) >= 2 THEN median(x) END, 6) AS score_p50, count(*) AS results FROM s GROUP BY 1""",
     "log_append": """SELECT user_id, round(max(round(value, 4)), 6) AS top_score, round(CASE WHEN count(*) >= 2 THEN median(round(value, 4)) END, 6) AS score_p50,
       count(*) AS result_count FROM events GROUP BY 1""",
+    "log_stream": """SELECT user_id, count(*) AS searches, round(max(round(value, 4)) + 1, 6) AS top_score, round(max(round(value, 4)) + 0.5, 6) AS score_p50,
+      count(*) * 2 AS results FROM events GROUP BY 1""",
     "rate_limit_window": """SELECT event_id AS request_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts)
       RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) - 1 AS earlier FROM events""",
     # With one request admitted per day, the next admitted one is the first at least a day after the last admitted one.

@@ -27,6 +27,7 @@ class SearchParams:
     time_boost: bool = True
     now: Column | str | None = None
     query_filter: filters.QueryFilter = field(default_factory=filters.QueryFilter)
+    scorer: Callable[[str], Callable[[Column], Column]] = ranking.lexical_overlap  # of the second stage, by query
 
     @property
     def order(self) -> str:
@@ -101,7 +102,7 @@ DEFAULT_STAGES: tuple[NamedStage, ...] = (
     NamedStage("score", lambda df, p: filters.min_score(df, p.min_score), lambda p: p.mode == "semantic"),
     NamedStage("status", lambda df, p: filters.visible(df)),
     NamedStage("query_filter", lambda df, p: filters.apply_filter(df, p.query_filter), lambda p: bool(p.query_filter.steps())),
-    NamedStage("rerank", lambda df, p: ranking.rerank(df, p.order, ranking.lexical_overlap(p.query), p.limit, p.rerank_candidates), lambda p: p.rerank),
+    NamedStage("rerank", lambda df, p: ranking.rerank(df, p.order, p.scorer(p.query), p.limit, p.rerank_candidates), lambda p: p.rerank),
     # Recency comes after the second stage and orders by the boosted first-stage score again.
     NamedStage("time_boost", _time, lambda p: p.time_boost),
     NamedStage("limit", lambda df, p: fusion.top(df, p.order, p.limit), lambda p: not p.rerank),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.vectors import cosine
-from .operators import block_postings, chunking, expansion, filters, fusion, lexical, log_stats, maintenance, ranking, rate_limit, topics, vector_codes
+from .operators import block_postings, chunking, expansion, filters, fusion, lexical, log_stats, maintenance, pair_scoring, ranking, rate_limit, topics, vector_codes
 from .operators.filters import QueryFilter, Wanted
 from .plans import search
 from .plans.registry import MODELS
@@ -18,6 +18,7 @@ from .sources.files import scratch_folder
 from .sources.index_store import vault_metadata
 from .sources.query_log import log_rows
 from .sources.snapshots import SnapshotStore
+from .streaming import log_sink
 
 
 QUERY = "the thing src7 ily"
@@ -252,6 +253,25 @@ def rerank_topk(spark, sf):
     return ranking.rerank(near, "similarity", ranking.lexical_overlap(QUERY), 10, 30).select("doc_id", _r("cross_encoder"))
 
 
+def _pair_model(spark, sf):
+    asking = _read(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return pair_scoring.fit(pair_scoring.cloze_pairs(_read(spark, sf, "documents"), asking))
+
+
+@_query
+def pair_model_weights(spark, sf):
+    """The second stage's model, fitted on the texts of all documents that are labelled good."""
+    rows = [(name, b, x) for name, own in zip(pair_scoring.FEATURES, _pair_model(spark, sf).weights) for b, x in enumerate(own)]
+    return spark.createDataFrame(rows, "feature string, bin int, weight double").select("feature", "bin", _r("weight"))
+
+
+@_query
+def pair_rerank(spark, sf):
+    near = search.semantic_topk(nt.note_table(spark, sf), _vector(spark, sf), 40)
+    score = pair_scoring.scorer(_pair_model(spark, sf))(QUERY)
+    return ranking.rerank(near, "similarity", score, 10, 30).select("doc_id", _r("cross_encoder"))
+
+
 @_query
 def time_boost(spark, sf):
     near = search.semantic_topk(nt.note_table(spark, sf), _vector(spark, sf), 40)
@@ -616,6 +636,21 @@ def log_append(spark, sf):
     return log_rows(rows).select("user_id", _r("top_score"), _r("score_p50"), F.col("result_count").cast("long").alias("result_count"))
 
 
+@_query
+def log_stream(spark, sf):
+    """All events as a stream of searches into the log; then its first batch comes once more, which adds nothing."""
+    schema = _read(spark, sf, "events").schema
+    hit = lambda name, more: F.struct(F.lit(name).alias("path"), (F.round("value", 4) + more).alias("score"))
+    searches = lambda events: events.select("event_id", "user_id", F.array(hit("a", 0), hit("b", 1)).alias("results"))
+    path = scratch_folder(spark, "log")
+    stream = searches(spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))
+    log_sink.log_stream(stream, path, "events", scratch_folder(spark, "log-stream")).awaitTermination()
+    log_sink.batch_writer(path, "events")(searches(_read(spark, sf, "events")), 0)
+    rows = log_sink.read_log(spark, path).groupBy("user_id")
+    found = rows.agg(F.count("*").alias("searches"), F.max("top_score").alias("top_score"), F.max("score_p50").alias("score_p50"), F.sum("result_count").alias("results"))
+    return found.select("user_id", "searches", _r("top_score"), _r("score_p50"), "results")
+
+
 def _requests(spark, sf):
     return _read(spark, sf, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), F.col("event_type").alias("endpoint"), "ts"
