@@ -1,9 +1,11 @@
-"""Command line: index, reindex, search, archaeology, stats, snapshots, log, models."""
+"""Command line: index, reindex, search, archaeology, stats, snapshots, log, models, vaults, config."""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,10 @@ def _show(rows: DataFrame) -> None:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="notewell")
-    top.add_argument("--vault", required=True)
-    top.add_argument("--index", required=True)
-    top.add_argument("--name", default="vault")
+    top.add_argument("--vault", help="its folder; with a configuration also its name there")
+    top.add_argument("--index", help="by default the configured folder, else one in the vault")
+    top.add_argument("--name", help="of the vault in links")
+    top.add_argument("--config", help="a JSON file; without --vault also the one that NOTEWELL_CONFIG names")
     top.add_argument("--master")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("index", "reindex"):
@@ -33,9 +36,9 @@ def parser() -> argparse.ArgumentParser:
     find = sub.add_parser("search")
     find.add_argument("query")
     find.add_argument("--mode", choices=("semantic", "hybrid", "bm25"), default="hybrid")
-    find.add_argument("--limit", type=int, default=10)
+    find.add_argument("--limit", type=int)
     find.add_argument("--min-score", type=float, default=0.3)
-    find.add_argument("--rerank", action="store_true")
+    find.add_argument("--rerank", action=argparse.BooleanOptionalAction, default=True)
     find.add_argument("--expand", action="store_true")
     find.add_argument("--no-time-boost", action="store_true")
     find.add_argument("--no-log", action="store_true")
@@ -54,24 +57,48 @@ def parser() -> argparse.ArgumentParser:
     topic.add_argument("--exclude-daily", action="store_true")
     sub.add_parser("stats")
     sub.add_parser("log").add_argument("--recent", type=int, default=0)
-    sub.add_parser("models")
+    for name in ("models", "vaults", "config"):
+        sub.add_parser(name)
     return top
 
 
+def chosen_vault(args: argparse.Namespace, config: registry.Config | None) -> registry.Vault:
+    """By name or folder; a folder that the configuration does not list is a vault all the same."""
+    if config is None:
+        return registry.Vault("vault", args.vault)
+    try:
+        return registry.find_vault(registry.known_vaults(config), args.vault)
+    except LookupError:
+        if not Path(args.vault).expanduser().is_dir():
+            raise
+        return registry.Vault(Path(args.vault).name, args.vault)
+
+
 def run(args: argparse.Namespace) -> None:
     if args.command == "models":
         for m in registry.MODELS:
             print(json.dumps(m.__dict__))
         return
-    engine = NoteEngine(build_session("notewell", args.master), args.vault, args.index, args.name)
-    log = f"{args.index.rstrip('/')}/log"
+    listing = args.command in ("vaults", "config")
+    config = registry.load_config(args.config) if args.config or listing or not args.vault else None
+    if args.command == "config":
+        print(json.dumps(dataclasses.asdict(config)))
+        return
+    if args.command == "vaults":
+        for v in registry.known_vaults(config):
+            print(json.dumps({**dataclasses.asdict(v), "index_path": registry.storage_dir(config, v.path)}))
+        return
+    vault = chosen_vault(args, config)
+    index = args.index or registry.storage_dir(config, vault.path)
+    engine = NoteEngine(build_session("notewell", args.master), vault.path, index, args.name or vault.name)
+    log = f"{index.rstrip('/')}/log"
     if args.command in ("index", "reindex"):
         print(json.dumps(engine.reindex(force=args.force)))
     elif args.command == "search":
         wanted = {k: Wanted(tuple(getattr(args, k)), tuple(getattr(args, f"not_{k}"))) for k in ("type", "tag", "path", "file")}
         pairs = [tuple(tuple(x.partition("=")[::2]) for x in some) for some in (args.prop, args.not_prop)]
         chosen = QueryFilter(properties=Wanted(*pairs), types=wanted["type"], tags=wanted["tag"], paths=wanted["path"], files=wanted["file"])
-        params = SearchParams(args.query, args.mode, args.limit, args.min_score, args.rerank, time_boost=not args.no_time_boost, query_filter=chosen)
+        params = SearchParams(args.query, args.mode, registry.bounded_limit(config, args.limit), args.min_score, args.rerank, time_boost=not args.no_time_boost, query_filter=chosen)
         answer = engine.answer(params, args.expand)
         for r in answer.rows:
             print(json.dumps(r.asDict(recursive=True), default=str))

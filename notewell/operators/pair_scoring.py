@@ -43,7 +43,7 @@ def pair_udf(load: Callable[[], PairModel]) -> Callable[[Column, Column], Column
         for queries, texts in batches:
             yield pd.Series(np.asarray(model(queries.fillna(""), texts.fillna("")), np.float64))
 
-    return score
+    return score.asNondeterministic()  # else the optimizer moves it below the limit on candidates and sorts all rows
 
 
 def scorer(load: Callable[[], PairModel]) -> Callable[[str], Callable[[Column], Column]]:

@@ -100,6 +100,26 @@ def load_config(path: str | None = None, places: Sequence[str] = (), variable: s
     )
 
 
+def storage_dir(config: Config | None, vault_path: str) -> str:
+    """Where a vault's index lies: for the configured vault the configured folder, else a hidden folder of the vault."""
+    own = Path(vault_path).expanduser().resolve()
+    if config and config.index_path and own == Path(config.vault_path).resolve():
+        return config.index_path
+    return str(own / ".notewell")
+
+
+def known_vaults(config: Config) -> tuple[Vault, ...]:
+    """The listed vaults; without a list the configured one alone."""
+    return config.vaults or (Vault(Path(config.vault_path).name, config.vault_path, True),)
+
+
+def bounded_limit(config: Config | None, asked: int | None) -> int:
+    """How many results a search gives: as asked or by default, the configured maximum at most."""
+    config_default, most = (config.default_limit, config.max_limit) if config else (10, None)
+    limit = config_default if asked is None else asked
+    return limit if most is None else min(limit, most)
+
+
 class ResidentIndexes:
     """Keeps the most recently used few of what `load` makes; `release` is called for the others (e.g. unpersist)."""
 
