@@ -4,8 +4,10 @@ A text is cut into words and 3-word shingles; each window covers two blocks of 6
 a block. Every band is one min-hash of the window (the least of shingle hash XOR the band's seed), found once per block
 and combined. A window whose band equals a template window's band retrieves the template. A template of up to 7
 shingles lies whole in some window of 12, and longer ones fill windows; with Jaccard similarity J of window and template
-window, 24 bands find it with probability 1 - (1 - J) ** 24: 0.999 at J = 1/4. Then the template's share of shingles
-that occur in the region around the window is counted exactly.
+window, 24 bands find it with probability 1 - (1 - J) ** 24: 0.999 at J = 1/4. Templates of one or two shingles would
+share too little with a window of 12, so the windows for them are single shingles: J is 1 for the first shingle, the
+min-hash of such a window is the shingle itself, and it is always found. Then the template's share of shingles that
+occur in the region around the window is counted exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 SHINGLE = 3
 BLOCK = 6
 BANDS = 24
+FEW = 2  # shingles up to which a template is looked up by single shingles
 CONTAINMENT = 0.8
 MAX_TEMPLATE_BYTES = 1 << 20  # of all templates: they are part of the plan
 
@@ -49,6 +52,24 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC0-1.0": (
+        "has waived all copyright and related or neighboring rights to this work",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to "
+        "this software to the public domain worldwide",
+    ),
+    "LGPL": (
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    ),
+    "AGPL-3.0": ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "All-rights-reserved": ("All rights reserved.",),
 }
 
 
@@ -116,23 +137,22 @@ def scan_licenses(
         none = docs.limit(0).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
         return none.selectExpr("*", "'' AS license", "0D AS containment", "0L AS first_word")
     longest = max(len(r["_h"]) for r in known)
-    wanted = sorted({k for r in known for window in r["_sig"] for k in window})
-    by_key = spark.createDataFrame(
-        sorted({(k, r["template"]) for r in known for window in r["_sig"] for k in window}), "_key long, template int"
-    )
-    listed = ", ".join(f"{k}L" if k > -(2**63) else f"({k + 1}L - 1L)" for k in wanted)
+    keyed = {(k, r["template"]) for r in known if len(r["_h"]) > FEW for window in r["_sig"] for k in window}
+    few = {(r["_h"][0], r["template"]) for r in known if 0 < len(r["_h"]) <= FEW}
+    wanted = sorted({k for k, _ in keyed})
+    by_key = spark.createDataFrame(sorted(keyed), "_key long, template int")
+    by_shingle = spark.createDataFrame(sorted(few), "_key long, template int")
+    literal = lambda keys: ", ".join(f"{k}L" if k > -(2**63) else f"({k + 1}L - 1L)" for k in keys)
+    listed = literal(wanted)
     rows = _with_windows(_with_shingles(docs.filter("_text IS NOT NULL"), "_text").drop("_text"))
-    marked = rows.withColumn("_hit", F.expr(f"transform(_sig, s -> filter(s, k -> k IN ({listed})))"))
-    spots = marked.withColumn(
-        "_spot",
-        F.explode(F.expr(
-            f"""transform(filter(transform(_hit, (k, i) -> struct(i, k)), x -> size(x.k) > 0), x -> struct(
-                  x.k AS bands,
-                  greatest(x.i * {BLOCK} - {longest}, 0) AS first,
-                  slice(_h, greatest(x.i * {BLOCK} - {longest}, 0) + 1, {2 * longest + 2 * BLOCK}) AS region))"""
-        )),
-    ).select(*keys, "_spot.*")
-    found = spots.withColumn("_key", F.explode("bands")).join(F.broadcast(by_key), "_key")
+    by_windows = f"""transform(filter(transform(_sig, (s, i) -> struct(i, filter(s, k -> k IN ({listed or 'NULL'})) AS k)), x -> size(x.k) > 0),
+        x -> struct(false AS single, x.k AS found, greatest(x.i * {BLOCK} - {longest}, 0) AS first,
+            slice(_h, greatest(x.i * {BLOCK} - {longest}, 0) + 1, {2 * longest + 2 * BLOCK}) AS region))"""
+    by_shingles = f"""transform(filter(transform(_h, (h, i) -> struct(h, i)), x -> x.h IN ({literal(sorted({k for k, _ in few})) or 'NULL'})),
+        x -> struct(true AS single, array(x.h) AS found, x.i AS first, slice(_h, x.i + 1, {FEW}) AS region))"""
+    spots = rows.withColumn("_spot", F.explode(F.expr(f"concat({by_windows}, {by_shingles})"))).select(*keys, "_spot.*")
+    known_keys = by_key.withColumn("single", F.lit(False)).unionByName(by_shingle.withColumn("single", F.lit(True)))
+    found = spots.withColumn("_key", F.explode("found")).join(F.broadcast(known_keys), ["single", "_key"])
     own = spark.createDataFrame([(r["template"], r["license"], r["_h"]) for r in known], "template int, license string, _h array<long>")
     share = F.size(F.array_intersect("region", "_h")) / F.size("_h")
     first = F.expr("array_min(transform(filter(transform(region, (x, i) -> struct(x, i)), y -> array_contains(_h, y.x)), y -> y.i))")

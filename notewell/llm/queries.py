@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, conversation_trie, decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, sharding, token_alignment, token_output, toxicity
 from .oracles import ORACLE_SQL  # noqa: F401
-from .shared import id_crc, materialize, table
+from .shared import id_crc, table
 
 SHARDS = 40
 MIX = mixing.MixPlan(
@@ -35,7 +35,7 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("key").alias("law"),
     )
     plain, grown = [1.0] * SHARDS, [1.0] * (SHARDS + 1)
-    sharded = materialize(sharding.assign_shards(docs, plain, grown_weights=grown), "shards")
+    sharded = sharding.assign_shards(docs, plain, grown_weights=grown)
     numbered = sharding.number_slots(sharded, ties=("text_crc32", "size"), cells=1024)
     return numbered.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 

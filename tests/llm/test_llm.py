@@ -335,6 +335,24 @@ def test_weighted_shards_and_odd_rows(spark):
         sharding.rendezvous(F.lit(1), [0.0])
 
 
+@pytest.mark.parametrize("hot_rows", [2, 40, 10**6])
+def test_slots_of_repeated_keys(spark, hot_rows):
+    rows = [(None, f"t{i % 3}", "en", "a", 0) for i in range(90)] + [(5, None, "en", "a", 0)] * 60 + [(i, f"t{i}", "en", "a", 0) for i in range(100)]
+    docs = frame(spark, rows).repartition(7).withColumns({c: F.lit(c) for c in ("slot", "_cell", "cell", "row", "n", "start", "part", "_start", "_row")})
+    out = sharding.number_slots(sharding.assign_shards(docs, [1.0, 1.0]), ties=("text",), cells=4, hot_rows=hot_rows)
+    assert sorted(out.columns) == sorted([*docs.columns, "shard"])
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert all(r[c] == c for c in ("_cell", "cell", "row", "n", "start", "part", "_start", "_row"))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    where = lambda rows: Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in rows)
+    again = sharding.assign_shards(docs.coalesce(1), [1.0, 1.0])
+    assert where(got) == where(sharding.number_slots(again, ties=("text",), cells=4, hot_rows=hot_rows).collect())
+
+
 def test_shard_query_matches_brute_force(spark):
     import hashlib
     import math
@@ -611,6 +629,23 @@ def test_license_of_repeated_ids_does_not_depend_on_order(spark):
         assert [tuple(r) for r in license_scan.scan_licenses(docs, keys=("template",)).collect()] == [(1, "MIT", 1.0, 0)]
 
 
+def test_short_notices_are_always_found(spark):
+    rng = random.Random(23)
+    templates = {"three": ("All rights reserved.",), "four": ("no part may be",), "two": ("public domain",)}
+    rows, want = [], set()
+    for i in range(300):
+        words, which = make_words(rng, 30, 10**6), rng.choice([*templates, "none"])
+        if which != "none":
+            at = rng.randrange(31)
+            words[at:at] = templates[which][0].split()
+            if which != "two" or len(words) == 2:  # two words are a shingle only of a text that has no others
+                want.add((i, which, at))
+        rows.append((i, " ".join(words), "en", "a", 0))
+    rows.append((300, "Public domain!", "en", "a", 0))
+    got = license_scan.scan_licenses(frame(spark, rows), templates).collect()
+    assert {(r["doc_id"], r["license"], r["first_word"]) for r in got} == want | {(300, "two", 0)} and len(want) > 100
+
+
 def test_license_query_matches_brute_force(spark, tmp_path):
     rng = random.Random(17)
     docs = []
