@@ -13,9 +13,9 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
   rest AS (SELECT * FROM u WHERE masked NOT IN (SELECT masked FROM known)),
   leaves AS (SELECT leaf FROM rest GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
   inside AS (SELECT * FROM rest WHERE leaf IN (SELECT leaf FROM leaves)),
-  variants AS (SELECT DISTINCT leaf, masked, tokens FROM inside),
-  tok AS (SELECT leaf, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS tok FROM variants),
-  cnt AS (SELECT leaf, pos, tok, count(*) AS c FROM tok GROUP BY ALL),
+  variants AS (SELECT leaf, masked, tokens, count(DISTINCT doc_id) AS docs FROM inside GROUP BY ALL),
+  tok AS (SELECT leaf, masked, docs, len(tokens) AS size, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS tok FROM variants),
+  cnt AS (SELECT leaf, pos, tok, count(*) AS c, sum(docs) AS d FROM tok GROUP BY ALL),
   best AS (SELECT *, sum(c) OVER (PARTITION BY leaf, pos) AS s, row_number() OVER (PARTITION BY leaf, pos ORDER BY c DESC, tok DESC) AS r FROM cnt),
   const AS (SELECT leaf, pos, tok FROM best WHERE r = 1 AND 2 * c >= s AND tok <> '<*>'),
   size AS (SELECT leaf, count(*) AS n FROM best WHERE r = 1 GROUP BY 1),
@@ -24,7 +24,13 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
   fits AS (SELECT doc_id, line, leaf FROM inside i WHERE leaf IN (SELECT leaf FROM tpl)
     AND NOT EXISTS (SELECT 1 FROM wrong w WHERE w.doc_id = i.doc_id AND w.line = i.line)),
   again AS (SELECT leaf FROM fits GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
-  gone AS (SELECT doc_id, line FROM u WHERE masked IN (SELECT masked FROM known) UNION SELECT doc_id, line FROM fits WHERE leaf IN (SELECT leaf FROM again)),
+  often AS (SELECT leaf, pos, tok FROM cnt WHERE d >= 10 AND tok <> '<*>'),
+  shape AS (SELECT leaf, masked, string_agg(pos || ' ' || tok, ' ' ORDER BY pos) AS shape FROM tok JOIN often USING (leaf, pos, tok)
+    GROUP BY leaf, masked, size HAVING 2 * count(*) >= size),
+  alike AS (SELECT doc_id, line, leaf, shape FROM inside JOIN shape USING (leaf, masked)),
+  shapes AS (SELECT leaf, shape FROM alike GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+  gone AS (SELECT doc_id, line FROM u WHERE masked IN (SELECT masked FROM known) UNION SELECT doc_id, line FROM fits WHERE leaf IN (SELECT leaf FROM again)
+    UNION SELECT doc_id, line FROM alike JOIN shapes USING (leaf, shape)),
   per AS (SELECT doc_id, list(line) AS g FROM gone GROUP BY 1),
   k AS (SELECT d.doc_id, string_split(text, chr(10)) AS a,
     list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(g, x), false)) AS b FROM documents d LEFT JOIN per USING (doc_id))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -94,6 +95,95 @@ def test_short_lines_recur(spark):
     assert all("Read more" in r["text"] and "Les." in r["text"] for r in kept)
 
 
+def test_a_leaf_has_several_templates(spark):
+    """Planted lines: what recurs is known beforehand, and nothing else may go."""
+    names = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    endings = ["in sports today", "about old films", "near some river"]
+    rows, planted = [], {}
+    for i in range(36):
+        planted[i] = f"posted by user {names[i]} {endings[i % 3]}"
+    for i in range(36, 45):  # nine documents only, in the same leaf
+        planted[i] = f"posted by user {names[i]} with {names[i + 1]} {names[i + 2]}"
+    for i in range(45, 57):  # a field between constants, one beside a digit
+        planted[i] = f"posted by user {names[i]} at page {i}"
+    for i, line in planted.items():
+        rows.append((i, f"{names[i]} alone in {names[-i - 1]} {names[i // 2]} text\n{line}", "en", "a", 0))
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert {i for i, line in planted.items() if line not in out[i]} == {*range(36), *range(45, 57)}
+    assert all(f"{names[i]} alone in {names[-i - 1]} {names[i // 2]} text" in out[i] for i in planted)
+
+
+def dropped_by_definition(docs, rules):
+    """What the module's docstring says, leaf by leaf."""
+    lines = []  # document, line, masked tokens
+    for doc_id, text in docs:
+        for line in text.split("\n"):
+            tokens = ["<*>" if re.search("[0-9]", t) else t for t in re.sub("[ \t\r]+", " ", line).strip(" ").split(" ")]
+            if tokens != [""] and len(tokens) >= rules.min_tokens:
+                lines.append((doc_id, line, tuple(tokens)))
+    is_long = lambda t: rules.long_tokens is not None and len(t) > rules.long_tokens
+    least = lambda t: rules.long_min_docs if is_long(t) else rules.min_docs
+    docs_of = lambda some: len({x[0] for x in some})
+    gone, leaves, same = set(), defaultdict(list), defaultdict(list)
+    for x in lines:
+        same[x[2]].append(x)
+    for tokens, xs in same.items():
+        if docs_of(xs) >= least(tokens):
+            gone.update(x[:2] for x in xs)
+        else:
+            leaves[len(tokens), tokens[: rules.depth]] += xs
+    for (n, _), xs in leaves.items():
+        variants = {x[2] for x in xs}
+        need, majority, shapes = least(xs[0][2]), {}, defaultdict(list)
+        if docs_of(xs) < need:
+            continue
+        for p in range(n):
+            top, c = max(Counter(v[p] for v in variants).items(), key=lambda e: (e[1], e[0]))
+            if top != "<*>" and (2 * c > len(variants) if is_long(xs[0][2]) else 2 * c >= len(variants)):
+                majority[p] = top
+        fits = [x for x in xs if all(x[2][p] == t for p, t in majority.items())]
+        if 2 * len(majority) >= n and docs_of(fits) >= need:
+            gone.update(x[:2] for x in fits)
+        weight = Counter()
+        for v in variants:
+            weight.update({(p, t): docs_of(same[v]) for p, t in enumerate(v) if t != "<*>"})
+        for x in xs:
+            shape = tuple((p, t) for p, t in enumerate(x[2]) if weight[p, t] >= need)
+            if 2 * len(shape) >= n:
+                shapes[shape].append(x)
+        for some in shapes.values():
+            if docs_of(some) >= need:
+                gone.update(x[:2] for x in some)
+    return gone
+
+
+@pytest.mark.parametrize("query, rules", [("op1_recurring_lines", LineRules()), ("op1_line_templates", line_dedup.SQL_RULES)])
+def test_line_queries_match_brute_force(spark, tmp_path, query, rules):
+    rng = random.Random(31)
+    forms = [["see", "also", "the", *rng.choices(["page", "old", "note", "?"], k=rng.choice([2, 4, 4]))] for _ in range(8)]
+    forms += [["form", "one", "has", *[rng.choice(["x", "?"]) for _ in range(55)]] for _ in range(3)]
+    fill = lambda form: " ".join(rng.choice(["red", "tan", "sky", "n7", "dim"]) if t == "?" else t for t in form)
+    docs = []
+    for i in range(140):
+        lines = [fill(rng.choice(forms)) for _ in range(rng.randrange(1, 5))] + [" ".join(make_words(rng, rng.randrange(1, 7))) for _ in range(2)]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines), "en", "a", 0))
+    want = dropped_by_definition([d[:2] for d in docs], rules)
+    got = {r["doc_id"]: (r["n_dropped"], r["kept_md5"]) for r in queries.QUERIES[query](spark, tables(spark, tmp_path, documents=docs)).collect()}
+    for i, text, *_ in docs:
+        kept = [x for x in text.split("\n") if (i, x) not in want]
+        assert got[i] == (len(text.split("\n")) - len(kept), hashlib.md5("\n".join(kept).encode()).hexdigest())
+    assert 50 < len(want) < sum(len(d[1].split("\n")) for d in docs) - 100
+
+
+def test_rows_without_ids_drop_their_own_lines(spark):
+    rows = [(None, f"this footer stands everywhere\nown {chr(97 + i)}{chr(98 + i)}", "en", "a", 0) for i in range(12)] * 2
+    rows += [(i, "this footer stands everywhere", "en", "a", 0) for i in range(9)]
+    out = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    assert len(out) == len(rows) and not any("footer" in r["text"] for r in out)  # all null ids are one document, the tenth
+    assert Counter(r["text"] for r in out if r["doc_id"] is None) == Counter(r[1].split("\n")[1] for r in rows if r[0] is None)
+
+
 # 2 neighbours ----------------------------------------------------------------------------------------------------
 
 
@@ -354,7 +444,6 @@ def test_slots_of_repeated_keys(spark, hot_rows):
 
 
 def test_shard_query_matches_brute_force(spark):
-    import hashlib
     import math
 
     def least(i, n):
