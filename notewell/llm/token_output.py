@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, materialize, once_run, scratch_path, slices, trimmed, worker_table
+from .shared import ascii_words, materialize, once_run, release_memory, scratch_path, slices, trimmed, worker_table
 
 END_ID = 1
 MAX_WORDS = 400_000  # distinct words that a worker keeps
@@ -155,6 +155,7 @@ class TextEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._reset()
+        release_memory()  # what reading the file took
 
     def _reset(self) -> None:
         self.words, self.pieces = _Numbers(), _Numbers()
@@ -218,14 +219,14 @@ class TextEncoder:
         return np.insert(ids, np.cumsum(per_text), END_ID).astype(np.int32, copy=False), per_text + 1
 
 
-def _encode_batches(path: str, max_words: int):
+def _encode_batches(path: str, max_words: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = worker_table(("tokens", path, max_words), lambda: TextEncoder(path, max_words))
         file, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, 1, BATCH_BYTES):
+            for part in slices(batch, 1, batch_bytes):
                 n = part.num_rows
                 ids, counts = encoder.encode(part.column(1))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
@@ -244,7 +245,7 @@ def _encode_batches(path: str, max_words: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files: int | None = None, max_words: int = MAX_WORDS) -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files: int | None = None, max_words: int = MAX_WORDS, batch_bytes: int = BATCH_BYTES) -> str:
     """Encodes doc_id and text into ORC files under path, in ascending doc_id order (null ids first).
 
     A null text is empty: its only id is END_ID. Rows that repeat an id stand side by side, in the order of a hash of
@@ -258,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, files
         size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // FILE_BYTES), MOST_FILES))
     ordered = rows.repartitionByRange(files, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    tokens = ordered.drop("_tie").mapInArrow(trimmed(_encode_batches(tokenizer or tokenizer_path(), max_words)), _FILE_SCHEMA)
+    tokens = ordered.drop("_tie").mapInArrow(trimmed(_encode_batches(tokenizer or tokenizer_path(), max_words, batch_bytes)), _FILE_SCHEMA)
     with once_run(spark):
         tokens.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
     return path
@@ -302,8 +303,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_table(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, max_words: int = MAX_WORDS) -> DataFrame:
+def token_table(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, max_words: int = MAX_WORDS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Writes the files, then answers from them; see token_index. Without a path they stand in a scratch folder. max_words
-    bounds the memory of a worker, not the texts."""
+    and batch_bytes (of texts encoded together) bound the memory of a worker, not the texts."""
     spark = docs.sparkSession
-    return token_index(spark, write_tokens(docs, path or scratch_path(spark, "tokens"), tokenizer, max_words=max_words))
+    return token_index(spark, write_tokens(docs, path or scratch_path(spark, "tokens"), tokenizer, max_words=max_words, batch_bytes=batch_bytes))
