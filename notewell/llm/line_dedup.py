@@ -53,10 +53,15 @@ def _masked(line: Column) -> Column:
     return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(spaced)
 
 
-def _exploded(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """One row per line that is long enough: doc_id, own, line_hash, masked, leaf, masked_hash. Tokens are counted by blanks."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row per line: doc_id, own, line_hash, line."""
     lines = docs.select("doc_id", _own(F.col("doc_id"), F.col("text")).alias("own"), F.explode(F.split("text", "\n")).alias("line"))
-    masked = lines.select("doc_id", "own", F.xxhash64("line").alias("line_hash"), _masked(F.col("line")).alias("masked"))
+    return lines.select("doc_id", "own", F.xxhash64("line").alias("line_hash"), "line")
+
+
+def _described(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """The lines that are long enough: doc_id, own, line_hash, masked, leaf, masked_hash, long. Tokens are counted by blanks."""
+    masked = lines.select("doc_id", "own", "line_hash", _masked(F.col("line")).alias("masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return masked.withColumn("_n", n).filter((F.col("masked") != "") & (F.col("_n") >= rules.min_tokens)).select(
         "doc_id",
@@ -100,12 +105,14 @@ def _frequent_templates(tokens: DataFrame, counts: DataFrame, rules: LineRules)
 
 def recurring_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """doc_id, own (0, or for rows without an id the hash of their text) and line_hash of the lines to drop."""
-    lines = _exploded(docs, rules)
-    narrow = materialize(lines.select("doc_id", "own", "line_hash", "leaf", "masked_hash", "long"), "lines")
+    lines = _lines(docs)
+    narrow = materialize(_described(lines, rules).select("doc_id", "own", "line_hash", "leaf", "masked_hash", "long"), "lines")
     known = materialize(_in_documents(narrow, "masked_hash", rules), "known-lines")
     rest = narrow.join(known, "masked_hash", "left_anti")
     leaves = materialize(_in_documents(rest, "leaf", rules), "leaves")
-    inside = lines.join(leaves, "leaf", "left_semi").join(known, "masked_hash", "left_anti")
+    # The second reading of the texts hashes its lines and describes only those that are wanted.
+    wanted = materialize(rest.join(leaves, "leaf", "left_semi").select("line_hash").distinct(), "wanted-lines")
+    inside = _described(lines.join(wanted, "line_hash", "left_semi"), rules)
     inside = materialize(inside.withColumn("tokens", F.split("masked", " ")).drop("masked"), "leaf-lines")
     # A line left here is in fewer than min_docs documents, so its set of them is small.
     in_docs = F.size(F.collect_set(F.struct("doc_id")))
