@@ -28,6 +28,20 @@ def tokenize(text: Column | str) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def word_counts(words: Column) -> Column:
+    """array<struct<term, tf>> of an array of words: each distinct one, sorted, with how often it occurs.
+
+    Equal words stand side by side once they are sorted, so a text is counted by itself, in its own row.
+    """
+
+    def runs(w: Column) -> Column:
+        last = F.size(w) - 1
+        ends = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(w, i).eqNullSafe(F.get(w, i + 1)))
+        return _bound(ends, lambda e: F.transform(e, lambda at, k: F.struct(F.get(w, at).alias("term"), (at - F.coalesce(F.get(e, k - 1), F.lit(-1))).alias("tf"))))
+
+    return _bound(F.array_sort(words), runs)
+
+
 def clean_markdown(text: Column | str) -> Column:
     """Plain text of Markdown: links to their labels, no heading marks, emphasis, code marks or line ends."""
     steps = (

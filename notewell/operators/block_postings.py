@@ -17,12 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
 from ..sources.files import Folder
-from .lexical import B, EPSILON, K1, TAG_BOOST, matched_tags, query_words, with_tag_boost
+from .lexical import B, EPSILON, K1, TAG_BOOST, counted_words, matched_tags, query_words, with_tag_boost
 
 SHELVES = 32
 CELL_DOCS = 128
+PART_CELLS = 16  # cells whose documents are grouped in one task
+SHELF_CELLS = 1024  # cells of a shelf that one task writes
 FIRST_CELLS = 2  # cells to score first, for each document that is wanted
 SLACK = 1e-6  # sums of the same parts in another order differ by less
 ROW_GROUP = str(1 << 20)
@@ -41,24 +42,20 @@ def cell_of(doc_id: Column | str, cells: Column | int) -> Column:
 
 
 def save(docs: DataFrame, text: Column, path: str, key: str = "doc_id", shelves: int = SHELVES, cell_docs: int = CELL_DOCS) -> None:
-    """Writes blocks, terms and corpus (one row) under path.
+    """Writes blocks, terms and corpus (one row) under path. The key names a row.
 
-    Each text is tokenized once. The postings are shuffled twice: by document, then by term and cell; a term of any
-    frequency is dealt over several files.
+    Each text is tokenized once and its words are counted in its own row. The counted rows are shuffled by cell, PART_CELLS
+    to a task whatever the size of the corpus, and the blocks once more by shelf and cell; a term of any frequency is
+    dealt over several files.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(key).cast("long").alias("doc_id"), tokenize(text).alias("words"))
-    counted = words.select("doc_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-    postings = counted.groupBy("doc_id", "dl", "term").agg(F.count("term").cast("int").alias("tf"))
     raw = f"{path}/postings"
-    postings.write.mode("overwrite").parquet(raw)
-    postings = spark.read.parquet(raw)
-    # A document without words has one row without a term.
-    lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    counted_words(docs.withColumn(key, F.col(key).cast("long")), text, key).write.mode("overwrite").option("compression", "zstd").parquet(raw)
+    counted = spark.read.parquet(raw)
+    size = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = size["n_docs"], size["avgdl"] or 0.0
     cells = max(1, math.ceil(n_docs / cell_docs))
-    postings = postings.filter("term IS NOT NULL")
+    postings = counted.select(F.explode("words.term").alias("term"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(F.lit(n_docs) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     shelf = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(shelves)).cast("int").alias("shelf")
@@ -68,12 +65,17 @@ def save(docs: DataFrame, text: Column, path: str, key: str = "doc_id", shelves:
     corpus = [(n_docs, float(avgdl), float(avg_idf or 0.0), cells, shelves)]
     spark.createDataFrame(corpus, "n_docs long, avgdl double, avg_idf double, cells long, shelves int").coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(float(avgdl), 1e-9))))
-    blocks = postings.groupBy("term", cell_of("doc_id", cells).alias("cell")).agg(
+    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = counted.withColumn("cell", cell_of("doc_id", cells)).repartition(max(default, math.ceil(cells / PART_CELLS)), "cell")
+    # Rows of a cell are together, so this groups within a task.
+    blocks = placed.select("cell", "doc_id", "dl", F.inline("words")).groupBy("term", "cell").agg(
         F.max(part).alias("most"),
         F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"),  # of a cell's documents at most
     )
-    parts = max(shelves, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = blocks.withColumn("shelf", shelf).repartitionByRange(parts, "shelf", "term", "cell").sortWithinPartitions("shelf", "term", "cell")
+    # Tasks by shelf and some of the cells: no more files than needed, and none that holds all of a frequent term.
+    deals = math.ceil(cells / SHELF_CELLS)
+    keyed = blocks.withColumn("shelf", shelf).repartition(max(default, shelves * deals), "shelf", F.pmod(F.col("cell"), F.lit(deals)))
+    dealt = keyed.sortWithinPartitions("shelf", "term", "cell")
     dealt.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("shelf").parquet(f"{path}/blocks")
     Folder(spark, path).delete("postings")
 

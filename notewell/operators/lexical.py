@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import tokenize, word_counts
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 TAG_BOOST = 5.0
@@ -43,14 +43,18 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
 
 
+def counted_words(docs: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
+    """doc_id, dl (number of words) and words (array of term and tf) of each row; nothing is shuffled."""
+    worded = docs.select(F.col(key).alias("doc_id"), tokenize(text).alias("_w"))
+    return worded.select("doc_id", F.size("_w").alias("dl"), word_counts(F.col("_w")).alias("words"))
+
+
 def build_index(docs: DataFrame, text: Column, key: str = "doc_id") -> LexicalIndex:
-    """Postings are counted once and kept; statistics are aggregates of them."""
-    words = docs.select(F.col(key).alias("doc_id"), tokenize(text).alias("words"))
-    lengths = words.select("doc_id", F.size("words").alias("dl"))
-    counted = words.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    postings = counted.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """Words are counted once, each document's in its own row, and kept; statistics are aggregates of them. The key is
+    that of a row: rows that repeat it are documents of their own."""
+    counted = counted_words(docs, text, key).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = counted.select("doc_id", F.inline("words"), "dl")
+    size = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     corpus = size.crossJoin(F.broadcast(raw.agg(F.avg("idf").alias("avg_idf"))))

@@ -133,25 +133,34 @@ def strategic_subset(files: DataFrame, subsets=SUBSETS, path: str = "relative_pa
     return reduce(DataFrame.union, found)
 
 
-def note_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supplied tables as notes: documents with status (labels), change time (events) and vector (embeddings)."""
+_SIDES = ("labels", "events", "embeddings")
+
+
+def note_table(spark: SparkSession, sf_dir: str, sides: Sequence[str] = _SIDES) -> DataFrame:
+    """The supplied tables as notes: documents with status (labels), change time (events) and vector (embeddings).
+
+    Each of these has one row for an id at most. Of `sides` that are left out the column is missing, and the texts are
+    not joined with them.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    marks = read("labels").select("doc_id", "toxic", "quality", F.lit(True).alias("_l"))
-    times = read("events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("modified"))
-    vectors = read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     base = F.array("lang", "source")
-    return (
-        read("documents").join(marks, "doc_id", "left").join(times, "doc_id", "left").join(vectors, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"),
-            F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
-            F.col("text").alias("content"),
-            F.when(F.col("doc_id") % 7 == 0, F.concat(base, F.array(F.lit("daily")))).otherwise(base).alias("tags"),
-            F.array("lang").alias("types"),
-            F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("frontmatter"),
-            F.when(F.col("toxic") == 1, "hidden").when(F.col("quality") == 0, "inactive").when(F.col("_l"), "active").alias("status"),
-            "modified",
-            "embedding",
-        )
+    rows, more = read("documents"), {}
+    if "labels" in sides:
+        rows = rows.join(read("labels").select("doc_id", "toxic", "quality", F.lit(True).alias("_l")), "doc_id", "left")
+        more["status"] = F.when(F.col("toxic") == 1, "hidden").when(F.col("quality") == 0, "inactive").when(F.col("_l"), "active")
+    if "events" in sides:
+        rows = rows.join(read("events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("modified")), "doc_id", "left")
+        more["modified"] = F.col("modified")
+    if "embeddings" in sides:
+        rows = rows.join(read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+        more["embedding"] = F.col("embedding")
+    return rows.select(
+        "doc_id",
+        F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"),
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("text").alias("content"),
+        F.when(F.col("doc_id") % 7 == 0, F.concat(base, F.array(F.lit("daily")))).otherwise(base).alias("tags"),
+        F.array("lang").alias("types"),
+        F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")).alias("frontmatter"),
+        *[c.alias(name) for name, c in more.items()],
     )

@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from notewell import queries
 from notewell.engine import NoteEngine
 from notewell.operators import block_postings, lexical, maintenance, vector_codes
 from notewell.operators.filters import QueryFilter, Wanted
 from notewell.plans.search import SearchParams, semantic_topk
+from notewell.sources.files import Folder
 from notewell.sources.index_store import WrongOwner
 from notewell.sources.snapshots import Conflict, SnapshotStore
 
@@ -221,3 +223,13 @@ def test_engine_filters_before_the_search(spark, tmp_path):
 def test_changes_of_a_vault_follow_through(spark):
     now = table(spark, [("a.md", 1)])
     assert maintenance.changes(now, now.select("relative_path", "modified")).count() == 0
+
+
+def test_words_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "ü A a")], "doc_id long, content string")
+    counted = lexical.counted_words(docs, F.col("content"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["dl"], [tuple(w) for w in r["words"]]) for r in counted.collect()}
+    assert got == {1: (3, [("a", 1), ("b", 2)]), 2: (0, []), 3: (0, []), 4: (3, [("a", 2), ("ü", 1)])}
+    postings = lexical.build_index(docs, F.col("content")).postings
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
