@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +46,18 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return search.similarity(rows, _vector(spark, sf)).filter("similarity IS NOT NULL")
 
 
+def _notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The notes with their vectors, as a search over both reads them."""
+    return nt.note_table(spark, sf, ("embeddings",))
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a keyword index reads of the notes."""
+    return nt.note_table(spark, sf, ()).select("doc_id", "title", "tags", "content")
+
+
 def _index(notes: DataFrame) -> lexical.LexicalIndex:
-    return lexical.build_index(notes.select("doc_id", "title", "tags", "content"), lexical.index_text())
+    return lexical.build_index(notes, lexical.index_text())
 
 
 def _r(name: str, digits: int = 6):
@@ -98,67 +108,70 @@ def bm25_index_text(spark, sf):
 
 @_query
 def bm25_corpus_stats(spark, sf):
-    index = _index(nt.note_table(spark, sf))
+    index = _index(_texts(spark, sf))
     df = index.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
     return index.corpus.crossJoin(df).select("n_docs", _r("avgdl"), _r("avg_idf"), "terms", "postings")
 
 
 @_query
 def bm25_scores(spark, sf):
-    return lexical.scores(_index(nt.note_table(spark, sf)), QUERY).select("doc_id", _r("bm25"))
+    return lexical.scores(_index(_texts(spark, sf)), QUERY).select("doc_id", _r("bm25"))
 
 
 @_query
 def bm25_search(spark, sf):
-    rows = nt.note_table(spark, sf)
-    out = lexical.search(_index(rows), rows.select("doc_id", "relative_path", "tags"), QUERY)
+    rows = nt.note_table(spark, sf, ())
+    out = lexical.search(_index(_texts(spark, sf)), rows.select("doc_id", "relative_path", "tags"), QUERY)
     return out.select("doc_id", "relative_path", _r("bm25"), _r("bm25_base"))
 
 
-_saved: dict[tuple[str, str], str] = {}
+_saved: dict[tuple[str, str], tuple[str, set[str]]] = {}
+_PARTS = ("lexical", "vectors")
 
 
-def saved_index(spark: SparkSession, sf: str) -> str:
-    """The folder of the saved keyword index and vector codes of these tables, which are written once in a session."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _saved:
-        rows, path = nt.note_table(spark, sf), scratch_folder(spark, "saved")
-        block_postings.save(rows.select("doc_id", "title", "tags", "content"), lexical.index_text(), f"{path}/lexical")
-        vector_codes.save(rows, f"{path}/vectors")
-        _saved[at] = path
-    return _saved[at]
+def saved_index(spark: SparkSession, sf: str, parts: Sequence[str] = _PARTS) -> str:
+    """The folder of these tables' saved keyword index (lexical) and vector codes (vectors); each part is written once in
+    a session, when it is first asked for."""
+    path, written = _saved.setdefault((spark.sparkContext.applicationId, sf), (scratch_folder(spark, "saved"), set()))
+    if "lexical" in parts and "lexical" not in written:
+        block_postings.save(_texts(spark, sf), lexical.index_text(), f"{path}/lexical")
+        written.add("lexical")
+    if "vectors" in parts and "vectors" not in written:
+        vector_codes.save(nt.note_table(spark, sf, ("embeddings",)), f"{path}/vectors")
+        written.add("vectors")
+    return path
 
 
 @_query
 def saved_bm25_search(spark, sf):
-    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
-    out = index.search(nt.note_table(spark, sf).select("doc_id", "relative_path", "tags"), QUERY)
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf, ('lexical',))}/lexical")
+    out = index.search(nt.note_table(spark, sf, ()).select("doc_id", "relative_path", "tags"), QUERY)
     return out.select("doc_id", "relative_path", _r("bm25"), _r("bm25_base"))
 
 
 @_query
 def saved_bm25_prefilter(spark, sf):
-    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
-    rows = nt.note_table(spark, sf)
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf, ('lexical',))}/lexical")
+    rows = nt.note_table(spark, sf, ())
     allowed = filters.allowed_files(rows, paths=("src3/",))
     return index.search(rows.select("doc_id", "tags"), QUERY, allowed=allowed).select("doc_id", _r("bm25"))
 
 
 @_query
 def saved_bm25_scores(spark, sf):
-    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf)}/lexical")
+    index = block_postings.SavedIndex.load(spark, f"{saved_index(spark, sf, ('lexical',))}/lexical")
     return index.scores(index.weights(QUERY)).select("doc_id", _r("bm25"))
 
 
 @_query
 def index_roundtrip(spark, sf):
-    out = vector_codes.search(spark, f"{saved_index(spark, sf)}/vectors", _vector(spark, sf), 20)
+    out = vector_codes.search(spark, f"{saved_index(spark, sf, ('vectors',))}/vectors", _vector(spark, sf), 20)
     return out.select("doc_id", _r("similarity"))
 
 
 @_query
 def saved_hybrid_search(spark, sf):
-    rows, path, vector = nt.note_table(spark, sf), saved_index(spark, sf), _vector(spark, sf)
+    rows, path, vector = _notes(spark, sf), saved_index(spark, sf), _vector(spark, sf)
     index = block_postings.SavedIndex.load(spark, f"{path}/lexical")
     out = search.hybrid(rows, index, QUERY, vector, nearest=lambda n: vector_codes.search(spark, f"{path}/vectors", vector, n))
     return out.select("doc_id", "relative_path", _r("rrf", 9), _r("similarity"), _r("bm25"), "tag_boosted")
@@ -179,22 +192,22 @@ def bm25_tag_boost(spark, sf):
 
 @_query
 def bm25_prefilter(spark, sf):
-    rows = nt.note_table(spark, sf)
+    rows = nt.note_table(spark, sf, ())
     allowed = filters.allowed_files(rows, paths=("src3/",))
-    return lexical.search(_index(rows), rows.select("doc_id", "tags"), QUERY, allowed=allowed).select("doc_id", _r("bm25"))
+    return lexical.search(_index(_texts(spark, sf)), rows.select("doc_id", "tags"), QUERY, allowed=allowed).select("doc_id", _r("bm25"))
 
 
 @_query
 def rrf_fusion(spark, sf):
-    rows = nt.note_table(spark, sf)
+    rows = _notes(spark, sf)
     near = search.semantic_topk(rows, _vector(spark, sf), 30)
-    words = lexical.search(_index(rows), rows.select("doc_id", "tags"), QUERY, limit=30)
+    words = lexical.search(_index(_texts(spark, sf)), rows.select("doc_id", "tags"), QUERY, limit=30)
     return fusion.top(fusion.rrf([(near, "similarity"), (words, "bm25")]), "rrf", 20).select("doc_id", _r("rrf", 9))
 
 
 def _hybrid(spark, sf, limit=10, boosts=True):
-    rows = nt.note_table(spark, sf)
-    return search.hybrid(rows, _index(rows), QUERY, _vector(spark, sf), limit, boosts)
+    rows = _notes(spark, sf)
+    return search.hybrid(rows, _index(_texts(spark, sf)), QUERY, _vector(spark, sf), limit, boosts)
 
 
 @_query
@@ -209,8 +222,8 @@ def hybrid_tag_boost(spark, sf):
 
 @_query
 def hybrid_keyword_boost(spark, sf):
-    rows = nt.note_table(spark, sf).withColumn("tags", F.array().cast("array<string>"))
-    out = search.hybrid(rows, _index(rows), QUERY, _vector(spark, sf), 30)
+    rows, texts = (df.withColumn("tags", F.array().cast("array<string>")) for df in (_notes(spark, sf), _texts(spark, sf)))
+    out = search.hybrid(rows, _index(texts), QUERY, _vector(spark, sf), 30)
     return out.filter("similarity_rank IS NULL").select("doc_id", _r("rrf", 9), _r("bm25"))
 
 
@@ -479,7 +492,7 @@ def chunk_statistics(spark, sf):
 
 
 def _change_tables(spark, sf):
-    rows = nt.note_table(spark, sf).select("doc_id", "relative_path", "modified", "content", "tags")
+    rows = nt.note_table(spark, sf, ("events",)).select("doc_id", "relative_path", "modified", "content", "tags")
     later = F.expr("if(doc_id % 10 = 3, modified + interval 1 second, modified)")
     current = rows.filter("doc_id % 10 != 1").withColumn("modified", later)
     return current, rows.filter("doc_id % 10 != 2")

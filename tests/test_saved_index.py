@@ -233,3 +233,12 @@ def test_words_are_counted_without_a_shuffle(spark):
     assert got == {1: (3, [("a", 1), ("b", 2)]), 2: (0, []), 3: (0, []), 4: (3, [("a", 2), ("ü", 1)])}
     postings = lexical.build_index(docs, F.col("content")).postings
     assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_part_of_the_saved_index_is_written_when_it_is_asked_for(spark, tmp_path):
+    notes = spark.createDataFrame([(k, f"text {k}", "en", "src1", 6) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    notes.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(20)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    path = queries.saved_index(spark, str(tmp_path), ("vectors",))
+    assert Folder(spark, path).names() == ["vectors"]
+    assert queries.saved_index(spark, str(tmp_path)) == path and Folder(spark, path).names() == ["lexical", "vectors"]
