@@ -144,7 +144,10 @@ def scan_licenses(
     by_shingle = spark.createDataFrame(sorted(few), "_key long, template int")
     literal = lambda keys: ", ".join(f"{k}L" if k > -(2**63) else f"({k + 1}L - 1L)" for k in keys)
     listed = literal(wanted)
-    rows = _with_windows(_with_shingles(docs.filter("_text IS NOT NULL"), "_text").drop("_text"))
+    worded = _with_shingles(docs.filter("_text IS NOT NULL"), "_text").drop("_text")
+    # Equal min-hashes of a band are those of one shingle, so a text without any shingle of a template has no spot.
+    shingles = literal(sorted({h for r in known for h in r["_h"]})) or "NULL"
+    rows = _with_windows(worded.withColumn("_h", F.expr(f"if(exists(_h, h -> h IN ({shingles})), _h, slice(_h, 1, 0))")))
     by_windows = f"""transform(filter(transform(_sig, (s, i) -> struct(i, filter(s, k -> k IN ({listed or 'NULL'})) AS k)), x -> size(x.k) > 0),
         x -> struct(false AS single, x.k AS found, greatest(x.i * {BLOCK} - {longest}, 0) AS first,
             slice(_h, greatest(x.i * {BLOCK} - {longest}, 0) + 1, {2 * longest + 2 * BLOCK}) AS region))"""
