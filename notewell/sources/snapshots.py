@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from .files import Folder
 from .index_store import WrongOwner
 
 BUCKETS = 64
+BROADCAST_PATHS = 1_000_000
 _MANIFESTS = "manifests"
 
 
@@ -102,8 +104,9 @@ class SnapshotStore:
 
     def _write(self, rows: DataFrame, buckets: int) -> dict[str, str]:
         folder = f"rows/{uuid.uuid4().hex[:12]}"
-        dealt = rows.withColumn("_bucket", self.bucket(buckets=buckets)).repartition("_bucket")
-        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        # Large buckets are dealt over several tasks, so none sorts more rows than it holds.
+        dealt = rows.withColumn("_bucket", self.bucket(buckets=buckets)).hint("rebalance", "_bucket")
+        dealt.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         names = [n for n in self.folder.names(folder) if n.startswith("_bucket=")]
         return {n.removeprefix("_bucket="): f"{folder}/{n}" for n in names}
 
@@ -148,12 +151,16 @@ class SnapshotStore:
         base = self.version()
         if base is None:
             raise FileNotFoundError(f"no index in {self.path}")
+        changed = changed.select("relative_path", "change_type").persist(StorageLevel.MEMORY_AND_DISK)
+        # Up to a bound the changed paths go to every task, and the rows of the index are not shuffled to meet them.
+        named = F.broadcast if changed.count() <= BROADCAST_PATHS else lambda df: df
         # At most as many numbers as there are buckets.
         touched = sorted(r[0] for r in changed.select(self.bucket(buckets=base.buckets).alias("b")).distinct().collect())
         old = self.rows(base, touched)
-        kept = old.join(changed.select("relative_path"), "relative_path", "left_anti")
-        added = fresh.join(changed.filter("change_type != 'deleted'").select("relative_path"), "relative_path", "left_semi")
+        kept = old.join(named(changed.select("relative_path")), "relative_path", "left_anti")
+        added = fresh.join(named(changed.filter("change_type != 'deleted'").select("relative_path")), "relative_path", "left_semi")
         written = self._write(kept.unionByName(added).select(*old.columns), base.buckets) if touched else {}
+        changed.unpersist()
         rows = {k: v for k, v in base.rows.items() if int(k) not in touched} | written
         return self.commit(base, rows, old.schema, tables or {}, facts or base.facts, base.buckets)
 

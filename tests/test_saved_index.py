@@ -242,3 +242,18 @@ def test_a_part_of_the_saved_index_is_written_when_it_is_asked_for(spark, tmp_pa
     path = queries.saved_index(spark, str(tmp_path), ("vectors",))
     assert Folder(spark, path).names() == ["vectors"]
     assert queries.saved_index(spark, str(tmp_path)) == path and Folder(spark, path).names() == ["lexical", "vectors"]
+
+
+def test_a_merge_does_not_shuffle_rows_to_the_changed_paths(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "i"), "main", buckets=4)
+    store.replace(table(spark, [(f"d/{k}.md", 0) for k in range(100)]))
+    plans, write = [], store._write
+    monkeypatch.setattr(store, "_write", lambda rows, n: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, n))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with changed paths of many MB
+    try:
+        store.merge(changed(spark, d_7="modified", d_8="deleted"), table(spark, [("d/7.md", 1)]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plans[0] and plans[0].count("BroadcastHashJoin") == 2
+    assert rows_of(store.rows()) == sorted([(f"d/{k}.md", 0) for k in range(100) if k not in (7, 8)] + [("d/7.md", 1)])
