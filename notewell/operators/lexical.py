@@ -54,7 +54,9 @@ def build_index(docs: DataFrame, text: Column, key: str = "doc_id") -> LexicalIn
     that of a row: rows that repeat it are documents of their own."""
     counted = counted_words(docs, text, key).persist(StorageLevel.MEMORY_AND_DISK)
     postings = counted.select("doc_id", F.inline("words"), "dl")
-    size = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # One row. It fills the cache in one stage; stages that run at once would wait for each other's parts of it.
+    found = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    size = docs.sparkSession.createDataFrame([tuple(found)], "n_docs long, avgdl double")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("term", "df", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     corpus = size.crossJoin(F.broadcast(raw.agg(F.avg("idf").alias("avg_idf"))))
