@@ -38,6 +38,7 @@ SPACE_MARK = "▁"
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 # Cuts lie before a space or line end behind a visible character; blanks at the end of a text are a piece or a part of one.
 _PIECES = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+\Z")
+_PLAIN_PIECES = re.compile(r"[ \n]\S+")  # the same pieces, of a text in which blanks stand alone and none is at the end
 _DOUBTFUL = "\u180e"  # a blank by some versions of Unicode only: such texts are encoded whole
 
 
@@ -182,7 +183,9 @@ class Aligner:
     def cut(self, text: str) -> list[str]:
         """Pieces of a space and the text."""
         if self.by_piece and _DOUBTFUL not in text:
-            return _PIECES.findall(" " + text)
+            text = " " + text
+            found = _PLAIN_PIECES.findall(text)
+            return found if len("".join(found)) == len(text) else _PIECES.findall(text)
         return [" " + text]
 
     def _b_ids(self, pieces: list[str]) -> list[list[int]]:
