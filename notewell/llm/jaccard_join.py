@@ -6,7 +6,8 @@ prefixes of n - ceil(t * n) + 1 + c tokens. So, with the frequent tokens dealt i
 token of both prefixes (already of those without c), or two frequent tokens of one class. Rare tokens are indexed alone, frequent ones as pairs
 within their class; c grows with the set's size, so that a document never makes more than some pairs for each token.
 Sets of like size (within t) fall into the same or neighbouring size bands, which fixes c for every pair; every key of
-the index holds its band.
+the index holds its band. A set meets larger ones of the next band there with a shorter prefix, since such a pair has to
+share more.
 
 Which tokens are frequent is counted over the prefixes of all documents, and again for the tokens that move up when the
 frequent ones are set back. The answer is kept in a bit table; a wrong bit moves a token to the other end of the order
@@ -96,6 +97,11 @@ class Bounds:
     def prefix(self, n: int, classes: int) -> int:
         return min(n, n - -(-self.percent * n // 100) + 1 + classes)
 
+    def upper_prefix(self, n: int, band: int, classes: int) -> int:
+        """Of a set of this band, for links with sets of the next one, which are larger; 0 if none can be a link."""
+        short = n - -(-self.percent * (n + int(self.edges[band + 1])) // (100 + self.percent)) + 1
+        return min(n, short + classes) if short > 0 else 0
+
     def alone(self, n: int) -> bool:
         """A set so small that only equal ones can link with it."""
         return 100 * n < self.percent * (n + 1)
@@ -122,7 +128,7 @@ BAND_SALTS = np.array([k * int(_K[2]) % 2**64 for k in range(BANDS)], np.uint64)
 
 
 def in_bands(counts: DataFrame) -> DataFrame:
-    """tok mixed with each band in which it can join two sets: counts has tok, and bit_or and bit_and of bands.
+    """tok mixed with each band in which it can join two sets: counts has tok, and bit_or and bit_and of its bands.
 
     If all sets of a token have a band in common, that band joins every two of them.
     """
@@ -193,55 +199,77 @@ def _tokens(batch: pa.RecordBatch, at: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint64)
 
 
-def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None, moved: bool = False):
-    """Tokens of the prefixes and the bands they take part in, as bits; given the frequent ones, the rare tokens of the
-    prefixes that they leave, or only those that moved there because of them."""
+COUNTED = 40  # bits by which tokens are told apart while they are counted; more than a bit table tells apart
+
+
+def _prefix_tokens(bounds: Bounds, frequent: Broadcast | None = None):
+    """Tokens of the prefixes, by 32 bits; given the frequent ones, those that moved there because of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 4 * SLICE_BYTES):
-                out, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                out = [np.zeros(0, np.uint64)]
                 for s in _tokens(part, 0):
-                    band = bounds.band(len(s))
                     q = bounds.prefix(len(s), 0)
                     found = s[:q]
                     if frequent is not None:
-                        if moved and not has(frequent.value, found).any():
+                        if not has(frequent.value, found).any():
                             continue
                         order, rare = ordered(s, frequent.value)
                         now = order[: min(q, rare)]
-                        found = now[~np.isin(now, found, assume_unique=True)] if moved else now
+                        found = now[~np.isin(now, found, assume_unique=True)]
                     out.append(found)
-                    bands.append(np.full(len(found), (1 << band % BANDS) | (1 << (band + 1) % BANDS)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.uint32).view(np.int32))], names=["tok"])
+
+    return run
+
+
+def _rare_tokens(bounds: Bounds, frequent: Broadcast):
+    """Rare tokens of the prefixes by COUNTED bits, and the bands they take part in, as bits."""
+    low = np.uint64((1 << COUNTED) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, 4 * SLICE_BYTES):
+                out, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for s in _tokens(part, 0):
+                    n, band = len(s), bounds.band(len(s))
+                    order, rare = ordered(s, frequent.value)
+                    found = order[: min(bounds.prefix(n, 0), rare)]
+                    in_band = np.full(len(found), 1 << band % BANDS)
+                    in_band[: bounds.upper_prefix(n, band, 0)] |= 1 << (band + 1) % BANDS
+                    out.append(found & low)
+                    bands.append(in_band)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(bands))], names=["tok", "bands"])
 
     return run
 
 
 def _postings(bounds: Bounds, frequent: Broadcast, shared: Broadcast):
-    """key, node and n: rare tokens alone, pairs of frequent ones of a class, each in both bands of the set."""
+    """key, node, n and most: rare tokens alone, pairs of frequent ones of a class, each in both bands of the set. A link
+    that has no earlier key in common shares `most` tokens at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, SLICE_BYTES, 500):
                 keys: list[np.ndarray] = []
+                most: list[np.ndarray] = []
                 counts = np.zeros(part.num_rows, np.int64)
                 sizes = np.zeros(part.num_rows, np.int32)
                 for row, s in enumerate(_tokens(part, 0)):
                     n = sizes[row] = len(s)
                     order, rare = ordered(s, frequent.value)
                     own = bounds.band(n)
-                    often = [bounds.classes(band) for band in (own, own + 1)]
+                    alone, upper = bounds.prefix(n, 0), bounds.upper_prefix(n, own, 0)
                     # A link shares a token of both prefixes without the extension. If none such is rare, all rare
                     # tokens of both sets are in those prefixes, so the extended ones share frequent tokens only.
-                    single_prefix = order[: bounds.prefix(n, 0)]
-                    known = single_prefix[:rare]
-                    for band, classes in zip((own, own + 1), often):
+                    for band, q in ((own, alone), (own + 1, upper)):
+                        classes = bounds.classes(band)
                         salt = np.uint64((band + 1) * int(_K[2]) % 2**64)
-                        q = bounds.prefix(n, classes)
-                        single = known[has(shared.value, known ^ BAND_SALTS[band % BANDS])]
-                        found = [_rot(single ^ salt, 29) * _K[0]]
-                        tail = order[rare:q] if rare < len(single_prefix) else order[:0]
+                        known = order[: min(q, rare)]
+                        at = np.flatnonzero(has(shared.value, known ^ BAND_SALTS[band % BANDS]))
+                        found, left = [_rot(known[at] ^ salt, 29) * _K[0]], [n - at]
+                        tail = order[rare : min(n, q + classes)] if rare < q else order[:0]
                         if len(tail) > 1:
                             kind = (tail >> np.uint64(40)) % np.uint64(classes)
                             by = np.argsort(kind, kind="stable")
@@ -249,13 +277,15 @@ def _postings(bounds: Bounds, frequent: Broadcast, shared: Broadcast):
                                 if len(group) > 1:
                                     i, j = np.triu_indices(len(group), 1)
                                     found.append(_rot(tail[group[i]] * _K[0] ^ _rot(tail[group[j]] * _K[1], 31) ^ salt, 17) * _K[3])
-                        for k in found:
-                            keys.append(k)
-                            counts[row] += len(k)
+                                    left.append(n - rare - group[j] + classes)  # the later one is the (classes + 1)th they share at most
+                        keys += found
+                        most += left
+                        counts[row] += sum(map(len, found))
                 key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
                 node = np.repeat(part.column(1).to_numpy(), counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, counts))], names=["key", "node", "n"]
+                    [pa.array(key.view(np.int64)), pa.array(node), pa.array(np.repeat(sizes, counts)), pa.array(np.concatenate([*most, sizes[:0]]).astype(np.int32))],
+                    names=["key", "node", "n", "most"],
                 )
 
     return run
@@ -533,30 +563,39 @@ def near_duplicate_classes(docs: DataFrame, n_words: int = 3, percent: int = 90,
     source = found.filter(F.col("toks").isNotNull() & (F.col("n") >= least)).select("toks", "node", "doc_id", "text_key")
     share = lambda x: spark.sparkContext.broadcast(x)
 
-    def counted(*what: object) -> DataFrame:
-        tokens = source.select("toks").mapInArrow(trimmed(_prefix_tokens(bounds, *what)), "tok long, bands long")
-        return tokens.groupBy("tok").agg(F.count("*").alias("count"), F.bit_or("bands").alias("bands"), F.bit_and("bands").alias("common"))
+    def often(*what: object) -> DataFrame:
+        tokens = source.select("toks").mapInArrow(trimmed(_prefix_tokens(bounds, *what)), "tok int")
+        return tokens.groupBy("tok").agg(F.count("*").alias("count")).filter(F.col("count") > FREQUENT).select("tok")
 
-    # A token whose sets have no band in common leads to no pair.
-    several = F.expr("count > 1 AND 2 * count > bit_count(bands)")
-    counts = materialize(counted().filter(several), "prefix")
-    often = counts.filter(F.col("count") > FREQUENT)
-    bits = bits_for(often.count())
-    frequent = bit_table(often, "tok", bits)
+    first = materialize(often(), "prefix")
+    bits = bits_for(first.count())
+    frequent = bit_table(first, "tok", bits)
+    drop_scratch(first)
     for _ in range(ROUNDS if frequent.any() else 0):
-        more = bit_table(counted(share(frequent), True).filter(F.col("count") > FREQUENT), "tok", bits)
-        frequent = frequent | more
-    if frequent.any():
-        drop_scratch(counts)
-        counts = materialize(counted(share(frequent)).filter(several), "prefix")
+        frequent = frequent | bit_table(often(share(frequent)), "tok", bits)
+    rare = source.select("toks").mapInArrow(trimmed(_rare_tokens(bounds, share(frequent))), "tok long, bands long")
+    # A token whose sets have no band in common leads to no pair.
+    counts = rare.groupBy("tok").agg(F.sum(F.bit_count("bands")).alias("_all"), F.bit_or("bands").alias("bands"), F.bit_and("bands").alias("common"))
+    counts = materialize(counts.filter("_all > bit_count(bands)").drop("_all"), "prefix")
     shared = bit_table(in_bands(counts), "tok", bits_for(counts.count()))
     drop_scratch(counts)
-    emitted = source.select("toks", "node").mapInArrow(trimmed(_postings(bounds, share(frequent), share(shared))), "key long, node long, n int")
+    keyed = "key long, node long, n int, most int"
+    emitted = source.select("toks", "node").mapInArrow(trimmed(_postings(bounds, share(frequent), share(shared))), keyed)
     emitted = materialize(emitted, "postings")
-    hubs = emitted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_hi")).filter("hub != _hi").select("key", "hub")
-    members = emitted.join(hubs, "key").select("hub", "node", "n").distinct()  # the hub itself is a member of its keys
-    groups = materialize(members, "groups")
+    # Most keys are in one row, so whole rows are shuffled only of keys whose last 32 bits are in several.
+    several = materialize(emitted.groupBy(F.pmod("key", F.lit(1 << 32)).alias("key")).count().filter("count > 1").select("key"), "several")
+    met = share(bit_table(several, "key", bits_for(several.count())))
+    drop_scratch(several)
+    rows = materialize(emitted.mapInArrow(trimmed(_wanted_rows(met)), keyed), "met")
     drop_scratch(emitted)
+    # Two sets alone under a key have to share as many tokens as a link of their sizes.
+    enough = F.col("_most") * (100 + percent) >= percent * F.col("_n")
+    sums = [F.count("*").alias("_rows"), F.sum("n").alias("_n"), F.min("most").cast("long").alias("_most")]
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_hi"), *sums)
+    hubs = hubs.filter((F.col("hub") != F.col("_hi")) & ((F.col("_rows") > 2) | enough)).select("key", "hub")
+    members = rows.join(hubs, "key").select("hub", "node", "n").distinct()  # the hub itself is a member of its keys
+    groups = materialize(members, "groups")
+    drop_scratch(rows)
     n_rows = groups.count()
     wanted = share(bit_table(groups.select("node").distinct(), "node", bits_for(n_rows)))
     listed = source.mapInArrow(trimmed(_sketches(wanted)), "node long, n int, sketch binary, doc_id long, text_key long")
